@@ -87,8 +87,8 @@ def log_gamma(x: Column) -> Column:
     product = x
     for i in range(1, 8):
         product = product * (x + i)
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
-    series = series - 1 / (1680 * F.pow(y, F.lit(7))) + 1 / (1188 * F.pow(y, F.lit(9)))
+    t = 1 / (y * y)
+    series = (1 / 12 - t * (1 / 360 - t * (1 / 1260 - t * (1 / 1680 - t / 1188)))) / y
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
 
 

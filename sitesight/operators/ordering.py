@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sitesight.workspace import keep
 
 GROUP_ROWS = 2_000_000
-SLICE = "_slice"
+SLICE = "__slice"
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -71,14 +71,14 @@ def row_numbers(
     part = [*keys, SLICE]
     before = (
         rows.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*part, F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0)).alias("_before"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(*part, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"))
     )
-    local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
+    local = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     return (
         same_keys(local, before, part)
-        .withColumn(out, (F.col("_rn") + F.col("_before")).cast("bigint"))
-        .drop("_rn", "_before", SLICE)
+        .withColumn(out, (F.col("__rn") + F.col("__before")).cast("bigint"))
+        .drop("__rn", "__before", SLICE)
     )
 
 
@@ -101,14 +101,14 @@ def running_sum(
     part = [*keys, SLICE]
     before = (
         rows.groupBy(*part)
-        .agg(F.sum(value).alias("_v"))
-        .select(*part, F.coalesce(F.sum("_v").over(_earlier(keys)), F.lit(0)).alias("_before"))
+        .agg(F.sum(value).alias("__v"))
+        .select(*part, F.coalesce(F.sum("__v").over(_earlier(keys)), F.lit(0)).alias("__before"))
     )
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
     return (
-        same_keys(rows.withColumn("_sum", F.sum(value).over(w)), before, part)
-        .withColumn(out, F.col("_sum") + F.col("_before"))
-        .drop("_sum", "_before", SLICE)
+        same_keys(rows.withColumn("__sum", F.sum(value).over(w)), before, part)
+        .withColumn(out, F.col("__sum") + F.col("__before"))
+        .drop("__sum", "__before", SLICE)
     )
 
 
@@ -135,34 +135,34 @@ def dense_ranks(
     rows = _slices(df, keys, [first, *[F.col(t) for t in ties]], total, group_rows)
     part = [*keys, SLICE]
     w = Window.partitionBy(*part).orderBy(first)
-    local = rows.withColumn("_dr", F.dense_rank().over(w))
+    local = rows.withColumn("__dr", F.dense_rank().over(w))
     entry, leave = (F.min, F.max) if ascending else (F.max, F.min)
     before = (
         local.groupBy(*part)
-        .agg(F.max("_dr").alias("_n"), entry(value).alias("_from"), leave(value).alias("_to"))
+        .agg(F.max("__dr").alias("__n"), entry(F.struct(value)).alias("__from"), leave(F.struct(value)).alias("__to"))
         .withColumn(
-            "_shared",
-            F.col("_from").eqNullSafe(
-                F.lag("_to").over(Window.partitionBy(*keys).orderBy(SLICE))
+            "__shared",
+            F.col("__from").eqNullSafe(
+                F.lag("__to").over(Window.partitionBy(*keys).orderBy(SLICE))
             ).cast("int"),
         )
         .select(
             *part,
             (
-                F.coalesce(F.sum("_n").over(_earlier(keys)), F.lit(0))
+                F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0))
                 - F.coalesce(
-                    F.sum("_shared").over(
+                    F.sum("__shared").over(
                         Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
                     ),
                     F.lit(0),
                 )
-            ).alias("_before"),
+            ).alias("__before"),
         )
     )
     return (
         same_keys(local, before, part)
-        .withColumn(out, (F.col("_dr") + F.col("_before")).cast("bigint"))
-        .drop("_dr", "_before", SLICE)
+        .withColumn(out, (F.col("__dr") + F.col("__before")).cast("bigint"))
+        .drop("__dr", "__before", SLICE)
     )
 
 
@@ -216,4 +216,4 @@ def best_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     group sends only ``k`` rows per map task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= k).drop("_pos")
+    return df.withColumn("__pos", F.row_number().over(w)).where(F.col("__pos") <= k).drop("__pos")
