@@ -68,3 +68,53 @@ def weighted_interval(points, weights, share):
     width = x[last[ok]] - x[ok]
     best = int(np.argmin(width))
     return float(x[ok][best]), float(x[last[ok]][best])
+
+
+# The published splitmix64 constants.
+_STEP, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def uniforms(ids, stream):
+    """Uniform numbers in (0, 1) that depend on the row id and a stream number only."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(ids).astype(np.uint64) + np.uint64((stream + 1) * _STEP % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX1)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX2)
+        x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+
+
+def gamma_draws(ids, shape, stream):
+    """One gamma(shape, 1) number per row id: the squeeze method on numbered uniforms.
+
+    A row's number does not depend on the rows it is computed with, so a repeated task
+    gives the same draws.
+    """
+    shape = np.asarray(shape, dtype=float)
+    lifted = np.where(shape < 1, shape + 1, shape)
+    d = lifted - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, open_rows, attempt = np.zeros_like(d), np.arange(len(d)), 0
+    while len(open_rows):
+        base = stream + 3 * attempt + 1
+        i = ids[open_rows]
+        u1, u2, u3 = uniforms(i, base), uniforms(i, base + 1), uniforms(i, base + 2)
+        x = np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
+        v = (1 + c[open_rows] * x) ** 3
+        dd = d[open_rows]
+        ok = (v > 0) & (np.log(u3) < 0.5 * x**2 + dd - dd * v + dd * np.log(np.where(v > 0, v, 1.0)))
+        out[open_rows[ok]] = (dd * v)[ok]
+        open_rows, attempt = open_rows[~ok], attempt + 1
+    return np.where(shape < 1, out * uniforms(ids, stream) ** (1 / np.where(shape < 1, shape, 1.0)), out)
+
+
+def beta_draws(ids, a, b):
+    x, y = gamma_draws(ids, a, 0), gamma_draws(ids, b, 1_000_003)
+    return x / (x + y)
+
+
+def pick(log_weights, u):
+    """Index by inverse cumulative weight, one per row of ``log_weights``."""
+    w = np.exp(log_weights - log_weights.max(axis=1, keepdims=True))
+    cdf = np.cumsum(w, axis=1)
+    return np.minimum((cdf < (u * cdf[:, -1])[:, None]).sum(axis=1), log_weights.shape[1] - 1)

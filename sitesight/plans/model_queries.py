@@ -10,7 +10,8 @@ from sitesight.operators import kpi
 from sitesight.operators import model_spec as M
 from sitesight.operators.model_spec import Model
 from sitesight.plans import model_oracles as O
-from sitesight.plans.shared_tables import site_fact, site_month
+from sitesight.operators import diagnostics, draws, factors, sampling
+from sitesight.plans.shared_tables import site_fact, site_month, table
 from sitesight.plans.site_queries import Query, shown
 from sitesight.workspace import kept_once
 
@@ -99,6 +100,45 @@ def _logit(name: str, model: Model) -> Query:
     return run
 
 
+def _sampled(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    fitted = _fitted(spark, d, "three_level", CHECKED["three_level"], site_fact(spark, d))
+    return sampling.posterior_draws(site_fact(spark, d), fitted, chains=2, draws=250)
+
+
+def _site_draws(spark: SparkSession, d: str) -> DataFrame:
+    return kept_once(spark, d, "site_draws", lambda: _sampled(spark, d)["site_rate"])
+
+
+def _draw_summary(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["region", "municipality", "site_id"]
+    return shown(draws.posterior_summary(_site_draws(spark, d), keys, 0.95), *keys, "mean", "sd", "hdi_lo", "hdi_hi")
+
+
+def _group_draw_summary(level: str, keys: list[str]) -> Query:
+    return lambda s, d: shown(
+        diagnostics.full_summary(_sampled(s, d)[level], keys, 0.95), *keys, "mean", "sd", "hdi_lo", "hdi_hi", "ess", "rhat"
+    )
+
+
+def _region_comparison(spark: SparkSession, d: str) -> DataFrame:
+    region = _sampled(spark, d)["region_mean"]
+    return shown(
+        draws.prob_greater(region, draws.neighbour_pairs(region, "region"), "region"), "better", "worse", "draws", "prob"
+    )
+
+
+def _factors(spark: SparkSession, d: str) -> DataFrame:
+    about = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("site_id"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_acctbal").alias("balance"),
+    )
+    return shown(
+        factors.success_factors(site_fact(spark, d).join(about, "site_id"), "segment + balance"),
+        "factor", "coefficient", "std_error", "p_value",
+    )
+
+
 QUERIES: dict[str, Query] = {
     **{f"posterior_{n}": _municipalities(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": _regions(n, m) for n, m in CHECKED.items()},
@@ -115,6 +155,15 @@ QUERIES: dict[str, Query] = {
         "region", "municipality", "site_id", "mean_site", "sd_site", "lo_site", "hi_site", "mean_mun", "lo_mun", "hi_mun",
     ),
     "prioritisation_posterior": _priorities_from_model,
+    "posterior_draws": _draw_summary,
+    "posterior_draws_regions": _group_draw_summary("region_mean", ["region"]),
+    "posterior_draws_municipalities": _group_draw_summary("municipality_mean", ["region", "municipality"]),
+    "prob_region_better": _region_comparison,
+    "dic": lambda s, d: shown(
+        diagnostics.dic(_site_draws(s, d), site_fact(s, d), ["region", "municipality", "site_id"]),
+        "draws", "mean_deviance", "p_d", "dic",
+    ),
+    "success_factors": _factors,
     "posterior_logit_normal": _logit("logit", M.logit_normal(5, mean_cells=150)),
     "posterior_logit_normal_revised": _logit("logit2", M.logit_normal_revised(5, 5, mean_cells=150)),
 }

@@ -45,6 +45,17 @@ def keep(df: DataFrame, name: str = "step", partition_by: list[str] | None = Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores, for steps whose cost is arithmetic and not bytes.
+
+    Adaptive execution sizes partitions by bytes and would put a small table with heavy
+    rows into one task; an explicit count is left alone.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def kept_once(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
