@@ -18,21 +18,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    A checkpoint folder set by code comes next. Only a local session with neither gets a
+    temporary folder of its own.
     """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sitesight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+        if context.applicationId not in _own_dirs:
+            _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="sitesight-")
+        base = _own_dirs[context.applicationId]
+    return f"{base.rstrip('/')}/{context.applicationId}"
 
 
 def keep(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
