@@ -13,7 +13,7 @@ from sitesight.plans import model_oracles as O
 from sitesight.operators import diagnostics, draws, factors, sampling
 from sitesight.plans.shared_tables import site_fact, site_month, table
 from sitesight.plans.site_queries import Query, shown
-from sitesight.workspace import kept_once
+from sitesight.workspace import kept_once, still_stored
 
 # Coarse grids: small enough for the plain-join SQL that checks them on whole tables.
 COARSE = {"mean_cells": 60, "region_mean": M.beta(2, 2, 20)}
@@ -33,7 +33,7 @@ _fits: dict[tuple[str, str, str], P.Posterior] = {}
 def _fitted(spark: SparkSession, d: str, name: str, model: Model, sites: DataFrame, period=None) -> P.Posterior:
     """One fit per application, folder and model; its tables are kept files."""
     slot = (spark.sparkContext.applicationId, d, name)
-    if slot not in _fits:
+    if slot not in _fits or not still_stored(_fits[slot].municipalities):
         _fits[slot] = P.fit(sites, model, period)
     return _fits[slot]
 
@@ -73,10 +73,7 @@ def full_sites(spark: SparkSession, d: str) -> DataFrame:
 
     def build() -> DataFrame:
         sites = site_fact(spark, d)
-        slot = (spark.sparkContext.applicationId, d, "full")
-        if slot not in _fits:
-            _fits[slot] = P.refit(sites, P.fit(sites, FULL))
-        return P.site_posterior(sites, _fits[slot])
+        return P.site_posterior(sites, P.refit(sites, P.fit(sites, FULL)))
 
     return kept_once(spark, d, "full_sites", build)
 

@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
@@ -48,6 +49,15 @@ def keep(df: DataFrame, name: str = "step", partition_by: list[str] | None = Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def still_stored(df: DataFrame) -> bool:
+    """Whether the files of a kept table are still in the shared folder."""
+    try:
+        df.sparkSession.read.schema(df.schema).parquet(*df.inputFiles()[:1])
+        return True
+    except AnalysisException:
+        return False
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all cores, for steps whose cost is arithmetic and not bytes.
 
@@ -64,6 +74,6 @@ def kept_once(
 ) -> DataFrame:
     """``keep`` one table per application and input folder, so later queries read it again."""
     slot = (spark.sparkContext.applicationId, scope, name)
-    if slot not in _made:
+    if slot not in _made or not still_stored(_made[slot]):
         _made[slot] = keep(build(), name)
     return _made[slot]

@@ -190,3 +190,14 @@ def test_scratch_folder_follows_the_session():
         scratch_dir(fake_session(None, "yarn"))
     own = scratch_dir(fake_session(None, "local[2]"))
     assert own == scratch_dir(fake_session(None, "local[2]"))
+
+
+def test_lost_table_is_built_again(spark):
+    import os
+
+    from sitesight.workspace import kept_once
+
+    first = kept_once(spark, "here", "numbers", lambda: spark.range(5))
+    for f in first.inputFiles():
+        os.remove(f.removeprefix("file://"))
+    assert kept_once(spark, "here", "numbers", lambda: spark.range(6)).count() == 6
