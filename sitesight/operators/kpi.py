@@ -286,18 +286,25 @@ def first_and_last_month(panel: DataFrame) -> DataFrame:
     return panel.agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
 
-def improved_municipalities(panel: DataFrame) -> DataFrame:
-    """Municipalities whose interval in the last month lies above their first mean.
+def end_months(panel: DataFrame) -> DataFrame:
+    """Per municipality its estimates in the panel's last and first month.
 
     Two filtered reads of the panel meet on the municipality; one without a row in either
     end month is left out, as an inner join does.
     """
     ends = first_and_last_month(panel)
-    last = panel.where(F.col("month") == ends.select("last_month").scalar()).select("municipality", "lo_mun")
+    last = panel.where(F.col("month") == ends.select("last_month").scalar()).select(
+        "municipality", "lo_mun", F.col("mean_mun").alias("mean_last")
+    )
     first = panel.where(F.col("month") == ends.select("first_month").scalar()).select(
         "municipality", F.col("mean_mun").alias("mean_first")
     )
-    return last.join(first, "municipality").where(F.col("lo_mun") > F.col("mean_first"))
+    return last.join(first, "municipality")
+
+
+def improved_municipalities(panel: DataFrame) -> DataFrame:
+    """Municipalities whose interval in the last month lies above their first mean."""
+    return end_months(panel).where(F.col("lo_mun") > F.col("mean_first"))
 
 
 def month_series(panel: DataFrame, chosen: DataFrame) -> DataFrame:

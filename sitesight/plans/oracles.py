@@ -116,8 +116,8 @@ def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round_even({expr}, {digits}) AS {name or expr}"
 
 
-def rs(*names: str) -> str:
-    return ", ".join(r(n) for n in names)
+def rs(*names: str, digits: int = 6) -> str:
+    return ", ".join(r(n, digits=digits) for n in names)
 
 
 IMPACT = (
@@ -348,20 +348,20 @@ SITE_SQL: dict[str, str] = {
     + """, est AS (SELECT municipality FROM site_fact GROUP BY 1 HAVING sum(tests) > 2400)
          SELECT site_id, municipality FROM site_fact WHERE municipality NOT IN (SELECT municipality FROM est)""",
     "monthly_rates": W_MONTH
-    + f"SELECT month, region, municipality, tests_mun, {rs('mean_mun', 'lo_mun', 'hi_mun')} FROM mun_est",
+    + f"SELECT month, region, municipality, tests_mun, {rs('mean_mun', 'lo_mun', 'hi_mun', digits=9)} FROM mun_est",
     "monthly_sites": W_MONTH
-    + f"SELECT month, region, municipality, site_id, {rs('mean_site', 'lo_site', 'hi_site')} FROM est",
+    + f"SELECT month, region, municipality, site_id, {rs('mean_site', 'lo_site', 'hi_site', digits=9)} FROM est",
     "panel_union": W_MONTH
-    + f"""SELECT DISTINCT municipality, {rs('lo_mun', 'mean_mun', 'hi_mun')}, month FROM mun_est""",
+    + f"""SELECT DISTINCT municipality, {rs('lo_mun', 'mean_mun', 'hi_mun', digits=9)}, month FROM mun_est""",
     "improved_municipalities": W_MONTH
     + """, e AS (SELECT min(month) AS f, max(month) AS l FROM mun_est)
-         SELECT a.municipality, round_even(a.lo_mun, 6) AS lo_mun, round_even(b.mean_mun, 6) AS mean_first
+         SELECT a.municipality, round_even(a.lo_mun, 9) AS lo_mun, round_even(b.mean_mun, 9) AS mean_first
          FROM mun_est a JOIN mun_est b ON a.municipality = b.municipality, e
          WHERE a.month = e.l AND b.month = e.f AND a.lo_mun > b.mean_mun""",
     "month_series": W_MONTH
     + """, e AS (SELECT min(month) AS f, max(month) AS l FROM mun_est),
          chosen AS (SELECT a.municipality FROM mun_est a JOIN mun_est b ON a.municipality = b.municipality, e
                     WHERE a.month = e.l AND b.month = e.f AND a.mean_mun > b.mean_mun)
-         SELECT municipality, month, round_even(lo_mun, 6) AS lo_mun, round_even(mean_mun, 6) AS mean_mun,
-                round_even(hi_mun, 6) AS hi_mun FROM mun_est WHERE municipality IN (SELECT municipality FROM chosen)""",
+         SELECT municipality, month, round_even(lo_mun, 9) AS lo_mun, round_even(mean_mun, 9) AS mean_mun,
+                round_even(hi_mun, 9) AS hi_mun FROM mun_est WHERE municipality IN (SELECT municipality FROM chosen)""",
 }

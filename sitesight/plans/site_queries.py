@@ -64,11 +64,8 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rising(panel: DataFrame) -> DataFrame:
-    """Municipalities with a higher mean in the last month than in the first."""
-    ends = panel.groupBy("municipality").agg(
-        F.min_by("mean_mun", "month").alias("a"), F.max_by("mean_mun", "month").alias("b")
-    )
-    return ends.where("b > a").select("municipality")
+    """Municipalities with a higher mean in the panel's last month than in its first."""
+    return kpi.end_months(panel).where("mean_last > mean_first").select("municipality")
 
 
 def _known(sites: DataFrame) -> DataFrame:
@@ -277,17 +274,18 @@ QUERIES: dict[str, Query] = {
         lambda t: facts.without_posterior(t, _known(t), ["municipality"]).select("site_id", "municipality")
     ),
     "monthly_rates": lambda s, d: shown(
-        monthly_municipalities(s, d), "month", "region", "municipality", "tests_mun", "mean_mun", "lo_mun", "hi_mun"
+        monthly_municipalities(s, d), "month", "region", "municipality", "tests_mun", "mean_mun", "lo_mun", "hi_mun",
+        digits=9,
     ),
     "monthly_sites": lambda s, d: shown(
         shrinkage.site_estimates(site_month(s, d), monthly_municipalities(s, d), ["month"]),
-        "month", *PLACE, "mean_site", "lo_site", "hi_site",
+        "month", *PLACE, "mean_site", "lo_site", "hi_site", digits=9,
     ),
-    "panel_union": lambda s, d: shown(_panel(s, d), "municipality", "lo_mun", "mean_mun", "hi_mun", "month"),
+    "panel_union": lambda s, d: shown(_panel(s, d), "municipality", "lo_mun", "mean_mun", "hi_mun", "month", digits=9),
     "improved_municipalities": lambda s, d: shown(
-        kpi.improved_municipalities(_panel(s, d)), "municipality", "lo_mun", "mean_first"
+        kpi.improved_municipalities(_panel(s, d)), "municipality", "lo_mun", "mean_first", digits=9
     ),
     "month_series": lambda s, d: shown(
-        kpi.month_series(_panel(s, d), _rising(_panel(s, d))), "municipality", "month", "lo_mun", "mean_mun", "hi_mun"
+        kpi.month_series(_panel(s, d), _rising(_panel(s, d))), "municipality", "month", "lo_mun", "mean_mun", "hi_mun", digits=9
     ),
 }
