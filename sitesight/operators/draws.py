@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import half_even, interval_text, ratio
-from sitesight.operators.ordering import GROUP_ROWS, group_sizes, quantiles, row_numbers, running_sum, same_keys
+from sitesight.operators.ordering import (
+    ARRAY_ROWS,
+    GROUP_ROWS,
+    group_sizes,
+    quantiles,
+    row_numbers,
+    running_sum,
+    same_keys,
+)
 from sitesight.workspace import keep
 
-# Up to this many draws of one key fit comfortably into one array in one row.
-ARRAY_ROWS = 100_000
-
-
 def arrays_to_long(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """One row per array element; its position becomes ``draw``."""
     return df.select(*keys, F.posexplode(column).alias("_pos", "value")).select(

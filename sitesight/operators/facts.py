@@ -78,6 +78,12 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[str], columns: l
     )
 
 
+def with_counts(summary: DataFrame, sites: DataFrame) -> DataFrame:
+    """Site summary with its counts: inner join on region, municipality and site id."""
+    keys = ["region", "municipality", "site_id"]
+    return summary.join(sites.select(*keys, "tests", "successes"), keys)
+
+
 def attach_by_site(estimates: DataFrame, sites: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
     """Join columns by site id alone; a repeated site id multiplies rows, as a merge does."""
     return estimates.join(sites.select("site_id", *columns), "site_id", how)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from sitesight.workspace import keep
 
 GROUP_ROWS = 2_000_000
+# Up to this many values of one key fit comfortably into one in-memory aggregate buffer.
+ARRAY_ROWS = 100_000
 SLICE = "__slice"
 
 
@@ -173,11 +175,15 @@ def quantiles(
     probs: dict[str, float],
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, one column per entry of ``probs``."""
+    """Exact linear-interpolation quantiles, one column per entry of ``probs``.
+
+    The built-in percentile holds all values of a key in one buffer; it is used while the
+    largest key is small. Otherwise the rows at the wanted positions are picked.
+    """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     _, top = group_sizes(rows, keys)
-    if top <= group_rows:
+    if top <= min(group_rows, ARRAY_ROWS):
         return rows.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
         )

@@ -312,6 +312,10 @@ SITE_SQL: dict[str, str] = {
     + "SELECT site_id, count(*)::BIGINT AS rows FROM site_fact GROUP BY site_id HAVING count(*) > 1",
     "check_unique_site_month": f"WITH {MONTH}\n"
     + "SELECT site_id, count(*)::BIGINT AS rows FROM site_month GROUP BY site_id HAVING count(*) > 1",
+    "summary_with_counts": W_EST
+    + f"""SELECT s.region, s.municipality, s.site_id, {rs('mean_site', 'sd_site')}, s.tests, s.successes
+         FROM est JOIN site_fact s ON est.region = s.region AND est.municipality = s.municipality
+          AND est.site_id = s.site_id""",
     "attach_tests_inner": W_EST
     + f"SELECT est.site_id, {r('mean_site')}, s.tests FROM est JOIN site_fact s ON est.site_id = s.site_id",
     "attach_tests_left": W_EST

@@ -222,6 +222,10 @@ QUERIES: dict[str, Query] = {
     "check_hierarchy": _on_sites(checks.split_municipalities),
     "check_unique_site": _on_sites(checks.repeated_sites),
     "check_unique_site_month": lambda s, d: checks.repeated_sites(site_month(s, d)),
+    "summary_with_counts": lambda s, d: shown(
+        facts.with_counts(estimates(s, d).select(*PLACE, "mean_site", "sd_site"), site_fact(s, d)),
+        *PLACE, "mean_site", "sd_site", "tests", "successes",
+    ),
     "attach_tests_inner": lambda s, d: shown(
         facts.attach_by_site(estimates(s, d).select("site_id", "mean_site"), site_fact(s, d), ["tests"]),
         "site_id", "mean_site", "tests",
