@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
 _own_dirs: dict[str, str] = {}
@@ -62,11 +63,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all cores, for steps whose cost is arithmetic and not bytes.
 
     Adaptive execution sizes partitions by bytes and would put a small table with heavy
-    rows into one task; an explicit count is left alone.
+    rows into one task; an explicit count is left alone. The hash is an expression of its
+    own, because a repartition by columns the rows already lie by would be optimised away.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+    return df.repartition(n, F.xxhash64(*keys))
 
 
 def kept_once(
