@@ -178,7 +178,7 @@ def prob_greater(draws: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 def estimates_on_rows(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Input rows with the posterior mean and interval beside the raw rate."""
-    joined = rows.join(summary, list(keys), "left")
+    joined = rows.join(keep(summary, "summary"), list(keys), "left")
     return joined.withColumn("raw_rate", ratio(F.col("successes"), F.col("tests")))
 
 

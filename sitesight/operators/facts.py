@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesight.operators.ordering import GROUP_ROWS, row_numbers
+from sitesight.workspace import keep
 
 
 def in_region(sites: DataFrame, region: str) -> DataFrame:
@@ -33,9 +34,10 @@ def group_codes(sites: DataFrame, keys: list[str], out: str, base: int = 1) -> D
     Codes are given to the distinct keys only, never by a window over the rows.
     """
     distinct = sites.select(*keys).distinct()
-    return row_numbers(distinct, [], [F.col(k) for k in keys], "_n").select(
+    coded = row_numbers(distinct, [], [F.col(k) for k in keys], "_n").select(
         *keys, (F.col("_n") - 1 + base).cast("bigint").alias(out)
     )
+    return keep(coded, "codes")
 
 
 def attach_codes(sites: DataFrame, codes: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,9 +93,9 @@ def attach_by_site(estimates: DataFrame, sites: DataFrame, columns: list[str], h
 
 def with_posterior(sites: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Sites whose group has a posterior."""
-    return sites.join(summary.select(*keys).distinct(), keys, "left_semi")
+    return sites.join(keep(summary.select(*keys).distinct(), "known"), keys, "left_semi")
 
 
 def without_posterior(sites: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """The complement: sites whose group has no posterior."""
-    return sites.join(summary.select(*keys).distinct(), keys, "left_anti")
+    return sites.join(keep(summary.select(*keys).distinct(), "known"), keys, "left_anti")

@@ -20,6 +20,7 @@ from sitesight.operators.ordering import (
     row_numbers,
     running_sum,
 )
+from sitesight.workspace import keep
 
 MUNICIPALITY = ["region", "municipality"]
 
@@ -52,7 +53,7 @@ def with_impact(sites: DataFrame) -> DataFrame:
 def with_global_impact(sites: DataFrame) -> DataFrame:
     """Impact with failures scaled over the whole table.
 
-    The two limits are scalar subqueries over the municipality totals carried by the rows.
+    The two limits are scalar subqueries, one aggregate of one row.
     """
     rows = with_failures(sites)
     low = rows.agg(F.min("failures")).scalar()
@@ -187,7 +188,7 @@ def lift_worst_share(sites: DataFrame, share: float = 0.10, group_rows: int = GR
     rows = sites.select("region", "site_id", "tests", "mean_site", "mean_region")
     order = [F.bround("mean_site", 9), F.col("site_id")]
     placed = row_numbers(rows, ["region"], order, "_pos", group_rows)
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n_sites"))
+    sizes = keep(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n_sites")), "sizes")
     lifted = F.when(
         F.col("_pos") <= F.floor(F.col("n_sites") * F.lit(share)),
         F.greatest("mean_site", "mean_region"),

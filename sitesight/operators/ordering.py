@@ -21,6 +21,8 @@ from sitesight.workspace import keep
 GROUP_ROWS = 2_000_000
 # Up to this many values of one key fit comfortably into one in-memory aggregate buffer.
 ARRAY_ROWS = 100_000
+# Beyond this many slices they grow instead; a slice's sort spills to disk.
+MAX_SLICES = 20_000
 SLICE = "__slice"
 
 
@@ -46,7 +48,7 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, rows: int) -> DataFrame:
-    n = max(2, math.ceil(total / rows))
+    n = min(MAX_SLICES, max(2, math.ceil(total / rows)))
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
     return keep(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
@@ -71,10 +73,11 @@ def row_numbers(
         return df.withColumn(out, F.row_number().over(w).cast("bigint"))
     rows = _slices(df, keys, order, total, group_rows)
     part = [*keys, SLICE]
-    before = (
+    before = keep(
         rows.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*part, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"))
+        .select(*part, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before")),
+        "before",
     )
     local = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     return (
@@ -101,10 +104,11 @@ def running_sum(
         return df.withColumn(out, F.sum(value).over(w))
     rows = _slices(df, keys, order, total, group_rows)
     part = [*keys, SLICE]
-    before = (
+    before = keep(
         rows.groupBy(*part)
         .agg(F.sum(value).alias("__v"))
-        .select(*part, F.coalesce(F.sum("__v").over(_earlier(keys)), F.lit(0)).alias("__before"))
+        .select(*part, F.coalesce(F.sum("__v").over(_earlier(keys)), F.lit(0)).alias("__before")),
+        "before",
     )
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
     return (
@@ -139,7 +143,7 @@ def dense_ranks(
     w = Window.partitionBy(*part).orderBy(first)
     local = rows.withColumn("__dr", F.dense_rank().over(w))
     entry, leave = (F.min, F.max) if ascending else (F.max, F.min)
-    before = (
+    before = keep(
         local.groupBy(*part)
         .agg(F.max("__dr").alias("__n"), entry(F.struct(value)).alias("__from"), leave(F.struct(value)).alias("__to"))
         .withColumn(
@@ -159,7 +163,8 @@ def dense_ranks(
                     F.lit(0),
                 )
             ).alias("__before"),
-        )
+        ),
+        "before",
     )
     return (
         same_keys(local, before, part)
@@ -188,7 +193,7 @@ def quantiles(
             *[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
         )
     placed = row_numbers(rows, keys, [F.col("_v").asc()], "_rn", group_rows)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "sizes")
     if keys:
         placed = same_keys(placed, sizes, keys)
     else:

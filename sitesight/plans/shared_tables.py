@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import ratio
 from sitesight.operators.ordering import row_numbers
-from sitesight.workspace import kept_once
+from sitesight.workspace import keep, kept_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,11 +96,12 @@ def build_draws_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "value",
     )
-    shortest = (
+    shortest = keep(
         events.groupBy("param", "chain")
         .count()
         .groupBy("param")
-        .agg(F.min("count").alias("draws"))
+        .agg(F.min("count").alias("draws")),
+        "shortest",
     )
     numbered = row_numbers(
         events, ["param", "chain"], [F.col("ts"), F.col("event_id")], "draw"
