@@ -39,7 +39,7 @@ def interval_text(low: Column, high: Column, digits: int = 3) -> Column:
 
 
 def parameter_index(name: Column) -> Column:
-    """The number inside brackets of a name such as ``mu_mun[12]``."""
+    """The number inside brackets of a name such as ``rate[12]``."""
     return F.regexp_extract(name, r"\[(\d+)\]", 1).cast("int")
 
 

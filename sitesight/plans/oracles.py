@@ -191,7 +191,7 @@ SITE_SQL: dict[str, str] = {
     "impact_by_municipality": W_EST
     + f"""SELECT region, municipality, site_id, failures,
          {r('(failures - min_failures) / (max_failures - min_failures + 1e-8)', 'failures_norm')},
-         {r(IMPACT, 'impact')} FROM est""",
+         {r(IMPACT, 'impact', 9)} FROM est""",
     "impact_rank": W_EST
     + f"""SELECT region, municipality, site_id,
          row_number() OVER (PARTITION BY region, municipality ORDER BY {IMPACT} DESC, site_id)::BIGINT AS rank
@@ -200,13 +200,13 @@ SITE_SQL: dict[str, str] = {
     + """, lim AS (SELECT min(failures) AS lo, max(failures) AS hi FROM est),
          imp AS (SELECT region, municipality, site_id, failures,
                  round_even((1 - mean_site) * (failures - lo) / (hi - lo + 1e-8), 9) AS impact FROM est, lim)
-         SELECT region, municipality, site_id, round_even(impact, 6) AS impact,
+         SELECT region, municipality, site_id, round_even(impact, 9) AS impact,
                 dense_rank() OVER (ORDER BY impact DESC)::BIGINT AS rank FROM imp""",
     "cumulative_impact": W_EST
     + f""", i AS (SELECT region, municipality, site_id, mean_mun, {IMPACT} AS impact FROM est),
          c AS (SELECT *, sum(impact) OVER (PARTITION BY region, municipality ORDER BY impact DESC, site_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS impact_cum FROM i)
-         SELECT region, municipality, site_id, {rs('impact', 'impact_cum')},
+         SELECT region, municipality, site_id, {rs('impact', 'impact_cum', digits=9)},
                 {r('impact_cum / mean_mun', 'gain')} FROM c""",
     "potential_gain": W_EST
     + f"""SELECT region, municipality, site_id, failures,
@@ -222,7 +222,7 @@ SITE_SQL: dict[str, str] = {
          {r('hi_site - lo_site', 'width')} FROM est""",
     "prioritisation_share": W_EST
     + f"""SELECT region, municipality, site_id, {rs('lo_site', 'mean_site', 'hi_site', 'lo_mun', 'mean_mun', 'hi_mun')},
-         failures, tests, successes, {r('failures::DOUBLE / tests_mun', 'failure_share')}, {r(IMPACT, 'impact')},
+         failures, tests, successes, {r('failures::DOUBLE / tests_mun', 'failure_share')}, {r(IMPACT, 'impact', 9)},
          row_number() OVER (PARTITION BY region, municipality ORDER BY failures DESC, site_id)::BIGINT AS rank
          FROM est""",
     "prioritisation_impact": W_EST
@@ -230,7 +230,7 @@ SITE_SQL: dict[str, str] = {
          imp AS (SELECT est.*, round_even((1 - mean_site) * (failures - lo) / (hi - lo + 1e-8), 9) AS impact FROM est, lim)
          SELECT region, municipality, site_id,
          {rs('lo_site', 'mean_site', 'hi_site', 'lo_mun', 'mean_mun', 'hi_mun')}, failures, tests, successes,
-         {r('impact')}, dense_rank() OVER (ORDER BY impact DESC)::BIGINT AS rank FROM imp""",
+         {r('impact', digits=9)}, dense_rank() OVER (ORDER BY impact DESC)::BIGINT AS rank FROM imp""",
     "below_municipality": W_EST
     + f"SELECT region, municipality, site_id, {rs('mean_site', 'hi_site', 'mean_mun')} FROM est WHERE hi_site < mean_mun",
     "below_target": W_EST
@@ -343,7 +343,7 @@ SITE_SQL: dict[str, str] = {
          {r('lgamma(successes + 2) + lgamma(tests - successes + 2) - lgamma(tests + 4)', 'log_beta')}
          FROM site_fact""",
     "param_index": W_SITE
-    + """, named AS (SELECT 'mu_mun[' || site_id || ']' AS name, tests FROM site_fact)
+    + """, named AS (SELECT 'rate[' || site_id || ']' AS name, tests FROM site_fact)
          SELECT name, CAST(regexp_extract(name, '\\[(\\d+)\\]', 1) AS INTEGER) AS idx, tests FROM named""",
     "posterior_semi": W_SITE
     + """, est AS (SELECT municipality FROM site_fact GROUP BY 1 HAVING sum(tests) > 2400)

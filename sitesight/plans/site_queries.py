@@ -31,10 +31,15 @@ def monthly_municipalities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Impacts carry nine decimals already; rounding them a second time would only make ties.
+NINE_DECIMALS = {"impact", "impact_cum"}
+
+
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """The named columns, doubles at ``digits`` decimals."""
     doubles = {n for n, t in df.dtypes if t == "double"}
-    return df.select(*[F.bround(c, digits).alias(c) if c in doubles else F.col(c) for c in columns])
+    places = {c: 9 if c in NINE_DECIMALS else digits for c in columns}
+    return df.select(*[F.bround(c, places[c]).alias(c) if c in doubles else F.col(c) for c in columns])
 
 
 PLACE = ["region", "municipality", "site_id"]
@@ -267,7 +272,7 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "param_index": _on_sites(
-        lambda t: t.select(F.concat(F.lit("mu_mun["), "site_id", F.lit("]")).alias("name"), "tests").select(
+        lambda t: t.select(F.concat(F.lit("rate["), "site_id", F.lit("]")).alias("name"), "tests").select(
             "name", S.parameter_index(F.col("name")).alias("idx"), "tests"
         )
     ),
