@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitesight.llm import quality
+from sitesight.llm import decontaminate, line_dedup, mixing, quality
 from sitesight.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.per_document(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of lines and the places (from 0) of those that repeat an earlier line."""
+    marked = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op10_quality_classifier,)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_decontamination, op5_line_dedup, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
