@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesight.llm import decontaminate, line_dedup, mixing, quality
+from sitesight.llm import decontaminate, jaccard_join, line_dedup, mixing, quality
 from sitesight.llm.common import table
 
 
@@ -23,9 +23,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_decontamination, op5_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_decontamination, op5_line_dedup, op9_jaccard_join, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
