@@ -66,17 +66,18 @@ def within_one_edit(a: Column, b: Column) -> Column:
     (low bits) and with at most one (high bits). A step takes one character of ``b``.
     """
     x, y = F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0))
+    # one row per character of b with its neighbours in a, so that the lambda holds no array
+    behind = F.slice(F.concat(F.array(F.lit(None).cast("string")), x), 1, F.size(y))
+    rows = F.arrays_zip(y.alias("c"), behind.alias("d0"), x.alias("d1"), F.slice(x, 2, F.size(y)).alias("d2"))
 
-    def step(s: Column, i: Column) -> Column:
-        same = [F.when(F.get(x, i + k - 1) == F.get(y, i), F.lit(1 << k)).otherwise(0) for k in range(3)]
-        band = same[0] + same[1] + same[2]
+    def step(s: Column, row: Column) -> Column:
+        band = sum((F.when(row[f"d{k}"] == row["c"], F.lit(1 << k)).otherwise(0) for k in range(3)), F.lit(0))
         d0, d1 = s.bitwiseAND(7), F.shiftright(s, 3)
         free = d0.bitwiseAND(band)
         one = d1.bitwiseAND(band).bitwiseOR(d0).bitwiseOR(F.shiftright(d0, 1)).bitwiseOR(F.shiftleft(free, 1)).bitwiseAND(7)
         return free + F.shiftleft(one, 3)
 
-    last = F.aggregate(F.sequence(F.lit(0), F.length(b) - 1), F.lit(0b110_010), step)
-    reached = last.bitwiseOR(F.shiftright(last, 3))
+    reached = F.aggregate(rows, F.lit(0b110_010), step, lambda s: s.bitwiseOR(F.shiftright(s, 3)))
     return F.call_function("shiftright", reached, F.length(a) - F.length(b) + 1).bitwiseAND(1) == 1
 
 
