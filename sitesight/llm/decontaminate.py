@@ -33,7 +33,7 @@ from sitesight.workspace import keep
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
-BLOCK_ITEMS, SHARD_WORDS = 16, 2_000_000
+BLOCK_ITEMS, SHARD_WORDS = 4, 2_000_000
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -147,7 +147,8 @@ def _matches(index: ItemIndex, half: int, ids: list, texts: list) -> dict:
         hit = terms >= 0
         terms, chunk = terms[hit], chunk[hit]
         rare = index.rare[terms]
-        hopeful = index.hopeful(terms[rare], chunk[rare], follows)
+        once = np.unique(chunk[rare] * len(index.docs) + terms[rare])
+        hopeful = index.hopeful(once % len(index.docs), once // len(index.docs), follows)
         best: dict[tuple[int, int], tuple] = {}
         for c, k in zip(hopeful, np.searchsorted(first, hopeful, "right") - 1):
             low = (c - first[k]) * half
