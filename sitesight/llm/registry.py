@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesight.llm import decontaminate, jaccard_join, lattice_lm, line_dedup, mixing, nearest, quality
+from sitesight.llm import decontaminate, jaccard_join, language_crf, lattice_lm, line_dedup, mixing, nearest, quality
 from sitesight.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.predicted(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest_neighbours, op3_decontamination, op5_line_dedup, op6_lattice_lm, op9_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest_neighbours, op3_decontamination, op5_line_dedup, op6_lattice_lm, op7_language_crf, op9_jaccard_join, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
