@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesight.llm import decontaminate, jaccard_join, language_crf, lattice_lm, line_dedup, mixing, nearest, quality
+from sitesight.llm import decontaminate, jaccard_join, language_crf, lattice_lm, licences, line_dedup, mixing, nearest, pii, quality
 from sitesight.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's number of lines and the places (from 0) of those that repeat an earlier line."""
     marked = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -35,6 +39,10 @@ def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.predicted(table(spark, sf_dir, "documents"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.matches(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest_neighbours, op3_decontamination, op5_line_dedup, op6_lattice_lm, op7_language_crf, op9_jaccard_join, op10_quality_classifier)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_nearest_neighbours, op3_decontamination, op4_pii, op5_line_dedup, op6_lattice_lm, op7_language_crf,
+        op8_licences, op9_jaccard_join, op10_quality_classifier,
+    )
+}
+ORACLES: dict[str, str] = {"op8_licences": licences.duckdb_sql()}
