@@ -152,7 +152,11 @@ def linked_lines(docs: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``n_lines`` and ``dropped``, the sorted places of lines to drop."""
+    """``docs`` (doc_id, text and others) with ``n_lines`` and ``dropped``, the sorted places of lines to drop.
+
+    Columns of ``docs`` with these two names are replaced.
+    """
+    docs = docs.drop("n_lines", "dropped")
     narrow = _lines(docs, min_chars).select("doc_id", "text_key", "pos", "id", _half_keys().alias("keys"))
     lines = keep(narrow, "line-keys")
     labels = components(linked_lines(docs, lines, min_chars))
@@ -161,14 +165,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     first = classed.groupBy(F.coalesce("label", "id").alias("class")).agg(F.min(F.struct(*places)).alias("f")).select("f.*")
     same = [lines["text_key"] == first["text_key"], lines["pos"] == first["pos"], lines["doc_id"].eqNullSafe(first["doc_id"])]
     gone = lines.select(*places).join(first, same, "left_anti").groupBy(*places[:2]).agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
-    gone = keep(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "dropped"), "gone")
+    gone = keep(gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key"), "dropped"), "gone")
     text = F.col("text").cast("string")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
     return (
         docs.withColumn("n_lines", n_lines)
-        .join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+        .join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_key")), "left")
         .withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-        .drop("_id", "_key")
+        .drop("__gone_id", "__gone_key")
     )
 
 

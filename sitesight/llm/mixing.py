@@ -164,10 +164,11 @@ def per_document(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed_corpus(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: the columns of ``docs`` for every copy, with copy, shard and place."""
+    """The mix itself: the columns of ``docs`` for every copy, with copy, shard and place (which replace columns of these names)."""
+    docs = docs.drop("copy", "shard", "place")
     _, placed = mix(docs, seed)
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("_t", F.xxhash64(text, text.isNull()))
-    at = keep(placed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_k"), "copy", "shard", "place"), "placed")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_t") == F.col("_k"))
-    return keyed.join(at, same).drop("_t", "_d", "_s", "_k")
+    keyed = docs.withColumn("__text", F.xxhash64(text, text.isNull()))
+    at = keep(placed.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), "copy", "shard", "place"), "placed")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__key"))
+    return keyed.join(at, same).drop("__text", "__doc", "__source", "__key")
