@@ -52,10 +52,11 @@ def clip_low(value: Column, low: float = 0.0) -> Column:
 
 
 def month_from_label(text: Column) -> Column:
-    """First day of the month for a label ``mmm/yy``; null for an unknown name."""
+    """First day of the month for a label ``mmm/yy``; null for an unknown name. 69-99 are 1969-1999, 00-68 are 2000-2068."""
     names = F.array(*[F.lit(m) for m in MONTHS_PT])
     number = F.array_position(names, F.lower(F.substring(text, 1, 3))).cast("int")
-    year = F.substring(text, 5, 2).cast("int") + 2000
+    short = F.substring(text, 5, 2).cast("int")
+    year = short + F.when(short >= 69, 1900).otherwise(2000)
     return F.when(number > 0, F.make_date(year, number, F.lit(1)))
 
 

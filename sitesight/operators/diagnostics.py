@@ -90,18 +90,23 @@ def autocovariance(draws: DataFrame, keys: Sequence[str], max_lag: int, block: i
 
 
 def _ess_up_to(draws: DataFrame, keys: list[str], max_lag: int, block: int) -> DataFrame:
-    """ess per key, null where the sum of positive pairs has not ended within ``max_lag``."""
+    """ess per key, null where the sum of positive pairs has not ended within ``max_lag``.
+
+    Chains may differ in length: the total is the sum of their draws, the scale their mean
+    length. A key whose chains are all constant has as many effective draws as draws; one
+    without two draws in a chain has none to estimate from, and null.
+    """
     acov = keep(autocovariance(draws, keys, max_lag, block), "acov")
-    chains = draws.groupBy(*keys, "chain").agg(F.avg("value").alias("_m"))
+    chains = draws.groupBy(*keys, "chain").agg(F.avg("value").alias("_m"), F.count("value").alias("_len"))
     between = chains.groupBy(*keys).agg(
-        F.coalesce(F.var_samp("_m"), F.lit(0.0)).alias("_b"), F.count(F.lit(1)).alias("_chains")
+        F.coalesce(F.var_samp("_m"), F.lit(0.0)).alias("_b"), F.count(F.lit(1)).alias("_chains"),
+        F.avg("_len").alias("_n"), F.sum("_len").alias("_total"), F.max("_len").alias("_longest"),
     )
-    mean_acov = acov.groupBy(*keys, "lag").agg(F.avg("acov").alias("_a"), F.min("n").alias("_n"))
+    mean_acov = acov.groupBy(*keys, "lag").agg(F.avg("acov").alias("_a"))
     zero = mean_acov.where("lag = 0").select(*keys, F.col("_a").alias("_a0"))
     base = same_keys(zero, between, keys)
     rows = same_keys(mean_acov, base, keys)
-    n = F.col("_n").cast("double")
-    mean_var = F.col("_a0") * n / (n - 1)
+    mean_var = F.col("_a0") * F.try_divide(F.col("_n"), F.col("_n") - 1)
     var_plus = F.col("_a0") + F.when(F.col("_chains") > 1, F.col("_b")).otherwise(0.0)
     rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(
         1 - F.try_divide(mean_var - F.col("_a"), var_plus)
@@ -111,7 +116,7 @@ def _ess_up_to(draws: DataFrame, keys: list[str], max_lag: int, block: int) -> D
         .groupBy(*keys, F.floor(F.col("lag") / 2).alias("_k"))
         .agg(
             F.sum("_rho").alias("_p"), F.count(F.lit(1)).alias("_have"),
-            F.first("_chains").alias("_chains"), F.first("_n").alias("_n"),
+            F.first("_total").alias("_total"), F.first("_longest").alias("_longest"),
         )
         .where("_have = 2")
     )
@@ -126,16 +131,13 @@ def _ess_up_to(draws: DataFrame, keys: list[str], max_lag: int, block: int) -> D
             F.sum(F.when(F.col("_ended") == 0, F.col("_low"))).alias("_sum"),
             F.max("_ended").alias("_done"),
             F.max("_k").alias("_last"),
-            F.first("_chains").alias("_chains"),
-            F.first("_n").alias("_n"),
+            F.first("_total").alias("_total"),
+            F.first("_longest").alias("_longest"),
         )
-        .withColumn("_done", (F.col("_done") == 1) | (2 * F.col("_last") + 3 >= F.col("_n")))
+        .withColumn("_done", (F.coalesce("_done", F.lit(1)) == 1) | (2 * F.col("_last") + 3 >= F.col("_longest")))
         .select(
             *keys,
-            F.when(
-                F.col("_done"),
-                F.try_divide((F.col("_chains") * F.col("_n")).cast("double"), 2 * F.col("_sum") - 1),
-            ).alias("ess"),
+            F.when(F.col("_done"), F.try_divide(F.col("_total").cast("double"), 2 * F.col("_sum") - 1)).alias("ess"),
             "_done",
         )
     )
@@ -148,14 +150,24 @@ def effective_size(draws: DataFrame, keys: Sequence[str], max_lag: int = 64, blo
     reach until every key has ended, so the lag is a starting point and not a cut.
     """
     keys = list(keys)
-    todo, done = draws, []
+    plain = keep(
+        draws.groupBy(*keys, "chain").agg(F.count("value").alias("_len"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        .groupBy(*keys).agg(
+            F.sum("_len").cast("double").alias("_total"), F.max("_len").alias("_longest"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
+        ),
+        "plain_keys",
+    )
+    constant = plain.where("_longest > 1 and _lo = _hi").select(*keys, F.col("_total").alias("ess"))
+    single = plain.where("_longest <= 1").select(*keys, F.lit(None).cast("double").alias("ess"))
+    varied = plain.where("_longest > 1 and not _lo <=> _hi").select(*keys)
+    todo, done = same_keys(draws, varied, keys), [constant, single]
     while True:
         result = keep(_ess_up_to(todo, keys, max_lag, block), "ess")
         done.append(result.where("_done").drop("_done"))
         if result.where(~F.col("_done")).isEmpty():
             break
         open_keys = result.where(~F.col("_done")).select(*keys)
-        todo = keep(todo.join(open_keys, keys, "left_semi"), "open_chains")
+        todo = keep(same_keys(todo, open_keys, keys), "open_chains")
         max_lag *= 2
     out = done[0]
     for d in done[1:]:
@@ -221,7 +233,7 @@ def full_summary(draws: DataFrame, keys: Sequence[str], mass: float = 0.94, max_
     keys = list(keys)
     out = moments(draws, keys, sample=True)
     for part in (hdi(draws, keys, mass), effective_size(draws, keys, max_lag), rhat(draws, keys, split=True)):
-        out = same_keys(out, part, keys)
+        out = same_keys(out, part, keys, "left")
     return out.withColumn("mcse", F.col("sd") / F.sqrt("ess"))
 
 

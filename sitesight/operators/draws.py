@@ -73,10 +73,12 @@ def hdi(
     map-side combined minimum.
     """
     keys = list(keys)
-    rows = draws.select(*keys, F.col("value").alias("_v")).where(F.col("_v").isNotNull())
+    # the hash of the row lets a much repeated value lie in several slices
+    rows = draws.select(*keys, F.col("value").alias("_v"), F.xxhash64(*draws.columns).alias("_tie")).where(F.col("_v").isNotNull())
+    reach = lambda n: F.least(F.floor(n * F.lit(mass)), n - 1)
     _, top = group_sizes(rows, keys)
     if top <= array_rows:
-        n, k = F.size("_x"), F.floor(F.size("_x") * F.lit(mass)).cast("int")
+        n, k = F.size("_x"), reach(F.size("_x")).cast("int")
         pairs = F.zip_with(
             F.slice("_x", 1, n - k),
             F.slice("_x", k + 1, n - k),
@@ -88,10 +90,10 @@ def hdi(
             .select(*keys, F.array_min(pairs).alias("_best"))
         )
     else:
-        placed = row_numbers(rows, keys, [F.col("_v")], "_rn", group_rows)
+        placed = row_numbers(rows, keys, [F.col("_v"), F.col("_tie")], "_rn", group_rows)
         sizes = keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
         low = same_keys(placed, sizes, keys).select(
-            *keys, F.col("_v").alias("_a"), (F.col("_rn") + F.floor(F.col("_n") * F.lit(mass))).alias("_rn")
+            *keys, F.col("_v").alias("_a"), (F.col("_rn") + reach(F.col("_n"))).alias("_rn")
         )
         best = (
             same_keys(low, placed, [*keys, "_rn"])

@@ -216,11 +216,11 @@ def budget_share(sites: DataFrame, target: float = TARGET) -> DataFrame:
 
 def volume_extremes(sites: DataFrame, n: int = 15, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Sites with most tests, then farthest from the median rate, with a label."""
-    rows = sites.select("municipality", "site_id", "tests", "mean_site")
+    rows = sites.select("region", "municipality", "site_id", "tests", "mean_site")
     median = quantiles(rows, [], "mean_site", {"median": 0.5}, group_rows).scalar()
     return (
         rows.withColumn("distance", F.bround(F.abs(F.col("mean_site") - median), 9))
-        .orderBy(F.col("tests").desc(), F.col("distance").desc(), "site_id")
+        .orderBy(F.col("tests").desc(), F.col("distance").desc(), "site_id", "region", "municipality")
         .limit(n)
         .withColumn("label", label(F.col("site_id").cast("string"), F.col("municipality")))
     )
@@ -228,8 +228,9 @@ def volume_extremes(sites: DataFrame, n: int = 15, group_rows: int = GROUP_ROWS)
 
 def volume_against_rate(sites: DataFrame, n: int = 15, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Every site's tests and rate; the extremes carry their label, the others null."""
-    marked = volume_extremes(sites, n, group_rows).select("site_id", "label")
-    return sites.select("site_id", "tests", "mean_site").join(F.broadcast(marked), "site_id", "left")
+    place = ["region", "municipality", "site_id"]
+    marked = volume_extremes(sites, n, group_rows).select(*place, "label")
+    return sites.select(*place, "tests", "mean_site").join(marked, place, "left")
 
 
 def management_report(sites: DataFrame, municipalities: DataFrame) -> DataFrame:
@@ -279,8 +280,8 @@ def method_comparison(sites: DataFrame) -> DataFrame:
 
 
 def month_panel(monthly: DataFrame) -> DataFrame:
-    """Distinct (municipality, month) estimates of a consolidated result table."""
-    return monthly.select("municipality", "lo_mun", "mean_mun", "hi_mun", "month").distinct()
+    """Distinct (region, municipality, month) estimates of a consolidated result table."""
+    return monthly.select("region", "municipality", "lo_mun", "mean_mun", "hi_mun", "month").distinct()
 
 
 def first_and_last_month(panel: DataFrame) -> DataFrame:
@@ -290,17 +291,17 @@ def first_and_last_month(panel: DataFrame) -> DataFrame:
 def end_months(panel: DataFrame) -> DataFrame:
     """Per municipality its estimates in the panel's last and first month.
 
-    Two filtered reads of the panel meet on the municipality; one without a row in either
+    Two filtered reads of the panel meet on region and municipality; one without a row in either
     end month is left out, as an inner join does.
     """
     ends = first_and_last_month(panel)
     last = panel.where(F.col("month") == ends.select("last_month").scalar()).select(
-        "municipality", "lo_mun", F.col("mean_mun").alias("mean_last")
+        "region", "municipality", "lo_mun", F.col("mean_mun").alias("mean_last")
     )
     first = panel.where(F.col("month") == ends.select("first_month").scalar()).select(
-        "municipality", F.col("mean_mun").alias("mean_first")
+        "region", "municipality", F.col("mean_mun").alias("mean_first")
     )
-    return last.join(first, "municipality")
+    return last.join(first, ["region", "municipality"])
 
 
 def improved_municipalities(panel: DataFrame) -> DataFrame:
@@ -310,4 +311,5 @@ def improved_municipalities(panel: DataFrame) -> DataFrame:
 
 def month_series(panel: DataFrame, chosen: DataFrame) -> DataFrame:
     """(month, lo, mean, hi) of the municipalities named in ``chosen``, in time order."""
-    return panel.join(chosen.select("municipality"), "municipality", "left_semi").orderBy("municipality", "month")
+    place = ["region", "municipality"]
+    return panel.join(chosen.select(*place), place, "left_semi").orderBy(*place, "month")

@@ -107,13 +107,15 @@ def running_sum(
     before = keep(
         rows.groupBy(*part)
         .agg(F.sum(value).alias("__v"))
-        .select(*part, F.coalesce(F.sum("__v").over(_earlier(keys)), F.lit(0)).alias("__before")),
+        .select(*part, F.sum("__v").over(_earlier(keys)).alias("__before")),
         "before",
     )
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
+    # null only where there has been no value yet, as in a plain window
+    total_so_far = F.when(F.col("__sum").isNull(), F.col("__before")).otherwise(F.col("__sum") + F.coalesce("__before", F.lit(0)))
     return (
         same_keys(rows.withColumn("__sum", F.sum(value).over(w)), before, part)
-        .withColumn(out, F.col("__sum") + F.col("__before"))
+        .withColumn(out, total_so_far)
         .drop("__sum", "__before", SLICE)
     )
 
@@ -186,13 +188,14 @@ def quantiles(
     largest key is small. Otherwise the rows at the wanted positions are picked.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    # the hash of the row lets a much repeated value lie in several slices
+    rows = df.select(*keys, F.col(value).alias("_v"), F.xxhash64(*df.columns).alias("_tie")).where(F.col("_v").isNotNull())
     _, top = group_sizes(rows, keys)
     if top <= min(group_rows, ARRAY_ROWS):
         return rows.groupBy(*keys).agg(
             *[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
         )
-    placed = row_numbers(rows, keys, [F.col("_v").asc()], "_rn", group_rows)
+    placed = row_numbers(rows, keys, [F.col("_v").asc(), F.col("_tie")], "_rn", group_rows)
     sizes = keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "sizes")
     if keys:
         placed = same_keys(placed, sizes, keys)

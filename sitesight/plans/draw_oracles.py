@@ -10,12 +10,7 @@ numbered AS (
          row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY ts, event_id)::BIGINT AS draw, value
   FROM events
 ),
-shortest AS (
-  SELECT param, min(c) AS draws FROM (SELECT param, chain, count(*) AS c FROM numbered GROUP BY 1, 2) GROUP BY 1
-),
-draws_fact AS (
-  SELECT n.param, n.chain, n.draw, n.value FROM numbered n JOIN shortest s ON n.param = s.param WHERE n.draw <= s.draws
-)"""
+draws_fact AS (SELECT param, chain, draw, value FROM numbered)"""
 
 W = f"WITH {DRAWS}\n"
 
@@ -70,15 +65,15 @@ x AS (SELECT d.param, d.chain, d.draw, d.value - m AS x, n FROM draws_fact d JOI
 acov AS (SELECT a.param, a.chain, l.lag, sum(a.x * b.x) / any_value(a.n) AS c, any_value(a.n) AS n
          FROM x a CROSS JOIN (SELECT unnest(range(0, 65)) AS lag) l
          JOIN x b ON a.param = b.param AND a.chain = b.chain AND b.draw = a.draw + l.lag GROUP BY 1, 2, 3),
-macov AS (SELECT param, lag, avg(c) AS a, min(n) AS n FROM acov GROUP BY 1, 2),
-btw AS (SELECT param, coalesce(var_samp(m), 0) AS b, count(*) AS chains FROM mu GROUP BY 1),
-rho AS (SELECT q.param, q.lag, q.n, chains, CASE WHEN q.lag = 0 THEN 1.0::DOUBLE
-          ELSE 1 - (z.a * q.n / (q.n - 1) - q.a) / (z.a + CASE WHEN chains > 1 THEN b ELSE 0 END) END AS rho
+macov AS (SELECT param, lag, avg(c) AS a FROM acov GROUP BY 1, 2),
+btw AS (SELECT param, coalesce(var_samp(m), 0) AS b, count(*) AS chains, avg(n) AS n, sum(n) AS total FROM mu GROUP BY 1),
+rho AS (SELECT q.param, q.lag, total, CASE WHEN q.lag = 0 THEN 1.0::DOUBLE
+          ELSE 1 - (z.a * n / (n - 1) - q.a) / (z.a + CASE WHEN chains > 1 THEN b ELSE 0 END) END AS rho
         FROM macov q JOIN macov z ON q.param = z.param AND z.lag = 0 JOIN btw ON q.param = btw.param),
-pairs AS (SELECT param, lag // 2 AS k, sum(rho) AS p, any_value(n) AS n, any_value(chains) AS chains
+pairs AS (SELECT param, lag // 2 AS k, sum(rho) AS p, any_value(total) AS total
           FROM rho GROUP BY 1, 2 HAVING count(*) = 2),
 mono AS (SELECT *, min(p) OVER (PARTITION BY param ORDER BY k) AS low FROM pairs),
-ess AS (SELECT param, any_value(chains) * any_value(n) / (2 * sum(CASE WHEN low >= 0 THEN low ELSE 0 END) - 1) AS ess
+ess AS (SELECT param, any_value(total)::DOUBLE / (2 * sum(CASE WHEN low >= 0 THEN low ELSE 0 END) - 1) AS ess
         FROM mono GROUP BY 1)"""
 
 DRAW_SQL: dict[str, str] = {
@@ -162,7 +157,7 @@ FROM rates q JOIN hdi h ON q.region = h.region AND q.month = h.month GROUP BY q.
     "months_parsed": f"WITH {MONTH}\n"
     + """SELECT DISTINCT ['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(month)]
            || '/' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS label, 
-         CASE WHEN year(month) >= 2000 THEN month ELSE CAST(month + INTERVAL 100 YEAR AS DATE) END AS parsed, month
+         month AS parsed, month
          FROM site_month""",
     "forest": f"""{_H94}
 SELECT d.param, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'sd')},

@@ -279,10 +279,10 @@ SITE_SQL: dict[str, str] = {
          ORDER BY tests DESC, round_even(abs(mean_site - m), 9) DESC, site_id LIMIT 15""",
     "volume_against_rate": W_EST
     + """, med AS (SELECT quantile_cont(mean_site, 0.5) AS m FROM est),
-         top AS (SELECT site_id, concat(CAST(site_id AS VARCHAR), ', ', municipality) AS label FROM est, med
+         top AS (SELECT region, municipality, site_id, concat(CAST(site_id AS VARCHAR), ', ', municipality) AS label FROM est, med
                  ORDER BY tests DESC, round_even(abs(mean_site - m), 9) DESC, site_id LIMIT 15)
-         SELECT est.site_id, tests, round_even(mean_site, 6) AS mean_site, label
-         FROM est LEFT JOIN top ON est.site_id = top.site_id""",
+         SELECT region, municipality, site_id, tests, round_even(mean_site, 6) AS mean_site, label
+         FROM est LEFT JOIN top USING (region, municipality, site_id)""",
     "median_rate": W_EST
     + f"SELECT region, {r('quantile_cont(mean_site, 0.5)', 'median')} FROM est GROUP BY region",
     "management_report": W_EST
@@ -356,16 +356,16 @@ SITE_SQL: dict[str, str] = {
     "monthly_sites": W_MONTH
     + f"SELECT month, region, municipality, site_id, {rs('mean_site', 'lo_site', 'hi_site', digits=9)} FROM est",
     "panel_union": W_MONTH
-    + f"""SELECT DISTINCT municipality, {rs('lo_mun', 'mean_mun', 'hi_mun', digits=9)}, month FROM mun_est""",
+    + f"""SELECT DISTINCT region, municipality, {rs('lo_mun', 'mean_mun', 'hi_mun', digits=9)}, month FROM mun_est""",
     "improved_municipalities": W_MONTH
     + """, e AS (SELECT min(month) AS f, max(month) AS l FROM mun_est)
-         SELECT a.municipality, round_even(a.lo_mun, 9) AS lo_mun, round_even(b.mean_mun, 9) AS mean_first
-         FROM mun_est a JOIN mun_est b ON a.municipality = b.municipality, e
+         SELECT a.region, a.municipality, round_even(a.lo_mun, 9) AS lo_mun, round_even(b.mean_mun, 9) AS mean_first
+         FROM mun_est a JOIN mun_est b ON a.region = b.region AND a.municipality = b.municipality, e
          WHERE a.month = e.l AND b.month = e.f AND a.lo_mun > b.mean_mun""",
     "month_series": W_MONTH
     + """, e AS (SELECT min(month) AS f, max(month) AS l FROM mun_est),
-         chosen AS (SELECT a.municipality FROM mun_est a JOIN mun_est b ON a.municipality = b.municipality, e
+         chosen AS (SELECT a.region, a.municipality FROM mun_est a JOIN mun_est b ON a.region = b.region AND a.municipality = b.municipality, e
                     WHERE a.month = e.l AND b.month = e.f AND a.mean_mun > b.mean_mun)
-         SELECT municipality, month, round_even(lo_mun, 9) AS lo_mun, round_even(mean_mun, 9) AS mean_mun,
-                round_even(hi_mun, 9) AS hi_mun FROM mun_est WHERE municipality IN (SELECT municipality FROM chosen)""",
+         SELECT region, municipality, month, round_even(lo_mun, 9) AS lo_mun, round_even(mean_mun, 9) AS mean_mun,
+                round_even(hi_mun, 9) AS hi_mun FROM mun_est SEMI JOIN chosen USING (region, municipality)""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import ratio
 from sitesight.operators.ordering import row_numbers
-from sitesight.workspace import keep, kept_once
+from sitesight.workspace import kept_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +88,7 @@ def build_site_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_draws_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """param, chain, draw, value; every chain of a param cut to its shortest chain."""
+    """param, chain, draw, value: every event is a draw; chains differ in length."""
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("param"),
         (F.col("user_id") % 4).cast("int").alias("chain"),
@@ -96,21 +96,10 @@ def build_draws_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "value",
     )
-    shortest = keep(
-        events.groupBy("param", "chain")
-        .count()
-        .groupBy("param")
-        .agg(F.min("count").alias("draws")),
-        "shortest",
-    )
     numbered = row_numbers(
         events, ["param", "chain"], [F.col("ts"), F.col("event_id")], "draw"
     )
-    return (
-        numbered.join(shortest, "param")
-        .where(F.col("draw") <= F.col("draws"))
-        .select("param", "chain", "draw", "value")
-    )
+    return numbered.select("param", "chain", "draw", "value")
 
 
 def site_fact(spark: SparkSession, sf_dir: str) -> DataFrame:

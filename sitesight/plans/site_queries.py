@@ -70,7 +70,7 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
 
 def _rising(panel: DataFrame) -> DataFrame:
     """Municipalities with a higher mean in the panel's last month than in its first."""
-    return kpi.end_months(panel).where("mean_last > mean_first").select("municipality")
+    return kpi.end_months(panel).where("mean_last > mean_first").select("region", "municipality")
 
 
 def _known(sites: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ QUERIES: dict[str, Query] = {
     "volume_extremes": _on_estimates(
         kpi.volume_extremes, "municipality", "site_id", "tests", "mean_site", "distance", "label"
     ),
-    "volume_against_rate": _on_estimates(kpi.volume_against_rate, "site_id", "tests", "mean_site", "label"),
+    "volume_against_rate": _on_estimates(kpi.volume_against_rate, *PLACE, "tests", "mean_site", "label"),
     "median_rate": _on_estimates(
         lambda e: quantiles(e, ["region"], "mean_site", {"median": 0.5}), "region", "median"
     ),
@@ -290,11 +290,11 @@ QUERIES: dict[str, Query] = {
         shrinkage.site_estimates(site_month(s, d), monthly_municipalities(s, d), ["month"]),
         "month", *PLACE, "mean_site", "lo_site", "hi_site", digits=9,
     ),
-    "panel_union": lambda s, d: shown(_panel(s, d), "municipality", "lo_mun", "mean_mun", "hi_mun", "month", digits=9),
+    "panel_union": lambda s, d: shown(_panel(s, d), "region", "municipality", "lo_mun", "mean_mun", "hi_mun", "month", digits=9),
     "improved_municipalities": lambda s, d: shown(
-        kpi.improved_municipalities(_panel(s, d)), "municipality", "lo_mun", "mean_first", digits=9
+        kpi.improved_municipalities(_panel(s, d)), "region", "municipality", "lo_mun", "mean_first", digits=9
     ),
     "month_series": lambda s, d: shown(
-        kpi.month_series(_panel(s, d), _rising(_panel(s, d))), "municipality", "month", "lo_mun", "mean_mun", "hi_mun", digits=9
+        kpi.month_series(_panel(s, d), _rising(_panel(s, d))), "region", "municipality", "month", "lo_mun", "mean_mun", "hi_mun", digits=9
     ),
 }

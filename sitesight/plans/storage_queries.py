@@ -49,6 +49,31 @@ def _month_partitions(spark: SparkSession, d: str) -> DataFrame:
     return shown(back, "month", "municipality", "mean_mun", digits=9)
 
 
+def _month_append(spark: SparkSession, d: str) -> DataFrame:
+    """One month is written after the others; all of them are read back."""
+    folder = _folder(spark, "appended")
+    monthly = monthly_municipalities(spark, d).select("month", "region", "municipality", "mean_mun")
+    last = F.col("month") >= "1998-01-01"
+    T.write_result(monthly.where(~last), folder)
+    T.write_result(monthly.where(last), folder)
+    return shown(spark.read.schema(monthly.schema).parquet(folder), "month", "region", "municipality", "mean_mun", digits=9)
+
+
+def _read_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV whose header has another order, and tables that lack a column: found by name, refused by name."""
+    folder = _folder(spark, "by_name")
+    raw = site_fact(spark, d).select("rate", "municipality", "tests", F.col("site_id").cast("string").alias("site_id"), "region")
+    T.write_result(raw, f"{folder}/csv", "csv")
+    T.write_result(raw.drop("rate"), f"{folder}/lacking")
+    try:
+        T.read_site_table(spark, f"{folder}/lacking")
+        refused = False
+    except T.MissingColumns:
+        refused = True
+    back = T.read_site_table(spark, f"{folder}/csv", fmt="csv").withColumn("lacking_refused", F.lit(refused))
+    return shown(back, "region", "municipality", "site_id", "tests", "rate", "lacking_refused")
+
+
 def _csv(spark: SparkSession, d: str) -> DataFrame:
     """The raw site table out to CSV and in again under its declared schema."""
     folder = _folder(spark, "csv")
@@ -102,6 +127,8 @@ def _catalog(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "result_folder_scan": _result_folder,
     "month_partitions": _month_partitions,
+    "month_append": _month_append,
+    "read_by_name": _read_by_name,
     "csv_round_trip": _csv,
     "levels_round_trip": _levels,
     "draws_round_trip": _draws,
@@ -118,6 +145,8 @@ ORACLES: dict[str, str] = {
     "month_partitions": W_MONTH
     + f"""SELECT month, municipality, {r('mean_mun', digits=9)} FROM mun_est
          WHERE month >= DATE '1997-01-01' AND month < DATE '1998-01-01'""",
+    "month_append": W_MONTH + f"SELECT month, region, municipality, {r('mean_mun', digits=9)} FROM mun_est",
+    "read_by_name": W_EST + f"SELECT {_AS_TEXT}, tests, {r('rate')}, true AS lacking_refused FROM site_fact",
     "csv_round_trip": W_EST + f"SELECT {_AS_TEXT}, tests, successes, {r('rate')} FROM site_fact",
     "levels_round_trip": W_EST
     + f"""SELECT 'site' AS level, region, municipality, site_id, {r('mean_site', 'mean')} FROM est

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,15 +60,28 @@ def read_site_table(
     schema: T.StructType = SITE_SCHEMA,
     sheet: str | None = None,
 ) -> DataFrame:
-    """One monthly site table, by folder (``sheet`` is a sub-folder) or by catalog name."""
+    """One monthly site table, by folder (``sheet`` is a sub-folder) or by catalog name.
+
+    Columns are found by name, also in CSV, whatever their order; one that the files lack is
+    an error here and not a column of nulls.
+    """
     if table is not None:
         return require_columns(spark.table(table), schema.fieldNames())
     if sheet:
         path = f"{path.rstrip('/')}/{sheet}"
-    reader = spark.read.schema(schema)
+    return _by_name(spark.read, path, fmt, schema)
+
+
+def _by_name(reader: DataFrameReader, path: str, fmt: str, schema: T.StructType, *more: Column) -> DataFrame:
+    """The columns of ``schema`` out of files that name their own columns.
+
+    CSV is read as text under its header and cast. A value that is no number in a number's
+    column fails the read (ANSI casts) rather than becoming null.
+    """
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+    found = require_columns(reader.format(fmt).load(path), schema.fieldNames())
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema], *more)
 
 
 def with_successes(sites: DataFrame) -> DataFrame:
@@ -85,16 +98,18 @@ def read_result_folder(
     """All result files below a folder, as one table with the file each row came from.
 
     Parquet files of different months may lack columns of one another; they are matched
-    by name.
+    by name. With a ``schema`` no footer but one is opened to find the columns, and every
+    file must have them; without one, CSV columns are text.
     """
     reader = spark.read.option("pathGlobFilter", f"*.{fmt}").option("recursiveFileLookup", True)
+    source = F.col("_metadata.file_name").alias("source_file")
     if schema is not None:
-        reader = reader.schema(schema)
-    elif fmt == "parquet":
+        return _by_name(reader, folder, fmt, schema, source)
+    if fmt == "parquet":
         reader = reader.option("mergeSchema", True)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.format(fmt).load(folder).withColumn("source_file", F.col("_metadata.file_name"))
+    return reader.format(fmt).load(folder).select("*", source)
 
 
 def union_months(tables: Sequence[DataFrame]) -> DataFrame:
@@ -105,9 +120,10 @@ def union_months(tables: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", by_month: bool = True) -> None:
+    """Write a result. By month it replaces the months it brings and leaves the others."""
     writer = df.write.mode("overwrite")
     if by_month and "month" in df.columns:
-        writer = writer.partitionBy("month")
+        writer = writer.partitionBy("month").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
@@ -143,17 +159,23 @@ class RowCountMismatch(RuntimeError):
 def guarded_write(result: DataFrame, source: DataFrame, path: str, fmt: str = "parquet") -> int:
     """Write the result, and keep it only if it has one row per input row.
 
-    The result is counted while it is written, so it is computed once. It goes to a
-    staging folder first; the target is replaced only when the counts agree.
+    The result is counted while it is written, so it is computed and written once. It goes
+    to a folder beside the target, which takes the target's place by a rename when the counts agree
+    and is removed otherwise.
     """
+    spark = result.sparkSession
     seen = Observation("written")
     staged = f"{path.rstrip('/')}__staged"
-    write_result(result.observe(seen, F.count(F.lit(1)).alias("n")), staged, fmt)
+    writer = result.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(staged)
     expected = source.count()
+    jvm = spark.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if seen.get["n"] != expected:
+        files.delete(new, True)
         raise RowCountMismatch(f"{seen.get['n']} result rows for {expected} input rows")
-    back = result.sparkSession.read.schema(result.schema).format(fmt)
-    if fmt == "csv":
-        back = back.option("header", True)
-    write_result(back.load(staged), path, fmt)
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"could not move {staged} to {path}")
     return expected
