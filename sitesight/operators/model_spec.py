@@ -49,6 +49,24 @@ def beta(a: float, b: float, n: int) -> Axis:
     return _axis(x, (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
 
 
+def narrowed(axis: Axis, weight: np.ndarray, n: int) -> Axis:
+    """``n`` log points where ``weight``, the posterior on the axis, has its mass; the prior is interpolated."""
+    if len(axis) < 2:
+        return axis
+    used = np.flatnonzero(weight > weight.max() * 1e-6)
+    x = np.log(axis.points)
+    half = (x[1] - x[0]) / 2
+    low, high = x[max(used[0] - 1, 0)] - half, x[min(used[-1] + 1, len(x) - 1)] + half
+    points = _log_points(float(np.exp(low)), float(np.exp(high)), n)
+    return _axis(points, np.interp(np.log(points), x, axis.log_prior))
+
+
+def rescaled(axis: Axis, old: tuple[float, float], new: tuple[float, float], n: int) -> Axis:
+    """``axis``, whose cells lie over ``old``, with ``n`` cells over ``new``; the prior is interpolated."""
+    points = new[0] + (new[1] - new[0]) * (np.arange(n) + 0.5) / n
+    return _axis(points, np.interp(points, axis.points, axis.log_prior))
+
+
 @dataclass(frozen=True)
 class Model:
     """A three-level model of success counts.
@@ -57,7 +75,8 @@ class Model:
     follow Beta(g*c, (1-g)*c) with ``top = (axis of g, axis of c)``. Municipality means
     follow Beta(a*p, (1-a)*p) and sites Beta(m*s, (1-m)*s), or, with ``link='logit'``, the
     logit of the municipality's mean plus normal noise of *variance* s. ``offset`` is
-    added to both Beta parameters above the site level.
+    added to both Beta parameters above the site level. ``region_range`` is the part of
+    0..1 over which the cells of ``region_mean`` lie.
     """
 
     site_precision: Axis
@@ -70,6 +89,7 @@ class Model:
     link: str = "beta"
     offset: float = 0.0
     noise_nodes: int = 41
+    region_range: tuple[float, float] = (0.0, 1.0)
 
     def with_grid(self, **changes) -> "Model":
         return replace(self, **changes)

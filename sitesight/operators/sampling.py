@@ -79,7 +79,8 @@ def _region_draws(fitted: Posterior, hyper: DataFrame, n: int, seed: int) -> Dat
         r = np.asarray(row.r).reshape(n_s, -1, n_a)
         ids = np.arange(n, dtype=np.uint64) + np.uint64(row.seed_id % 2**64)
         at = _picks(lambda part: r[s[part], p[part]] + prior_a.T[h[part]], n, uniforms(ids, 0))
-        value = (at + uniforms(ids, 1)) / n_a
+        low, high = model.region_range
+        value = low + (high - low) * (at + uniforms(ids, 1)) / n_a
         return (*[getattr(row, k) for k in keys], s, p, at, value)
 
     return keep(

@@ -110,7 +110,7 @@ j0 AS (SELECT {pick('r', rkeys)}, r.si, r.pi, r.ai, pa.a, r.v + t.v - z.v + pa.v
 j AS (SELECT {rk}, si, pi, ai, any_value(a) AS a, max(v) + ln(sum(exp(v - vm))) AS v
       FROM (SELECT *, max(v) OVER (PARTITION BY {rk}, si, pi, ai) AS vm FROM j0) GROUP BY {rk}, si, pi, ai),
 reg AS (SELECT {rk}, sum(exp(v) * a) / sum(exp(v)) AS mean_region,
-          sqrt(sum(exp(v) * a * a) / sum(exp(v)) - (sum(exp(v) * a) / sum(exp(v))) ** 2) AS sd_region
+          sqrt(sum(exp(v) * a * a) / sum(exp(v)) - (sum(exp(v) * a) / sum(exp(v))) ** 2 + 1.0::DOUBLE / (12 * {n_a} * {n_a})) AS sd_region
         FROM j GROUP BY {rk}),
 odds AS (SELECT {pick('e', keys)}, e.si, e.pi, e.ai, j.v - e.v AS v, max(j.v - e.v) OVER (PARTITION BY {pick('e', keys)}, e.si) AS vm
          FROM e JOIN j ON {on('e', 'j', rkeys)} AND j.si = e.si AND {joint_p}),

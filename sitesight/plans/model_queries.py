@@ -34,7 +34,8 @@ def _fitted(spark: SparkSession, d: str, name: str, model: Model, sites: DataFra
     """One fit per application, folder and model; its tables are kept files."""
     slot = (spark.sparkContext.applicationId, d, name)
     if slot not in _fits or not still_stored(_fits[slot].municipalities):
-        _fits[slot] = P.fit(sites, model, period)
+        # the SQL that checks these sums over the grid as given
+        _fits[slot] = P.fit_on_grid(sites, model, period)
     return _fits[slot]
 
 
@@ -69,11 +70,11 @@ def _sites(name: str, model: Model) -> Query:
 
 
 def full_sites(spark: SparkSession, d: str) -> DataFrame:
-    """Site posterior on the default grid, refined once."""
+    """Site posterior on grids that follow the data."""
 
     def build() -> DataFrame:
         sites = site_fact(spark, d)
-        return P.site_posterior(sites, P.refit(sites, P.fit(sites, FULL)))
+        return P.site_posterior(sites, P.fit(sites, FULL))
 
     return kept_once(spark, d, "full_sites", build)
 

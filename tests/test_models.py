@@ -55,7 +55,7 @@ def enumerate_posterior(rows, model, ranges):
 def test_matches_enumeration(spark):
     sites, _, _ = planted_small(spark, sites=6, municipalities=2, tests=(3, 30))
     model = M.three_level(4, mean_cells=40, region_mean=M.beta(2, 2, 20))
-    fitted = P.fit(sites, model)
+    fitted = P.fit_on_grid(sites, model)
     rows = [tuple(r) for r in sites.collect()]
     mun = fitted.municipalities.collect()
     ranges = {(r["region"], r["municipality"]): (r["m_low"], r["m_high"]) for r in mun}
@@ -68,7 +68,7 @@ def test_matches_enumeration(spark):
 
 def test_planted_truth_is_covered(spark):
     sites, means, thetas = planted_small(spark, sites=40, municipalities=4)
-    fitted = P.refit(sites, P.fit(sites, M.three_level(8)))
+    fitted = P.fit(sites, M.three_level(8))
     mun = fitted.municipalities.collect()
     assert sum(r["lo_mun"] <= means[r["municipality"]] <= r["hi_mun"] for r in mun) >= len(mun) - 1
     rows = P.site_posterior(sites, fitted).toPandas()
@@ -104,8 +104,8 @@ def test_no_tests_gives_the_prior(spark):
 
 def test_finer_grid_same_mean(spark):
     sites, _, _ = planted_small(spark)
-    one = P.fit(sites, M.fixed_precision(mean_cells=60)).municipalities.toPandas().set_index("municipality")
-    two = P.fit(sites, M.fixed_precision(mean_cells=120)).municipalities.toPandas().set_index("municipality")
+    one = P.fit_on_grid(sites, M.fixed_precision(mean_cells=60)).municipalities.toPandas().set_index("municipality")
+    two = P.fit_on_grid(sites, M.fixed_precision(mean_cells=120)).municipalities.toPandas().set_index("municipality")
     assert np.abs(one["mean_mun"] - two["mean_mun"]).max() < 1e-3
 
 
@@ -143,9 +143,9 @@ def test_periods_equal_separate_fits(spark):
     b, _, _ = planted_small(spark, seed=2)
     model = M.three_level(4, mean_cells=40, region_mean=M.beta(2, 2, 20))
     both = a.withColumn("month", F.lit(1)).unionByName(b.withColumn("month", F.lit(2)))
-    joint = P.fit(both, model, ["month"]).municipalities.toPandas()
+    joint = P.fit_on_grid(both, model, ["month"]).municipalities.toPandas()
     for month, table in ((1, a), (2, b)):
-        alone = P.fit(table, model).municipalities.toPandas().set_index("municipality")["mean_mun"]
+        alone = P.fit_on_grid(table, model).municipalities.toPandas().set_index("municipality")["mean_mun"]
         mine = joint[joint["month"] == month].set_index("municipality")["mean_mun"]
         assert np.allclose(alone.sort_index(), mine.sort_index(), atol=1e-10)
 
@@ -189,3 +189,23 @@ def test_numeric_helpers():
         assert abs(d.var() - a * b / ((a + b) ** 2 * (a + b + 1))) < 0.002
     mass = np.exp(log_beta_mass(np.linspace(0, 1, 201), [0.05, 2.0], [0.05, 3.0])).sum(axis=0)
     assert np.allclose(mass, 1, atol=0.03)
+
+
+def test_many_sites_of_a_logit_model(spark):
+    """The truth lies inside the interval however many sites there are, and nothing lies on the ends."""
+    rng = np.random.default_rng(5)
+    theta = 1 / (1 + np.exp(-(np.log(0.9 / 0.1) + rng.normal(size=6000) * 1.5)))
+    rows = [("r", "m", i, 80, int(k)) for i, k in enumerate(rng.binomial(80, theta))]
+    mun = P.fit(site_rows(spark, rows), M.logit_normal(6, mean_cells=60)).municipalities.first()
+    assert mun["lo_mun"] <= 0.9 <= mun["hi_mun"] and mun["edge_mass"] < 1e-3
+    assert mun["hi_mun"] - mun["lo_mun"] < 0.03
+
+
+def test_many_municipalities_resolve_the_region(spark):
+    rng = np.random.default_rng(6)
+    means = rng.beta(0.6 * 100, 0.4 * 100, size=2000)
+    rows = [("r", f"m{j}", j, 4000, int(rng.binomial(4000, m))) for j, m in enumerate(means)]
+    model = M.Model(M.fixed(1e5), M.fixed(100.0), mean_cells=60)
+    region = P.fit(site_rows(spark, rows), model).regions.first()
+    want = np.sqrt(0.6 * 0.4 / 101 / 2000)
+    assert abs(region["sd_region"] / want - 1) < 0.08 and abs(region["mean_region"] - 0.6) < 4 * want
