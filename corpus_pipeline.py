@@ -66,7 +66,7 @@ STAGES = [
     ("mixing to target weights", mixed),
 ]
 
-#: The first stage is a learned model, which SQL cannot express; tests/llm hold the others against plain forms.
+#: The first stage is a learned model, which SQL cannot express; tests/llm run the whole on edge rows.
 ORACLE_SQL = None
 
 
