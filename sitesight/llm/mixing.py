@@ -29,7 +29,6 @@ from sitesight.workspace import keep
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
 BLOCK_WORDS, SHARD_WORDS = 65_536, 1_048_576
-SLICE_ROWS = 20_000
 _SPREAD = 2_147_483_647  # a prime above every block count, so that it permutes positions
 
 
@@ -76,7 +75,8 @@ def takes(rows: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rows = rows.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     u = F.col("h") / F.lit(2.0**64) + 0.5
-    rows = keep(rows.withColumn("slice", F.floor(u * F.ceil(F.col("n_units") / SLICE_ROWS))), "units")
+    # as many slices as a slice has rows, so neither window below grows faster than the root of a source
+    rows = keep(rows.withColumn("slice", F.floor(u * F.ceil(F.sqrt("n_units")))), "units")
     slices = rows.groupBy("source", "slice").agg(F.sum("words").alias("w"))
     ahead = F.sum("w").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     slices = slices.select(F.col("source").alias("_s"), F.col("slice").alias("_k"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
