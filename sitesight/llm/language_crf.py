@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesight.llm.common import remainder
+from sitesight.llm.common import remainder, small
 from sitesight.workspace import keep
 
 SAMPLE, RUNS, RUN_WORDS, PARTS = 1500, 4, 24, 4
@@ -174,8 +174,12 @@ def _sequences(rows: pd.DataFrame, langs: list[str]) -> list[list[tuple[str, int
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """A field from labelled ``docs`` (doc_id, text, lang); None if there are none."""
     known = docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"), F.xxhash64("doc_id", "text").alias("h"))
-    rank = Window.partitionBy("lang").orderBy("h")
-    picked = known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).select("text", "lang", F.pmod("h", F.lit(PARTS)).cast("int").alias("part"))
+    # a language's rows are thinned by their hash to about twice the sample before the window sees them
+    share = keep(known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample + 100) / F.count("*")).alias("share")), "shares")
+    u = F.col("h") / F.lit(2.0**64) + 0.5
+    near = known.join(small(share), "lang").where(u <= F.col("share"))
+    rank = Window.partitionBy("lang").orderBy("h", "text")
+    picked = near.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= sample).select("text", "lang", F.pmod("h", F.lit(PARTS)).cast("int").alias("part"))
     picked = keep(picked, "sample")
     langs = sorted(r[0] for r in picked.select("lang").distinct().collect())
     if not langs:
