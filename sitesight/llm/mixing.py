@@ -4,7 +4,8 @@
    words; none gets more than ``REPEAT`` times what it has, and the excess goes to the others by
    weight.
 2. Copies: every document of a source is taken as often as its target holds the whole source;
-   the rest is filled with documents in hash order, and the last gap with four that fit best.
+   the rest is filled with documents in hash order. Of the last ``ADJUST`` that fit and the next
+   ``ADJUST`` that do not, those are taken that bring the source nearest to its target.
 3. Blocks: the copies of a source are dealt by hash to a quota of blocks of about
    ``BLOCK_WORDS`` words, which lie in a permuted order.
 4. Tree: the vector of block quotas is split between the halves of the output shards by a
@@ -29,6 +30,7 @@ from sitesight.workspace import keep
 WEIGHTS = (5, 2, 1)
 REPEAT = 3
 BLOCK_WORDS, SHARD_WORDS = 65_536, 1_048_576
+ADJUST = 64
 _SPREAD = 2_147_483_647  # a prime above every block count, so that it permutes positions
 
 
@@ -69,6 +71,43 @@ def _per_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(named, rows["source"].eqNullSafe(named["_s"])).drop("_s")
 
 
+def nearest_sum(words: np.ndarray, want: float) -> np.ndarray:
+    """Which of ``words`` together come nearest to ``want``; sums are compared in 2^20 steps at most."""
+    step = max(1, -(-int(words.sum()) // 2**20))
+    sums = [1]  # bit k: a sum of k steps can be reached with the words so far
+    for w in words:
+        sums.append(sums[-1] | sums[-1] << int(w) // step)
+    goal = max(0, round(want / step))
+    below = (sums[-1] & ((1 << goal + 1) - 1)).bit_length() - 1
+    above = sums[-1] >> goal
+    above = goal + (above & -above).bit_length() - 1 if above else below
+    at = above if abs(above * step - want) < abs(below * step - want) else below
+    chosen = np.zeros(len(words), bool)
+    for k in range(len(words) - 1, -1, -1):
+        if not sums[k] >> at & 1:
+            chosen[k] = True
+            at -= int(words[k]) // step
+    return chosen
+
+
+def _adjusted(placed: DataFrame) -> DataFrame:
+    """(source, doc_id, text_key, now): ``part`` anew for the units on either side of each source's border."""
+    gap = placed.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("part"), F.col("words")).otherwise(0))).alias("gap"))
+    order = Window.partitionBy("source", "part").orderBy(F.when(F.col("part"), -F.col("upto")).otherwise(F.col("upto")), "h", "doc_id", "text_key")
+    near = placed.where("close and words > 0").select("source", F.col("doc_id").cast("string"), "text_key", "h", "words", "part", "upto")
+    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ADJUST)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["part", "n"])
+        words = pdf["words"].to_numpy()
+        now = nearest_sum(words, float(pdf["gap"].iloc[0]) + words[pdf["part"].to_numpy(bool)].sum())
+        return pdf[["source", "doc_id", "text_key"]].assign(now=now)
+
+    # ids go as text, since pandas would make floats of whole numbers beside a null
+    chosen = _per_source(near, gap).groupBy("source").applyInPandas(choose, "source string, doc_id string, text_key long, now boolean")
+    return chosen.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def takes(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with source_size, target and ``times``, how often the mix takes each unit."""
     rows = _per_source(rows, sources)
@@ -77,20 +116,19 @@ def takes(rows: DataFrame, sources: DataFrame) -> DataFrame:
     u = F.col("h") / F.lit(2.0**64) + 0.5
     # as many slices as a slice has rows, so neither window below grows faster than the root of a source
     rows = keep(rows.withColumn("slice", F.floor(u * F.ceil(F.sqrt("n_units")))), "units")
-    slices = rows.groupBy("source", "slice").agg(F.sum("words").alias("w"))
+    slices = rows.groupBy("source", "slice").agg(F.sum("words").alias("w"), F.first("rest").alias("rest"), F.first("n_units").alias("n"))
     ahead = F.sum("w").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.select(F.col("source").alias("_s"), F.col("slice").alias("_k"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    slices = slices.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
+    border = F.max(F.when(F.col("ahead") <= F.col("rest"), F.col("slice"))).over(Window.partitionBy("source"))
+    close = F.abs(F.col("slice") - border) <= F.ceil(F.lit(ADJUST) / F.sqrt("n"))
+    slices = slices.select(F.col("source").alias("_s"), F.col("slice").alias("_k"), "ahead", close.alias("close"))
     inside = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("words").over(inside)).join(slices, rows["source"].eqNullSafe(slices["_s"]) & (F.col("slice") == F.col("_k")))
-    placed = keep(placed.withColumn("part", F.col("ahead") + F.col("upto") <= F.col("rest")).drop("_s", "_k", "ahead", "upto", "slice"), "prefix")
-    for final in (False, False, False, True):  # the largest unit that fits the gap; at last the one that makes the gap smallest
-        gap = placed.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("part"), F.col("words")).otherwise(0))).alias("gap"))
-        off = F.abs(F.col("words") - F.col("gap"))
-        near = _per_source(placed.where("not part and words > 0"), gap).where(off < F.abs("gap") if final else F.col("words") <= F.col("gap"))
-        best = near.groupBy("source").agg(F.min(F.struct(off.alias("o"), "h", "doc_id", "text_key")).alias("b")).select("source", "b.*")
-        best = best.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.lit(True).alias("add"))
-        hit = placed["source"].eqNullSafe(best["_s"]) & placed["doc_id"].eqNullSafe(best["_d"]) & (placed["text_key"] == best["_t"])
-        placed = keep(placed.join(best, hit, "left").withColumn("part", F.col("part") | F.coalesce("add", F.lit(False))).drop("_s", "_d", "_t", "add"), "filled")
+    placed = placed.withColumn("upto", F.col("ahead") + F.col("upto")).withColumn("part", F.col("upto") <= F.col("rest"))
+    placed = keep(placed.drop("_s", "_k", "ahead", "slice"), "prefix")
+    best = keep(_adjusted(placed), "adjusted").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "now")
+    hit = placed["source"].eqNullSafe(best["_s"]) & placed["doc_id"].eqNullSafe(best["_d"]) & (placed["text_key"] == best["_t"])
+    placed = placed.join(best, hit, "left").withColumn("part", F.coalesce("now", "part")).drop("_s", "_d", "_t", "now", "upto", "close")
     return placed.withColumn("times", F.col("whole") + F.col("part").cast("long")).drop("whole", "rest", "part", "n_units")
 
 
