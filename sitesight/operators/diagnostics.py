@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import log_binomial, normal_quantile
-from sitesight.operators.draws import hdi, moments
-from sitesight.operators.ordering import GROUP_ROWS, quantiles, same_keys
+from sitesight.operators.draws import hdi_of, placed_values
+from sitesight.operators.ordering import SLICE_ROWS, quantiles, quantiles_of, running_sum, same_keys
 from sitesight.workspace import keep
 
-BLOCK = 4096
+BLOCK = 1 << 15
 
 
 def rhat(draws: DataFrame, keys: Sequence[str], split: bool = False) -> DataFrame:
@@ -48,131 +48,139 @@ def rhat(draws: DataFrame, keys: Sequence[str], split: bool = False) -> DataFram
     )
 
 
-def _blocks(draws: DataFrame, size: int, reach: int) -> DataFrame:
+def _blocks(draws: DataFrame, size: int, reach: int, at: str = "draw") -> DataFrame:
     """Every draw in its block, and the first ``reach`` draws of a block also in the one before."""
-    at = F.floor((F.col("draw") - 1) / size)
-    offset = (F.col("draw") - 1) % size
-    homes = F.when((offset < reach) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
-    return draws.withColumn("_home", at).withColumn("_block", F.explode(homes))
+    home = F.floor((F.col(at) - 1) / size)
+    offset = (F.col(at) - 1) % size
+    homes = F.when((offset < reach) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
+    return draws.withColumn("_home", home).withColumn("_block", F.explode(homes))
 
 
-def autocovariance(draws: DataFrame, keys: Sequence[str], max_lag: int, block: int = BLOCK) -> DataFrame:
-    """Autocovariance (divided by n) of each chain for lags 0..max_lag."""
-    keys = list(keys)
-    part = [*keys, "chain"]
-    size = max(block, max_lag)
-    means = keep(
-        draws.groupBy(*part).agg(F.avg("value").alias("_mean"), F.count(F.lit(1)).alias("_n")), "chain_means"
-    )
-    centred = same_keys(draws.select(*part, "draw", "value"), means, part).withColumn(
-        "_x", F.col("value") - F.col("_mean")
-    )
-    blocked = _blocks(centred, size, max_lag).select(*part, "_block", "_home", "draw", "_x", "_n")
-
-    def lag_products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw")
-        x = pdf["_x"].to_numpy()
-        own = int((pdf["_home"] == pdf["_block"]).sum())
-        lags = np.arange(min(max_lag, len(x) - 1) + 1)
-        sums = [float(x[: min(own, len(x) - t)] @ x[t : t + min(own, len(x) - t)]) for t in lags]
-        out = {k: [pdf[k].iloc[0]] * len(lags) for k in part}
-        return pd.DataFrame({**out, "lag": lags.astype("int64"), "_s": sums, "_n": pdf["_n"].iloc[0]})
+def _lag_products(names: Sequence[str], keys: Sequence[str], whole: bool):
+    """Sums of x[t] * x[t + lag] over one block, by the product of the spectra of the block and of it with the next.
 
-    types = dict(draws.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in part] + ["lag bigint", "_s double", "_n bigint"])
-    return (
-        blocked.groupBy(*part, "_block")
-        .applyInPandas(lag_products, schema)
-        .groupBy(*part, "lag")
-        .agg(F.sum("_s").alias("_s"), F.first("_n").alias("_n"))
-        .select(*part, "lag", (F.col("_s") / F.col("_n")).alias("acov"), F.col("_n").alias("n"))
-    )
-
-
-def _ess_up_to(draws: DataFrame, keys: list[str], max_lag: int, block: int) -> DataFrame:
-    """ess per key, null where the sum of positive pairs has not ended within ``max_lag``.
+    A block sends the lags up to four times the one where its own positive pairs end, or all it has if
+    ``whole``; lags that some block of a chain did not send are not used.
+    """
 
-    Chains may differ in length: the total is the sum of their draws, the scale their mean
-    length. A key whose chains are all constant has as many effective draws as draws; one
-    without two draws in a chain has none to estimate from, and null.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        own = int((pdf["_home"] == pdf["_block"]).sum())
+        n, length = len(pdf), float(pdf["_length"].iloc[0])
+        have = int(pdf["_reach"].iloc[0])
+        size = 1 << (own + n - 1).bit_length()
+        out = []
+        for k, name in enumerate(names):
+            x = pdf[name].to_numpy()
+            spectrum = np.fft.rfft(x[:own], size).conj() * np.fft.rfft(x, size)
+            sums = np.zeros(have)  # beyond the end of a chain there is nothing to add
+            sums[: min(have, n)] = np.fft.irfft(spectrum, size)[: min(have, n)]
+            reach = have
+            if not whole and sums[0] > 0:
+                even = sums[: have // 2 * 2].reshape(-1, 2).sum(axis=1)
+                ended = np.flatnonzero(even < 0)
+                reach = min(have, 8 * int(ended[0]) + 64) if len(ended) else have
+            out.append(pd.DataFrame({"series": np.int32(k), "lag": np.arange(reach, dtype=np.int64), "s": sums[:reach] / length}))
+        table = pd.concat(out, ignore_index=True)
+        for c in keys:
+            table[c] = [pdf[c].iloc[0]] * len(table)
+        return table[[*keys, "series", "lag", "s"]]
+
+    return run
+
+
+def _chain_stats(draws: DataFrame, part: Sequence[str], names: Sequence[str]) -> DataFrame:
+    aggregates = [f(n).alias(f"{tag}_{n}") for n in names for f, tag in ((F.avg, "m"), (F.var_samp, "v"), (F.min, "lo"), (F.max, "hi"))]
+    return keep(draws.groupBy(*part).agg(F.count(F.lit(1)).alias("_length"), *aggregates), "chains")
+
+
+def _effective(draws: DataFrame, chains: DataFrame, keys: list[str], part: list[str], names: list[str], block: int, whole: bool) -> DataFrame:
+    """(keys, series, ess, done): null and not done where the positive pairs have not ended among the lags all blocks sent.
+
+    Chains may differ in length: the total is the sum of their draws, the scale their mean length, and a
+    lag that a chain is too short for adds 0 for it.
     """
-    acov = keep(autocovariance(draws, keys, max_lag, block), "acov")
-    chains = draws.groupBy(*keys, "chain").agg(F.avg("value").alias("_m"), F.count("value").alias("_len"))
-    between = chains.groupBy(*keys).agg(
-        F.coalesce(F.var_samp("_m"), F.lit(0.0)).alias("_b"), F.count(F.lit(1)).alias("_chains"),
-        F.avg("_len").alias("_n"), F.sum("_len").alias("_total"), F.max("_len").alias("_longest"),
+    facts = [F.struct(F.lit(k).alias("series"), F.var_samp(f"m_{n}").alias("b")) for k, n in enumerate(names)]
+    of_key = keep(
+        chains.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_chains"), F.avg("_length").alias("_n"), F.sum("_length").alias("_total"), F.max("_length").alias("_longest"),
+            F.sum(F.ceil(F.col("_length") / block)).alias("_blocks"), F.array(*facts).alias("_between"),
+        ),
+        "keys",
     )
-    mean_acov = acov.groupBy(*keys, "lag").agg(F.avg("acov").alias("_a"))
-    zero = mean_acov.where("lag = 0").select(*keys, F.col("_a").alias("_a0"))
-    base = same_keys(zero, between, keys)
-    rows = same_keys(mean_acov, base, keys)
-    mean_var = F.col("_a0") * F.try_divide(F.col("_n"), F.col("_n") - 1)
-    var_plus = F.col("_a0") + F.when(F.col("_chains") > 1, F.col("_b")).otherwise(0.0)
-    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(
-        1 - F.try_divide(mean_var - F.col("_a"), var_plus)
+    reach = F.least(F.lit(block), F.col("_longest")).alias("_reach")
+    centres = same_keys(chains, of_key.select(*keys, "_longest"), keys).select(*part, "_length", reach, *[f"m_{n}" for n in names])
+    centred = same_keys(draws, centres, part).select(
+        *part, "_at", "_length", "_reach", *[(F.col(n) - F.col(f"m_{n}")).alias(n) for n in names]
     )
+    blocked = _blocks(centred, block, block, "_at")
+    types = dict(draws.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["series int", "lag bigint", "s double"])
+    sent = blocked.groupBy(*part, "_block").applyInPandas(_lag_products(names, keys, whole), schema)
+    sums = keep(sent.groupBy(*keys, "series", "lag").agg(F.sum("s").alias("_s"), F.count(F.lit(1)).alias("_sent")), "lags")
+    rows = same_keys(sums, of_key, keys).where(F.col("_sent") == F.col("_blocks"))
+    by_lag = Window.partitionBy(*keys, "series").orderBy("lag")
+    acov = F.col("_s") / F.col("_chains")
+    zero = F.first(acov).over(by_lag)
+    between = F.coalesce(F.element_at("_between", F.col("series") + 1)["b"], F.lit(0.0))
+    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1 - F.try_divide(zero * F.try_divide(F.col("_n"), F.col("_n") - 1) - acov, zero + between))
     pairs = (
         rows.withColumn("_rho", rho)
-        .groupBy(*keys, F.floor(F.col("lag") / 2).alias("_k"))
-        .agg(
-            F.sum("_rho").alias("_p"), F.count(F.lit(1)).alias("_have"),
-            F.first("_total").alias("_total"), F.first("_longest").alias("_longest"),
-        )
+        .groupBy(*keys, "series", F.floor(F.col("lag") / 2).alias("_k"))
+        .agg(F.sum("_rho").alias("_p"), F.count(F.lit(1)).alias("_have"), F.first("_total").alias("_total"), F.first("_longest").alias("_longest"))
         .where("_have = 2")
     )
-    # A key has max_lag / 2 pairs, so these windows are small.
-    by_pair = Window.partitionBy(*keys).orderBy("_k")
-    ended = F.max((F.col("_p") < 0).cast("int")).over(by_pair)
+    by_pair = Window.partitionBy(*keys, "series").orderBy("_k")
     return (
-        pairs.withColumn("_ended", ended)
+        pairs.withColumn("_ended", F.max((F.col("_p") < 0).cast("int")).over(by_pair))
         .withColumn("_low", F.min("_p").over(by_pair))
-        .groupBy(*keys)
+        .groupBy(*keys, "series")
         .agg(
-            F.sum(F.when(F.col("_ended") == 0, F.col("_low"))).alias("_sum"),
-            F.max("_ended").alias("_done"),
-            F.max("_k").alias("_last"),
-            F.first("_total").alias("_total"),
-            F.first("_longest").alias("_longest"),
-        )
-        .withColumn("_done", (F.coalesce("_done", F.lit(1)) == 1) | (2 * F.col("_last") + 3 >= F.col("_longest")))
-        .select(
-            *keys,
-            F.when(F.col("_done"), F.try_divide(F.col("_total").cast("double"), 2 * F.col("_sum") - 1)).alias("ess"),
-            "_done",
+            F.sum(F.when(F.col("_ended") == 0, F.col("_low"))).alias("_sum"), F.max("_ended").alias("_done"),
+            F.max("_k").alias("_last"), F.first("_total").alias("_total"), F.first("_longest").alias("_longest"),
         )
+        .withColumn("done", (F.coalesce("_done", F.lit(1)) == 1) | (2 * F.col("_last") + 3 >= F.col("_longest")))
+        .select(*keys, "series", F.when(F.col("done"), F.try_divide(F.col("_total").cast("double"), 2 * F.col("_sum") - 1)).alias("ess"), "done")
     )
 
 
-def effective_size(draws: DataFrame, keys: Sequence[str], max_lag: int = 64, block: int = BLOCK) -> DataFrame:
-    """Effective sample size over all chains of a key (initial monotone positive pairs).
+def effective_sizes(draws: DataFrame, keys: Sequence[str], part: Sequence[str], names: Sequence[str], chains: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Effective sample size of each column in ``names``, over all chains of a key (initial monotone positive pairs).
 
-    Most keys end within ``max_lag``. Those that do not are done again with twice the
-    reach until every key has ended, so the lag is a starting point and not a cut.
+    ``part`` are the keys and what tells chains apart, ``_at`` counts the draws of a chain from 1. A block
+    and the next one give all lags up to the block's size in one pass. Keys whose pairs have not ended by
+    then are done again with larger blocks until every key has ended, so no lag is cut off. A column that
+    is constant over a key has as many effective draws as draws; a key whose chains all have one draw has null.
     """
-    keys = list(keys)
-    plain = keep(
-        draws.groupBy(*keys, "chain").agg(F.count("value").alias("_len"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-        .groupBy(*keys).agg(
-            F.sum("_len").cast("double").alias("_total"), F.max("_len").alias("_longest"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")
-        ),
-        "plain_keys",
-    )
-    constant = plain.where("_longest > 1 and _lo = _hi").select(*keys, F.col("_total").alias("ess"))
-    single = plain.where("_longest <= 1").select(*keys, F.lit(None).cast("double").alias("ess"))
-    varied = plain.where("_longest > 1 and not _lo <=> _hi").select(*keys)
-    todo, done = same_keys(draws, varied, keys), [constant, single]
+    keys, part, names = list(keys), list(part), list(names)
+    chains = _chain_stats(draws, part, names) if chains is None else chains
+    flat = [F.min(f"lo_{n}").eqNullSafe(F.max(f"hi_{n}")).alias(f"flat_{n}") for n in names]
+    plain = keep(chains.groupBy(*keys).agg(F.max("_length").alias("_longest"), F.sum("_length").cast("double").alias("_total"), *flat), "plain_keys")
+    todo, parts, whole = draws, [], False
     while True:
-        result = keep(_ess_up_to(todo, keys, max_lag, block), "ess")
-        done.append(result.where("_done").drop("_done"))
-        if result.where(~F.col("_done")).isEmpty():
+        found = keep(_effective(todo, same_keys(chains, todo.select(*part).distinct(), part) if whole else chains, keys, part, names, block, whole), "ess")
+        parts.append(found.where("done"))
+        varied = F.lit(False)
+        for k, n in enumerate(names):
+            varied = varied | ((F.col("series") == k) & ~F.col(f"flat_{n}"))
+        still = same_keys(found.where("not done"), plain, keys).where(varied).select(*keys).distinct()
+        still = keep(still, "open")
+        if still.isEmpty():
             break
-        open_keys = result.where(~F.col("_done")).select(*keys)
-        todo = keep(same_keys(todo, open_keys, keys), "open_chains")
-        max_lag *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        todo, whole, block = keep(same_keys(draws, still, keys), "open_chains"), True, block * 4
+    every = parts[0].select(*keys, "series", "ess", F.lit(0).alias("_round"))
+    for r, p in enumerate(parts[1:], 1):
+        every = every.unionByName(p.select(*keys, "series", "ess", F.lit(r).alias("_round")))
+    wide = every.groupBy(*keys).agg(*[F.max_by(F.when(F.col("series") == k, F.col("ess")), F.when(F.col("series") == k, F.col("_round"))).alias(f"_e_{n}") for k, n in enumerate(names)])
+    value = lambda n: F.when(F.col("_longest") <= 1, F.lit(None)).when(F.col(f"flat_{n}"), F.col("_total")).otherwise(F.col(f"_e_{n}"))
+    return same_keys(plain, wide, keys, "left").select(*keys, *[value(n).alias(n) for n in names])
+
+
+def effective_size(draws: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """Effective sample size over all chains of a key, as ``ess``."""
+    keys = list(keys)
+    rows = draws.where("value is not null").select(*keys, "chain", F.col("draw").alias("_at"), F.col("value").alias("ess"))
+    return effective_sizes(rows, keys, [*keys, "chain"], ["ess"], block=block)
 
 
 def draws_needed(
@@ -183,7 +191,7 @@ def draws_needed(
     s: float = 0.95,
     eps: float = 0.001,
     block: int = BLOCK,
-    group_rows: int = GROUP_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Burn-in and draws needed to know quantile ``q`` to within ``r`` with probability ``s``.
 
@@ -191,7 +199,7 @@ def draws_needed(
     transition counts give the answer in closed form. Thinning is fixed at 1.
     """
     part = [*keys, "chain"]
-    bounds = keep(quantiles(draws, part, "value", {"_u": q}, group_rows), "bounds")
+    bounds = keep(quantiles(draws, part, "value", {"_u": q}, slice_rows), "bounds")
     state = same_keys(draws.select(*part, "draw", "value"), bounds, part).withColumn(
         "_z", (F.col("value") <= F.col("_u")).cast("int")
     )
@@ -228,13 +236,95 @@ def draws_needed(
     )
 
 
-def full_summary(draws: DataFrame, keys: Sequence[str], mass: float = 0.94, max_lag: int = 64) -> DataFrame:
-    """Mean, sd, interval, Monte-Carlo error of the mean, effective size and split R-hat."""
+def _rank_table(placed: DataFrame, keys: list[str], slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """For each distinct value its normal scores, plain and folded, and what a key's draws are measured against.
+
+    A value's rank is the average of its positions; scores are normal quantiles of (rank - 3/8) / (n + 1/4).
+    Folded values are distances from the exact median.
+    """
+    score = lambda upto, n: normal_quantile((upto - n + (n + 1) / 2 - 0.375) / (F.col("total") + 0.25))
+    limits = quantiles_of(placed, keys, {"_low": 0.05, "_mid": 0.5, "_high": 0.95})
+    means = placed.groupBy(*keys).agg((F.sum(F.col("v") * F.col("n")) / F.first("total")).alias("_mean"))
+    centre = keep(same_keys(limits, means, keys), "centre")
+    away = same_keys(placed, centre, keys).withColumn("_away", F.abs(F.col("v") - F.col("_mid")))
+    folded = running_sum(away.groupBy(*keys, "_away").agg(F.sum("n").alias("_n")), keys, ["_away"], "_n", "_upto", slice_rows=slice_rows)
+    table = same_keys(away, folded, [*keys, "_away"]).select(
+        *keys, "v", score(F.col("upto"), F.col("n")).alias("z"), score(F.col("_upto"), F.col("_n")).alias("folded")
+    )
+    return table, centre
+
+
+def scored_draws(draws: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Draws of half chains with the columns that rank diagnostics need, and the table of placed values.
+
+    Columns: ``x`` the draw, ``square`` its squared distance from the key's mean, ``z`` and ``folded`` its
+    normal scores, ``low`` and ``high`` whether it is at or below the key's 5 % and 95 % quantiles. Draws of
+    a chain are numbered 1, 2, ...; its second half begins after floor(length / 2).
+    """
+    keys = list(keys)
+    rows = draws.where("value is not null").select(*keys, "chain", "draw", "value")
+    placed = placed_values(rows, keys, slice_rows)
+    table, centre = _rank_table(placed, keys, slice_rows)
+    length = keep(rows.groupBy(*keys, "chain").agg(F.floor(F.max("draw") / 2).alias("_cut")), "length")
+    halved = same_keys(rows, length, [*keys, "chain"]).withColumn("_half", (F.col("draw") > F.col("_cut")).cast("int"))
+    known = same_keys(same_keys(halved, keep(table, "scores").withColumnRenamed("v", "value"), [*keys, "value"]), centre, keys)
+    return keep(
+        known.select(
+            *keys, "chain", "_half", (F.col("draw") - F.col("_half") * F.col("_cut")).alias("_at"), F.col("value").alias("x"),
+            F.pow(F.col("value") - F.col("_mean"), F.lit(2.0)).alias("square"), "z", "folded",
+            (F.col("value") <= F.col("_low")).cast("double").alias("low"), (F.col("value") <= F.col("_high")).cast("double").alias("high"),
+        ),
+        "scored",
+    ), placed
+
+
+def _scale_reduction(chains: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """R-hat of each column in ``names`` (column to result) from the statistics of its chains."""
+    aggregates = [F.avg("_length").cast("double").alias("_n")]
+    for c in names:
+        aggregates += [F.avg(f"v_{c}").alias(f"_w_{c}"), F.var_samp(f"m_{c}").alias(f"_b_{c}")]
+    n = F.col("_n")
+    return chains.groupBy(*keys).agg(*aggregates).select(
+        *keys, *[F.sqrt(F.try_divide((n - 1) / n * F.col(f"_w_{c}") + F.col(f"_b_{c}"), F.col(f"_w_{c}"))).alias(out) for c, out in names.items()]
+    )
+
+
+def rank_rhat(draws: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rank-normalised split R-hat: the larger of that of the normal scores and that of the folded ones.
+
+    Scores do not need finite variances, and folding shows chains that differ in scale.
+    """
     keys = list(keys)
-    out = moments(draws, keys, sample=True)
-    for part in (hdi(draws, keys, mass), effective_size(draws, keys, max_lag), rhat(draws, keys, split=True)):
-        out = same_keys(out, part, keys, "left")
-    return out.withColumn("mcse", F.col("sd") / F.sqrt("ess"))
+    scored, _ = scored_draws(draws, keys, slice_rows)
+    chains = _chain_stats(scored, [*keys, "chain", "_half"], ["z", "folded"])
+    both = _scale_reduction(chains, keys, {"z": "rhat_bulk", "folded": "rhat_folded"})
+    return both.withColumn("rhat_rank", F.greatest("rhat_bulk", "rhat_folded"))
+
+
+def full_summary(draws: DataFrame, keys: Sequence[str], mass: float = 0.94, slice_rows: int = SLICE_ROWS, block: int = BLOCK) -> DataFrame:
+    """Mean, sd, interval, errors of mean and sd, effective sizes and R-hat per key.
+
+    ``ess`` is that of the mean, ``ess_bulk`` that of the normal scores, ``ess_tail`` the smaller of those of
+    the 5 % and 95 % quantiles, all over half chains; ``rhat`` is the split form, ``rhat_rank`` the
+    rank-normalised one. One table of placed values gives interval, ranks and limits, one pass over
+    the half chains all effective sizes.
+    """
+    keys = list(keys)
+    scored, placed = scored_draws(draws, keys, slice_rows)
+    part, names = [*keys, "chain", "_half"], ["x", "square", "z", "folded", "low", "high"]
+    chains = _chain_stats(scored, part, names)
+    sizes = effective_sizes(scored, keys, part, ["x", "square", "z", "low", "high"], chains, block)
+    reduction = _scale_reduction(chains, keys, {"x": "rhat", "z": "_bulk", "folded": "_folded"})
+    spread = scored.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.avg("square").alias("_m2"), F.avg(F.col("square") * F.col("square")).alias("_m4"))
+    out = spread
+    for other in (hdi_of(placed, keys, mass), sizes, reduction):
+        out = same_keys(out, other, keys, "left")
+    error = F.sqrt(F.try_divide(F.greatest(F.col("_m4") - F.col("_m2") * F.col("_m2"), F.lit(0.0)), F.col("square")))
+    return out.select(
+        *keys, "mean", "sd", "hdi_lo", "hdi_hi", F.col("x").alias("ess"), F.col("z").alias("ess_bulk"), F.least("low", "high").alias("ess_tail"),
+        "rhat", F.greatest("_bulk", "_folded").alias("rhat_rank"), (F.col("sd") / F.sqrt("x")).alias("mcse_mean"),
+        F.try_divide(error, 2 * F.sqrt("_m2")).alias("mcse_sd"),
+    )
 
 
 def dic(site_draws: DataFrame, sites: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -258,8 +348,8 @@ def dic(site_draws: DataFrame, sites: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def settled(summary: DataFrame, rhat_limit: float = 1.01, ess_limit: float = 100.0) -> DataFrame:
-    """Mark the keys that meet the convergence goal."""
-    ok = (F.col("rhat") < rhat_limit) & (F.col("ess") > ess_limit)
+    """Mark the keys that meet the convergence goal: rank-normalised R-hat, bulk and tail effective size."""
+    ok = (F.col("rhat_rank") < rhat_limit) & (F.col("ess_bulk") > ess_limit) & (F.col("ess_tail") > ess_limit)
     return summary.withColumn("converged", F.coalesce(ok, F.lit(False)))
 
 

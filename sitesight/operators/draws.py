@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import half_even, interval_text, ratio
 from sitesight.operators.ordering import (
-    ARRAY_ROWS,
-    GROUP_ROWS,
-    group_sizes,
-    quantiles,
+    SLICE_ROWS,
+    cumulative,
+    quantiles_of,
     row_numbers,
     running_sum,
     same_keys,
@@ -55,76 +54,64 @@ def moments(draws: DataFrame, keys: Sequence[str], sample: bool = False) -> Data
     return draws.groupBy(*keys).agg(F.avg("value").alias("mean"), sd("value").alias("sd"))
 
 
+#: Positions of one bucket in which the two ends of intervals meet.
+BUCKET = 32
+
+
+def hdi_of(placed: DataFrame, keys: Sequence[str], mass: float, lo: str = "hdi_lo", hi: str = "hdi_hi") -> DataFrame:
+    """``hdi`` from a (kept) table of ``ordering.cumulative``.
+
+    Only the first n - k positions can begin an interval and only the last n - k can end one. A value
+    that begins one looks for the value k positions on: both are dealt to buckets of ``BUCKET``
+    positions, so the join spreads over (key, bucket) whatever the size of a key, and the narrowest
+    pair is a map-side combined minimum.
+    """
+    keys = list(keys)
+    reach = F.least(F.floor(F.col("total") * F.lit(float(mass))), F.col("total") - 1)
+    start = F.col("upto") - F.col("n") + 1
+    low = placed.where(start <= F.col("total") - reach).select(*keys, F.col("v").alias("_a"), (start + reach).alias("_at"))
+    low = low.withColumn("_bucket", F.floor((F.col("_at") - 1) / BUCKET))
+    first, last = (F.floor((p - 1) / BUCKET) for p in (F.greatest(start, reach + 1), F.col("upto")))
+    high = placed.where(F.col("upto") > reach).select(
+        *keys, F.col("v").alias("_b"), start.alias("_from"), F.col("upto").alias("_to"), F.explode(F.sequence(first, last)).alias("_bucket")
+    )
+    found = same_keys(low, high, [*keys, "_bucket"]).where("_at between _from and _to")
+    best = found.groupBy(*keys).agg(F.min(F.struct((F.col("_b") - F.col("_a")).alias("w"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_best"))
+    return best.select(*keys, F.col("_best.a").alias(lo), F.col("_best.b").alias(hi))
+
+
+def placed_values(draws: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The distinct values of each key with their counts and positions, written once for several uses."""
+    return keep(cumulative(draws, list(keys), "value", slice_rows), "placed")
+
+
 def hdi(
-    draws: DataFrame,
-    keys: Sequence[str],
-    mass: float,
-    lo: str = "hdi_lo",
-    hi: str = "hdi_hi",
-    array_rows: int = ARRAY_ROWS,
-    group_rows: int = GROUP_ROWS,
+    draws: DataFrame, keys: Sequence[str], mass: float, lo: str = "hdi_lo", hi: str = "hdi_hi", slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Shortest interval that holds ``mass`` of the draws of a key.
 
     With the draws in order and ``k = floor(mass * n)`` it is the pair (x[i], x[i+k]) of
-    least width, the lowest pair on ties. While a key's draws fit one array this costs one
-    shuffle. Beyond that, draws get their exact position, position i meets position i + k
-    in an equi-join that spreads over (key, position), and the narrowest pair is a
-    map-side combined minimum.
+    least width, the lowest pair on ties. Null values do not count.
     """
-    keys = list(keys)
-    # the hash of the row lets a much repeated value lie in several slices
-    rows = draws.select(*keys, F.col("value").alias("_v"), F.xxhash64(*draws.columns).alias("_tie")).where(F.col("_v").isNotNull())
-    reach = lambda n: F.least(F.floor(n * F.lit(mass)), n - 1)
-    _, top = group_sizes(rows, keys)
-    if top <= array_rows:
-        n, k = F.size("_x"), reach(F.size("_x")).cast("int")
-        pairs = F.zip_with(
-            F.slice("_x", 1, n - k),
-            F.slice("_x", k + 1, n - k),
-            lambda a, b: F.struct((b - a).alias("w"), a.alias("a"), b.alias("b")),
-        )
-        best = (
-            rows.groupBy(*keys)
-            .agg(F.sort_array(F.collect_list("_v")).alias("_x"))
-            .select(*keys, F.array_min(pairs).alias("_best"))
-        )
-    else:
-        placed = row_numbers(rows, keys, [F.col("_v"), F.col("_tie")], "_rn", group_rows)
-        sizes = keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-        low = same_keys(placed, sizes, keys).select(
-            *keys, F.col("_v").alias("_a"), (F.col("_rn") + reach(F.col("_n"))).alias("_rn")
-        )
-        best = (
-            same_keys(low, placed, [*keys, "_rn"])
-            .groupBy(*keys)
-            .agg(F.min(F.struct((F.col("_v") - F.col("_a")).alias("w"), F.col("_a").alias("a"), F.col("_v").alias("b"))).alias("_best"))
-        )
-    return best.select(*keys, F.col("_best.a").alias(lo), F.col("_best.b").alias(hi))
+    return hdi_of(placed_values(draws, keys, slice_rows), keys, mass, lo, hi)
 
 
 def posterior_summary(
-    draws: DataFrame,
-    keys: Sequence[str],
-    mass: float = 0.95,
-    sample_sd: bool = False,
-    array_rows: int = ARRAY_ROWS,
+    draws: DataFrame, keys: Sequence[str], mass: float = 0.95, sample_sd: bool = False, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Mean, standard deviation and highest-density interval per key."""
-    return same_keys(
-        moments(draws, keys, sample_sd), hdi(draws, keys, mass, array_rows=array_rows), list(keys)
-    )
+    return same_keys(moments(draws, keys, sample_sd), hdi(draws, keys, mass, slice_rows=slice_rows), list(keys))
 
 
 # The quantiles of a standard chain summary.
 SUMMARY_QUANTILES = {"q2_5": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q97_5": 0.975}
 
 
-def quantile_summary(draws: DataFrame, keys: Sequence[str], group_rows: int = GROUP_ROWS) -> DataFrame:
+def quantile_summary(draws: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Mean, sample standard deviation and five quantiles per key."""
     return same_keys(
         moments(draws, keys, sample=True),
-        quantiles(draws, keys, "value", SUMMARY_QUANTILES, group_rows),
+        quantiles_of(cumulative(draws, keys, "value", slice_rows), keys, SUMMARY_QUANTILES),
         list(keys),
     )
 
@@ -139,7 +126,7 @@ def approximate_quantiles(draws: DataFrame, keys: Sequence[str], accuracy: int =
 def neighbour_pairs(draws: DataFrame, key: str) -> DataFrame:
     """(better, worse): each key with the next lower one by mean."""
     means = keep(draws.groupBy(key).agg(F.bround(F.avg("value"), 9).alias("_m")), "means")
-    placed = keep(row_numbers(means, [], [F.col("_m").desc(), F.col(key)], "_pos"), "placed")
+    placed = keep(row_numbers(means, [], ["-_m", key], "_pos"), "placed")
     return placed.select(F.col(key).alias("better"), (F.col("_pos") + 1).alias("_pos")).join(
         placed.select(F.col(key).alias("worse"), "_pos"), "_pos"
     ).select("better", "worse")
@@ -195,10 +182,13 @@ def parameter_report(draws: DataFrame, keys: Sequence[str], mass: float = 0.94,
     )
 
 
-def forest(draws: DataFrame, keys: Sequence[str], mass: float = 0.94, group_rows: int = GROUP_ROWS) -> DataFrame:
+def forest(draws: DataFrame, keys: Sequence[str], mass: float = 0.94, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Point, quartiles and interval per key, lowest mean first."""
-    box = quantiles(draws, keys, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, group_rows)
-    return same_keys(posterior_summary(draws, keys, mass), box, list(keys)).orderBy("mean", *keys)
+    keys = list(keys)
+    placed = placed_values(draws, keys, slice_rows)
+    box = quantiles_of(placed, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    whole = same_keys(moments(draws, keys), hdi_of(placed, keys, mass), keys)
+    return same_keys(whole, box, keys).orderBy("mean", *keys)
 
 
 def histogram(draws: DataFrame, keys: Sequence[str], bins: int = 20, mass: float = 0.95) -> DataFrame:
@@ -225,25 +215,23 @@ def histogram(draws: DataFrame, keys: Sequence[str], bins: int = 20, mass: float
 
 
 def rank_histogram(
-    draws: DataFrame, keys: Sequence[str], bins: int = 20, group_rows: int = GROUP_ROWS
+    draws: DataFrame, keys: Sequence[str], bins: int = 20, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """How evenly the chains share the pooled ranks: counts per (key, chain, rank bin)."""
     keys = list(keys)
-    order = [F.col("value"), F.col("chain"), F.col("draw")]
-    placed = row_numbers(draws.select(*keys, "chain", "draw", "value"), keys, order, "_rn", group_rows)
-    sizes = keep(draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    one = draws.select(*keys, "chain", "draw", "value").withColumn("_one", F.lit(1))
+    placed = running_sum(one, keys, ["value", "chain", "draw"], "_one", "_rn", "_n", slice_rows)
     return (
-        same_keys(placed, sizes, keys)
-        .withColumn("bin", F.floor((F.col("_rn") - 1) * bins / F.col("_n")).cast("bigint"))
+        placed.withColumn("bin", F.floor((F.col("_rn") - 1) * bins / F.col("_n")).cast("bigint"))
         .groupBy(*keys, "chain", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def trace_series(
-    draws: DataFrame, keys: Sequence[str], every: int = 1, group_rows: int = GROUP_ROWS
+    draws: DataFrame, keys: Sequence[str], every: int = 1, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Value and running mean by draw and chain; ``every`` thins the shown points only."""
     rows = draws.select(*keys, "chain", "draw", "value")
-    summed = running_sum(rows, [*keys, "chain"], [F.col("draw")], "value", "_sum", group_rows)
+    summed = running_sum(rows, [*keys, "chain"], ["draw"], "value", "_sum", slice_rows=slice_rows)
     return summed.withColumn("running_mean", F.col("_sum") / F.col("draw")).where(F.col("draw") % every == 0).drop("_sum")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesight.operators.ordering import GROUP_ROWS, row_numbers
+from sitesight.operators.ordering import SLICE_ROWS, row_numbers
 from sitesight.workspace import keep
 
 
@@ -34,7 +34,7 @@ def group_codes(sites: DataFrame, keys: list[str], out: str, base: int = 1) -> D
     Codes are given to the distinct keys only, never by a window over the rows.
     """
     distinct = sites.select(*keys).distinct()
-    coded = row_numbers(distinct, [], [F.col(k) for k in keys], "_n").select(
+    coded = row_numbers(distinct, [], list(keys), "_n").select(
         *keys, (F.col("_n") - 1 + base).cast("bigint").alias(out)
     )
     return keep(coded, "codes")
@@ -45,9 +45,9 @@ def attach_codes(sites: DataFrame, codes: DataFrame, keys: list[str]) -> DataFra
     return sites.join(codes, keys, "left")
 
 
-def site_index(sites: DataFrame, out: str = "site_index", group_rows: int = GROUP_ROWS) -> DataFrame:
+def site_index(sites: DataFrame, out: str = "site_index", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Row index in declared key order, where an ordinal is wanted."""
-    return row_numbers(sites, [], [F.col(c) for c in ("region", "municipality", "site_id")], out, group_rows)
+    return row_numbers(sites, [], ["region", "municipality", "site_id"], out, slice_rows)
 
 
 def region_of_municipality(sites: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def region_of_municipality(sites: DataFrame) -> DataFrame:
     return sites.groupBy("municipality").agg(F.min_by("region", F.struct("site_id", "region")).alias("region"))
 
 
-def site_lists(sites: DataFrame, per_list: int = 1000, group_rows: int = GROUP_ROWS) -> DataFrame:
+def site_lists(sites: DataFrame, per_list: int = 1000, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Ordered site ids of each municipality in lists of at most ``per_list``.
 
     ``part`` numbers the lists, so that a very large municipality is many rows and never
@@ -63,7 +63,7 @@ def site_lists(sites: DataFrame, per_list: int = 1000, group_rows: int = GROUP_R
     """
     placed = row_numbers(
         sites.select("region", "municipality", "site_id"),
-        ["region", "municipality"], [F.col("site_id")], "_pos", group_rows,
+        ["region", "municipality"], ["site_id"], "_pos", slice_rows,
     )
     return (
         placed.withColumn("part", F.floor((F.col("_pos") - 1) / per_list).cast("bigint"))

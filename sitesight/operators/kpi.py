@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import clip_low, interval_text, label, min_max, ratio
 from sitesight.operators.ordering import (
-    GROUP_ROWS,
+    SLICE_ROWS,
     best_per_group,
     dense_ranks,
     quantiles,
@@ -64,10 +64,10 @@ def with_global_impact(sites: DataFrame) -> DataFrame:
 
 
 def rank_in_municipality(
-    sites: DataFrame, measure: str, out: str = "rank", group_rows: int = GROUP_ROWS
+    sites: DataFrame, measure: str, out: str = "rank", slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """1 for the largest measure of a municipality; ties by site id."""
-    return row_numbers(sites, MUNICIPALITY, [F.col(measure).desc(), F.col("site_id")], out, group_rows)
+    return row_numbers(sites, MUNICIPALITY, [f"-{measure}", "site_id"], out, slice_rows)
 
 
 PRIORITY_COLUMNS = [
@@ -76,27 +76,26 @@ PRIORITY_COLUMNS = [
 ]
 
 
-def prioritise_by_share(sites: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def prioritise_by_share(sites: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Priority list by failure share, ranked inside each municipality."""
     rows = with_failure_share(with_impact(sites)).select(*PRIORITY_COLUMNS, "failure_share", "impact")
-    return rank_in_municipality(rows, "failure_share", "rank", group_rows).orderBy(*MUNICIPALITY, "rank")
+    return rank_in_municipality(rows, "failure_share", "rank", slice_rows).orderBy(*MUNICIPALITY, "rank")
 
 
-def prioritise_by_impact(sites: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def prioritise_by_impact(sites: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Priority list by impact over the whole table; equal impacts share a dense rank."""
     rows = with_global_impact(sites).select(*PRIORITY_COLUMNS, "impact")
-    ranked = dense_ranks(rows, [], "impact", ["site_id"], "rank", ascending=False, group_rows=group_rows)
+    ranked = dense_ranks(rows, [], "impact", ["site_id"], "rank", ascending=False, slice_rows=slice_rows)
     return ranked.orderBy(*MUNICIPALITY, "rank", "site_id")
 
 
-def cumulative_impact(sites: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def cumulative_impact(sites: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Impact gained by repairing the sites of a municipality best-first, and its gain.
 
     Gain is the cumulative impact relative to the municipality's mean rate.
     """
     rows = with_impact(sites).select(*MUNICIPALITY, "site_id", "impact", "mean_mun")
-    order = [F.col("impact").desc(), F.col("site_id")]
-    return running_sum(rows, MUNICIPALITY, order, "impact", "impact_cum", group_rows).withColumn(
+    return running_sum(rows, MUNICIPALITY, ["-impact", "site_id"], "impact", "impact_cum", slice_rows=slice_rows).withColumn(
         "gain", ratio(F.col("impact_cum"), F.col("mean_mun"))
     )
 
@@ -119,7 +118,7 @@ def target_impact_top(sites: DataFrame, n: int, target: float = TARGET) -> DataF
     return (
         with_target_impact(sites, target)
         .select("region", "municipality", "site_id", "tests", "mean_site", "lo_site", "hi_site", "target_impact")
-        .orderBy(F.bround("target_impact", 9).desc(), "site_id")
+        .orderBy(F.bround("target_impact", 9).desc(), "site_id", "region", "municipality")
         .limit(n)
     )
 
@@ -179,15 +178,14 @@ def outlier_municipalities(municipalities: DataFrame) -> DataFrame:
     )
 
 
-def lift_worst_share(sites: DataFrame, share: float = 0.10, group_rows: int = GROUP_ROWS) -> DataFrame:
+def lift_worst_share(sites: DataFrame, share: float = 0.10, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Region rate before and after the worst share of its sites reach the region mean.
 
     The worst share of n sites are the first ``floor(share * n)`` by mean; a site that is
     already above the region's mean keeps its rate.
     """
-    rows = sites.select("region", "site_id", "tests", "mean_site", "mean_region")
-    order = [F.bround("mean_site", 9), F.col("site_id")]
-    placed = row_numbers(rows, ["region"], order, "_pos", group_rows)
+    rows = sites.select("region", "municipality", "site_id", "tests", "mean_site", "mean_region", F.bround("mean_site", 9).alias("_m"))
+    placed = row_numbers(rows, ["region"], ["_m", "site_id", "municipality"], "_pos", slice_rows)
     sizes = keep(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n_sites")), "sizes")
     lifted = F.when(
         F.col("_pos") <= F.floor(F.col("n_sites") * F.lit(share)),
@@ -214,10 +212,10 @@ def budget_share(sites: DataFrame, target: float = TARGET) -> DataFrame:
     return need.withColumn("share", ratio(F.col("need"), need.agg(F.sum("need")).scalar()))
 
 
-def volume_extremes(sites: DataFrame, n: int = 15, group_rows: int = GROUP_ROWS) -> DataFrame:
+def volume_extremes(sites: DataFrame, n: int = 15, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Sites with most tests, then farthest from the median rate, with a label."""
     rows = sites.select("region", "municipality", "site_id", "tests", "mean_site")
-    median = quantiles(rows, [], "mean_site", {"median": 0.5}, group_rows).scalar()
+    median = quantiles(rows, [], "mean_site", {"median": 0.5}, slice_rows).scalar()
     return (
         rows.withColumn("distance", F.bround(F.abs(F.col("mean_site") - median), 9))
         .orderBy(F.col("tests").desc(), F.col("distance").desc(), "site_id", "region", "municipality")
@@ -226,10 +224,10 @@ def volume_extremes(sites: DataFrame, n: int = 15, group_rows: int = GROUP_ROWS)
     )
 
 
-def volume_against_rate(sites: DataFrame, n: int = 15, group_rows: int = GROUP_ROWS) -> DataFrame:
+def volume_against_rate(sites: DataFrame, n: int = 15, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Every site's tests and rate; the extremes carry their label, the others null."""
     place = ["region", "municipality", "site_id"]
-    marked = volume_extremes(sites, n, group_rows).select(*place, "label")
+    marked = volume_extremes(sites, n, slice_rows).select(*place, "label")
     return sites.select(*place, "tests", "mean_site").join(marked, place, "left")
 
 

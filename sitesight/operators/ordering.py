@@ -1,42 +1,31 @@
 """Ordered work inside groups of any size: positions, dense ranks, running sums, quantiles.
 
-A plain window sorts each group in one task. That is the right plan while groups are
-moderate, and it is used then. When the largest group (measured, not guessed) exceeds
-``GROUP_ROWS``, or when there is no group at all, the rows are range-partitioned by
-(group, order) into slices of about ``GROUP_ROWS`` rows and the slices are written once.
-Every slice is then sorted on its own, and a small table with one row per (group, slice)
-carries the counts and sums of the slices before it. The answers are the same.
+One plan serves all sizes. A thin sample of (group, order), taken at a fixed rate, shows where a
+group has to be cut: every ``SAMPLES``-th sampled row of a group is a splitter, so a slice has about
+``SLICE_ROWS`` rows and a group with fewer has no splitter and is one slice. A row finds its slice
+among its group's splitters by binary search, rows are shuffled by (group, slice), every slice is
+sorted on its own, and a small table with one row for each slice carries the counts and sums of the
+slices before it. Nothing is counted beforehand, and an input that is more than a scan of files is
+evaluated once: it is written, and all passes read the written rows.
+
+An order is a list of column names; a name with a leading ``-`` runs downwards.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesight.workspace import keep
+from sitesight.workspace import keep, stored
 
-GROUP_ROWS = 2_000_000
-# Up to this many values of one key fit comfortably into one in-memory aggregate buffer.
-ARRAY_ROWS = 100_000
-# Beyond this many slices they grow instead; a slice's sort spills to disk.
-MAX_SLICES = 20_000
+SLICE_ROWS = 2_000_000
+#: Sampled rows of a slice, and the bits of the largest number of slices of one group.
+SAMPLES, SPLIT_BITS = 16, 22
 SLICE = "__slice"
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(all rows, rows of the largest group); a map-side combined count."""
-    if not keys:
-        n = df.count()
-        return n, n
-    row = (
-        df.groupBy(*keys).count().agg(F.sum("count").alias("total"), F.max("count").alias("top"))
-    ).first()
-    return row["total"] or 0, row["top"] or 0
-
-
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which null matches null; key columns come from the left."""
     renamed = right.select(
@@ -47,10 +36,52 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], total: int, rows: int) -> DataFrame:
-    n = min(MAX_SLICES, max(2, math.ceil(total / rows)))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    return keep(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
+def _columns(order: Sequence[str]) -> list[Column]:
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+
+
+def _names(order: Sequence[str]) -> list[str]:
+    return [c.removeprefix("-") for c in order]
+
+
+def _not_after(a: Column, order: Sequence[str]) -> Column:
+    """Whether struct ``a`` comes before the row or at its place; nulls come first upwards and last downwards."""
+    out = F.lit(True)
+    for k, c in reversed(list(enumerate(order))):
+        x, y = a[f"o{k}"], F.col(c.removeprefix("-"))
+        if c.startswith("-"):
+            before = F.coalesce(x > y, F.lit(False)) | (x.isNotNull() & y.isNull())
+        else:
+            before = F.coalesce(x < y, F.lit(False)) | (x.isNull() & y.isNotNull())
+        out = before | (x.eqNullSafe(y) & out)
+    return out
+
+
+def _place(splitters: Column, order: Sequence[str]) -> Column:
+    """How many of the sorted splitters do not come after the row, by binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(SPLIT_BITS))])
+
+    def further(at: Column, step: Column) -> Column:
+        next_ = F.try_element_at(splitters, at + step)
+        return F.when(next_.isNotNull() & _not_after(next_, order), at + step).otherwise(at)
+
+    return F.when(splitters.isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), further))
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int) -> tuple[DataFrame, bool]:
+    """The rows with their slice, and whether any group has more than one."""
+    rows = stored(df, "rows")
+    by = [F.col(c).alias(f"o{k}") for k, c in enumerate(_names(order))]
+    sample = rows.select(*keys, F.struct(*by).alias("__at")).sample(min(1.0, SAMPLES / slice_rows), seed=7)
+    sides = [F.col(f"__at.o{k}").desc() if c.startswith("-") else F.col(f"__at.o{k}").asc() for k, c in enumerate(order)]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*sides))
+    cut = sample.withColumn("__nth", nth).where(F.col("__nth") % SAMPLES == 0)
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__at"))), lambda x: x["__at"])
+    splitters = keep(cut.groupBy(*keys).agg(lists.alias("__splitters")).where(F.size("__splitters") > 0), "splitters")
+    if splitters.isEmpty():
+        return rows.withColumn(SLICE, F.lit(0)), False
+    with_list = same_keys(rows, splitters, keys, "left") if keys else rows.withColumn("__splitters", splitters.scalar())
+    return with_list.withColumn(SLICE, _place(F.col("__splitters"), order)).drop("__splitters"), True
 
 
 def _earlier(keys: Sequence[str]):
@@ -61,63 +92,60 @@ def _earlier(keys: Sequence[str]):
 def row_numbers(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     out: str = "rank",
-    group_rows: int = GROUP_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """1-based position in the group under a total order."""
     keys = list(keys)
-    total, top = group_sizes(df, keys)
-    if keys and top <= group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    rows = _slices(df, keys, order, total, group_rows)
+    rows, cut = _sliced(df, keys, order, slice_rows)
     part = [*keys, SLICE]
+    local = rows.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*_columns(order))).cast("bigint"))
+    if not cut:
+        return local.drop(SLICE)
     before = keep(
         rows.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("__n"))
         .select(*part, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before")),
         "before",
     )
-    local = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    return (
-        same_keys(local, before, part)
-        .withColumn(out, (F.col("__rn") + F.col("__before")).cast("bigint"))
-        .drop("__rn", "__before", SLICE)
-    )
+    return same_keys(local, before, part).withColumn(out, F.col(out) + F.col("__before")).drop("__before", SLICE)
 
 
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[str],
     value: str,
     out: str,
-    group_rows: int = GROUP_ROWS,
+    total: str | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Sum of ``value`` from the start of the group up to the row, under a total order."""
+    """Sum of ``value`` from the start of the group up to the row, under a total order.
+
+    ``total`` names a column for the sum over the whole group.
+    """
     keys = list(keys)
-    total, top = group_sizes(df, keys)
-    upto = (Window.unboundedPreceding, 0)
-    if keys and top <= group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-        return df.withColumn(out, F.sum(value).over(w))
-    rows = _slices(df, keys, order, total, group_rows)
+    rows, cut = _sliced(df, keys, order, slice_rows)
     part = [*keys, SLICE]
+    upto = Window.partitionBy(*part).orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("__sum", F.sum(value).over(upto))
+    if not cut:
+        if total:
+            local = local.withColumn(total, F.sum(value).over(Window.partitionBy(*part)))
+        return local.withColumnRenamed("__sum", out).drop(SLICE)
     before = keep(
         rows.groupBy(*part)
         .agg(F.sum(value).alias("__v"))
-        .select(*part, F.sum("__v").over(_earlier(keys)).alias("__before")),
+        .select(
+            *part, F.sum("__v").over(_earlier(keys)).alias("__before"),
+            F.sum("__v").over(Window.partitionBy(*keys)).alias(total or "__all"),
+        ),
         "before",
     )
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(*upto)
     # null only where there has been no value yet, as in a plain window
-    total_so_far = F.when(F.col("__sum").isNull(), F.col("__before")).otherwise(F.col("__sum") + F.coalesce("__before", F.lit(0)))
-    return (
-        same_keys(rows.withColumn("__sum", F.sum(value).over(w)), before, part)
-        .withColumn(out, total_so_far)
-        .drop("__sum", "__before", SLICE)
-    )
+    so_far = F.when(F.col("__sum").isNull(), F.col("__before")).otherwise(F.col("__sum") + F.coalesce("__before", F.lit(0)))
+    return same_keys(local, before, part).withColumn(out, so_far).drop("__sum", "__before", "__all", SLICE)
 
 
 def dense_ranks(
@@ -127,7 +155,7 @@ def dense_ranks(
     ties: Sequence[str],
     out: str = "rank",
     ascending: bool = True,
-    group_rows: int = GROUP_ROWS,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Dense rank by ``value``. ``ties`` only spreads a much repeated value over slices.
 
@@ -135,92 +163,56 @@ def dense_ranks(
     value of the slice before it.
     """
     keys = list(keys)
-    first = F.col(value).asc() if ascending else F.col(value).desc()
-    total, top = group_sizes(df, keys)
-    if keys and top <= group_rows:
-        w = Window.partitionBy(*keys).orderBy(first)
-        return df.withColumn(out, F.dense_rank().over(w).cast("bigint"))
-    rows = _slices(df, keys, [first, *[F.col(t) for t in ties]], total, group_rows)
+    first = value if ascending else f"-{value}"
+    rows, cut = _sliced(df, keys, [first, *ties], slice_rows)
     part = [*keys, SLICE]
-    w = Window.partitionBy(*part).orderBy(first)
-    local = rows.withColumn("__dr", F.dense_rank().over(w))
+    local = rows.withColumn(out, F.dense_rank().over(Window.partitionBy(*part).orderBy(*_columns([first]))).cast("bigint"))
+    if not cut:
+        return local.drop(SLICE)
     entry, leave = (F.min, F.max) if ascending else (F.max, F.min)
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
     before = keep(
-        local.groupBy(*part)
-        .agg(F.max("__dr").alias("__n"), entry(F.struct(value)).alias("__from"), leave(F.struct(value)).alias("__to"))
-        .withColumn(
-            "__shared",
-            F.col("__from").eqNullSafe(
-                F.lag("__to").over(Window.partitionBy(*keys).orderBy(SLICE))
-            ).cast("int"),
-        )
+        rows.groupBy(*part)
+        .agg(F.count_distinct(F.struct(value)).alias("__n"), entry(F.struct(value)).alias("__from"), leave(F.struct(value)).alias("__to"))
+        .withColumn("__shared", F.col("__from").eqNullSafe(F.lag("__to").over(by_slice)).cast("int"))
         .select(
             *part,
             (
                 F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0))
-                - F.coalesce(
-                    F.sum("__shared").over(
-                        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
-                    ),
-                    F.lit(0),
-                )
+                - F.coalesce(F.sum("__shared").over(by_slice.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
             ).alias("__before"),
         ),
         "before",
     )
-    return (
-        same_keys(local, before, part)
-        .withColumn(out, (F.col("__dr") + F.col("__before")).cast("bigint"))
-        .drop("__dr", "__before", SLICE)
-    )
+    return same_keys(local, before, part).withColumn(out, F.col(out) + F.col("__before")).drop("__before", SLICE)
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles, one column per entry of ``probs``.
+def cumulative(df: DataFrame, keys: Sequence[str], value: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """(keys, v, n, upto, total): each distinct value of a group, how often it occurs, how many rows do
+    not exceed it and how many rows the group has. Null values do not count.
 
-    The built-in percentile holds all values of a key in one buffer; it is used while the
-    largest key is small. Otherwise the rows at the wanted positions are picked.
+    Rows collapse to (group, value, count) before they are shuffled, so neither a large group nor a
+    much repeated value meets in one task.
     """
-    keys = list(keys)
-    # the hash of the row lets a much repeated value lie in several slices
-    rows = df.select(*keys, F.col(value).alias("_v"), F.xxhash64(*df.columns).alias("_tie")).where(F.col("_v").isNotNull())
-    _, top = group_sizes(rows, keys)
-    if top <= min(group_rows, ARRAY_ROWS):
-        return rows.groupBy(*keys).agg(
-            *[F.percentile("_v", F.lit(p)).alias(name) for name, p in probs.items()]
-        )
-    placed = row_numbers(rows, keys, [F.col("_v").asc(), F.col("_tie")], "_rn", group_rows)
-    sizes = keep(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")), "sizes")
-    if keys:
-        placed = same_keys(placed, sizes, keys)
-    else:
-        placed = placed.withColumn("_size", sizes.scalar())
-    spot = {n: (F.col("_size") - 1) * F.lit(p) for n, p in probs.items()}
-    wanted = F.lit(False)
-    for h in spot.values():
-        wanted = wanted | F.col("_rn").isin(F.floor(h) + 1, F.ceil(h) + 1)
-    return (
-        placed.where(wanted)
-        .groupBy(*keys)
-        .agg(
-            *[
-                (
-                    F.max(F.when(F.col("_rn") == F.floor(h) + 1, F.col("_v") * (1 - (h - F.floor(h)))))
-                    + F.coalesce(
-                        F.max(F.when(F.col("_rn") == F.floor(h) + 2, F.col("_v") * (h - F.floor(h)))),
-                        F.lit(0.0),
-                    )
-                ).alias(name)
-                for name, h in spot.items()
-            ]
-        )
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return running_sum(counts, keys, ["v"], "n", "upto", "total", slice_rows)
+
+
+def quantiles_of(placed: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles from a table of ``cumulative``, one column per entry of ``probs``."""
+    columns = []
+    for name, p in probs.items():
+        h = (F.col("total") - 1) * F.lit(float(p))
+        low, part = F.floor(h) + 1, h - F.floor(h)
+        at = lambda rank: (F.col("upto") - F.col("n") < rank) & (F.col("upto") >= rank)
+        lower, upper = F.max(F.when(at(low), F.col("v") * (1 - part))), F.max(F.when(at(low + 1), F.col("v") * part))
+        columns.append((lower + F.coalesce(upper, F.lit(0.0))).alias(name))
+    return placed.groupBy(*keys).agg(*columns)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Exact linear-interpolation quantiles, one column per entry of ``probs``."""
+    return quantiles_of(cumulative(df, keys, value, slice_rows), keys, probs)
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:

@@ -76,6 +76,61 @@ mono AS (SELECT *, min(p) OVER (PARTITION BY param ORDER BY k) AS low FROM pairs
 ess AS (SELECT param, any_value(total)::DOUBLE / (2 * sum(CASE WHEN low >= 0 THEN low ELSE 0 END) - 1) AS ess
         FROM mono GROUP BY 1)"""
 
+# Coefficients of Acklam's rational approximation to the normal quantile (published).
+_C = "-7.784894002430293e-03 -3.223964580411365e-01 -2.400758277161838 -2.549732539343734 4.374664141464968 2.938163982698783".split()
+_D = "7.784695709041462e-03 3.224671290700398e-01 2.445134137142996 3.754408661907416 1".split()
+_A = "-3.969683028665376e+01 2.209460984245205e+02 -2.759285104469687e+02 1.383577518672690e+02 -3.066479806614716e+01 2.506628277459239".split()
+_B = "-5.447609879822406e+01 1.615858368580409e+02 -1.556989798598866e+02 6.680131188771972e+01 -1.328068155288572e+01 1".split()
+
+
+def polynomial(coefficients: list[str], x: str) -> str:
+    n = len(coefficients)
+    return "(" + " + ".join(f"({c})::DOUBLE * pow({x}, {n - 1 - k})" for k, c in enumerate(coefficients)) + ")"
+
+
+def normal_score(p: str) -> str:
+    tail = lambda x: f"{polynomial(_C, x)} / {polynomial(_D, x)}"
+    return f"""CASE WHEN {p} < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > 0.97575 THEN -{tail(f'sqrt(-2 * ln(1 - {p}))')}
+        ELSE ({p} - 0.5) * {polynomial(_A, f'pow({p} - 0.5, 2)')} / {polynomial(_B, f'pow({p} - 0.5, 2)')} END"""
+
+
+#: Half chains with normal scores, plain and folded, tail indicators and squared distances.
+SCORED = f"""
+lim AS (SELECT param, avg(value) AS mean, median(value) AS mid, quantile_cont(value, 0.05) AS q05, quantile_cont(value, 0.95) AS q95,
+               count(*) AS n FROM draws_fact GROUP BY 1),
+len AS (SELECT param, chain, max(draw) AS len FROM draws_fact GROUP BY 1, 2),
+half AS (SELECT d.param, d.chain * 2 + CASE WHEN draw > floor(len / 2) THEN 1 ELSE 0 END AS chain, draw, value, abs(value - mid) AS away, mean, q05, q95, lim.n
+         FROM draws_fact d JOIN len ON d.param = len.param AND d.chain = len.chain JOIN lim ON d.param = lim.param),
+ranked AS (SELECT *, avg(rn) OVER (PARTITION BY param, value) AS r, avg(fn) OVER (PARTITION BY param, away) AS f FROM (
+             SELECT *, row_number() OVER (PARTITION BY param ORDER BY value) AS rn, row_number() OVER (PARTITION BY param ORDER BY away) AS fn FROM half)),
+shares AS (SELECT *, (r - 0.375) / (n + 0.25) AS p, (f - 0.375) / (n + 0.25) AS pf FROM ranked),
+scored AS (SELECT param, chain, row_number() OVER (PARTITION BY param, chain ORDER BY draw) AS draw, value AS x, pow(value - mean, 2) AS square,
+             {normal_score('p')} AS z, {normal_score('pf')} AS folded,
+             CASE WHEN value <= q05 THEN 1.0::DOUBLE ELSE 0.0 END AS low, CASE WHEN value <= q95 THEN 1.0::DOUBLE ELSE 0.0 END AS high FROM shares)"""
+
+
+def reduction_cte(name: str, column: str) -> str:
+    return f"""{name} AS (SELECT param, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS rhat FROM (
+        SELECT param, chain, avg({column}) AS m, var_samp({column}) AS v, count(*)::DOUBLE AS n FROM scored GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def size_cte(column: str) -> str:
+    """Effective size of a column over half chains, from lags up to 64 (the test tables end long before)."""
+    q = column
+    return f"""
+mu_{q} AS (SELECT param, chain, avg({q}) AS m, count(*) AS n FROM scored GROUP BY 1, 2),
+x_{q} AS (SELECT d.param, d.chain, d.draw, d.{q} - m AS x, n FROM scored d JOIN mu_{q} USING (param, chain)),
+a_{q} AS (SELECT a.param, l.lag, a.chain, sum(a.x * b.x) / any_value(a.n) AS c FROM x_{q} a CROSS JOIN (SELECT unnest(range(0, 65)) AS lag) l
+          JOIN x_{q} b ON a.param = b.param AND a.chain = b.chain AND b.draw = a.draw + l.lag GROUP BY 1, 2, 3),
+c_{q} AS (SELECT param, lag, avg(c) AS a FROM a_{q} GROUP BY 1, 2),
+b_{q} AS (SELECT param, coalesce(var_samp(m), 0) AS b, avg(n) AS n, sum(n)::DOUBLE AS total FROM mu_{q} GROUP BY 1),
+r_{q} AS (SELECT c.param, c.lag, total, CASE WHEN c.lag = 0 THEN 1.0::DOUBLE ELSE 1 - (z.a * n / (n - 1) - c.a) / (z.a + b) END AS rho
+          FROM c_{q} c JOIN c_{q} z ON c.param = z.param AND z.lag = 0 JOIN b_{q} ON c.param = b_{q}.param),
+p_{q} AS (SELECT param, lag // 2 AS k, sum(rho) AS p, any_value(total) AS total FROM r_{q} GROUP BY 1, 2 HAVING count(*) = 2),
+l_{q} AS (SELECT *, min(p) OVER (PARTITION BY param ORDER BY k) AS low FROM p_{q}),
+ess_{q} AS (SELECT param, any_value(total) / (2 * sum(CASE WHEN low >= 0 THEN low ELSE 0 END) - 1) AS e FROM l_{q} GROUP BY 1)"""
+
+
 DRAW_SQL: dict[str, str] = {
     "draws_fact": W + f"SELECT param, chain, draw, {r('value')} FROM draws_fact",
     "draws_arrays_long": f"""SELECT vec_id, pos::BIGINT AS draw, {r('embedding[pos]::DOUBLE', 'value')}
@@ -123,13 +178,19 @@ f AS (SELECT *, ceil(ln(0.001::DOUBLE * (al + be) / greatest(al, be)) / nullif(l
 """
     + f"""SELECT param, chain, n00, n01, n10, n11, burn_in, needed, least,
          {r('(burn_in + needed)::DOUBLE / least', 'dependence')} FROM f""",
-    "full_summary": f"{_H94},{ESS},{rhat_cte(True)}"
-    + f"""\nSELECT d.param, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')},
-         {r('any_value(hdi_lo)', 'hdi_lo')}, {r('any_value(hdi_hi)', 'hdi_hi')}, {r('any_value(ess)', 'ess')},
-         {r('any_value(rhat)', 'rhat')}, {r('stddev_samp(value) / sqrt(any_value(ess))', 'mcse')},
-         coalesce(any_value(rhat) < 1.01 AND any_value(ess) > 100, false) AS converged
-         FROM draws_fact d JOIN hdi h ON d.param = h.param JOIN ess e ON d.param = e.param
-         JOIN rhats g ON d.param = g.param GROUP BY d.param""",
+    "rank_rhat": f"{W.rstrip()},{SCORED},{reduction_cte('bulk', 'z')},{reduction_cte('fold', 'folded')}"
+    + f"""\nSELECT param, {r('bulk.rhat', 'rhat_bulk')}, {r('fold.rhat', 'rhat_folded')}, {r('greatest(bulk.rhat, fold.rhat)', 'rhat_rank')}
+         FROM bulk JOIN fold USING (param)""",
+    "full_summary": f"{_H94},{SCORED},{reduction_cte('plain', 'x')},{reduction_cte('bulk', 'z')},{reduction_cte('fold', 'folded')},"
+    + ",".join(size_cte(c) for c in ("x", "square", "z", "low", "high"))
+    + f""",
+moments AS (SELECT param, avg(x) AS mean, stddev_samp(x) AS sd, avg(square) AS m2, avg(square * square) AS m4 FROM scored GROUP BY 1)
+SELECT param, {rs('mean', 'sd', 'hdi_lo', 'hdi_hi')}, {r('ess_x.e', 'ess')}, {r('ess_z.e', 'ess_bulk')}, {r('least(ess_low.e, ess_high.e)', 'ess_tail')},
+  {r('plain.rhat', 'rhat')}, {r('greatest(bulk.rhat, fold.rhat)', 'rhat_rank')}, {r('sd / sqrt(ess_x.e)', 'mcse_mean')},
+  {r('sqrt((m4 - m2 * m2) / ess_square.e) / (2 * sqrt(m2))', 'mcse_sd')},
+  coalesce(greatest(bulk.rhat, fold.rhat) < 1.01 AND ess_z.e > 100 AND least(ess_low.e, ess_high.e) > 100, false) AS converged
+FROM moments JOIN hdi USING (param) JOIN plain USING (param) JOIN bulk USING (param) JOIN fold USING (param) JOIN ess_x USING (param)
+  JOIN ess_square USING (param) JOIN ess_z USING (param) JOIN ess_low USING (param) JOIN ess_high USING (param)""",
     "prob_greater": W.rstrip()
     + f""",
 m AS (SELECT param, round_even(avg(value), 9) AS m FROM draws_fact GROUP BY 1),

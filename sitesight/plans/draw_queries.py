@@ -79,7 +79,7 @@ QUERIES: dict[str, Query] = {
     "hdi_94": _on_draws(lambda t: D.hdi(t, PARAM, 0.94), "param", "hdi_lo", "hdi_hi"),
     "hdi_95": _on_draws(lambda t: D.hdi(t, PARAM, 0.95), "param", "hdi_lo", "hdi_hi"),
     "hdi_spread": _on_draws(
-        lambda t: D.hdi(t, PARAM, 0.95, array_rows=1000, group_rows=1000), "param", "hdi_lo", "hdi_hi"
+        lambda t: D.hdi(t, PARAM, 0.95, slice_rows=1000), "param", "hdi_lo", "hdi_hi"
     ),
     "hdi_municipality": lambda s, d: shown(
         D.hdi(_site_month_rates(s, d), ["region", "municipality"], 0.95),
@@ -90,7 +90,7 @@ QUERIES: dict[str, Query] = {
         lambda t: D.quantile_summary(t, PARAM), "param", "mean", "sd", *D.SUMMARY_QUANTILES
     ),
     "quantile_spread": _on_draws(
-        lambda t: D.quantile_summary(t, PARAM, group_rows=1000), "param", "mean", "sd", *D.SUMMARY_QUANTILES
+        lambda t: D.quantile_summary(t, PARAM, slice_rows=1000), "param", "mean", "sd", *D.SUMMARY_QUANTILES
     ),
     "quantile_sketch": _on_draws(
         lambda t: D.approximate_quantiles(t, PARAM), "param", *D.SUMMARY_QUANTILES
@@ -103,8 +103,10 @@ QUERIES: dict[str, Query] = {
         "param", "chain", "n00", "n01", "n10", "n11", "burn_in", "needed", "least", "dependence",
     ),
     "full_summary": _on_draws(
-        lambda t: G.settled(G.full_summary(t, PARAM)), *SUMMARY, "ess", "rhat", "mcse", "converged"
+        lambda t: G.settled(G.full_summary(t, PARAM)), *SUMMARY, "ess", "ess_bulk", "ess_tail", "rhat", "rhat_rank",
+        "mcse_mean", "mcse_sd", "converged",
     ),
+    "rank_rhat": _on_draws(lambda t: G.rank_rhat(t, PARAM), "param", "rhat_bulk", "rhat_folded", "rhat_rank"),
     "prob_greater": _on_draws(
         lambda t: D.prob_greater(t, D.neighbour_pairs(t, "param"), "param"), "better", "worse", "draws", "prob"
     ),

@@ -247,7 +247,7 @@ SITE_SQL: dict[str, str] = {
     "target_impact_top": W_EST
     + f"""SELECT region, municipality, site_id, tests, {rs('mean_site', 'lo_site', 'hi_site')},
          {r('tests * (0.8 - mean_site)', 'target_impact')} FROM est
-         ORDER BY round_even(tests * (0.8 - mean_site), 9) DESC, site_id LIMIT 10""",
+         ORDER BY round_even(tests * (0.8 - mean_site), 9) DESC, site_id, region, municipality LIMIT 10""",
     "worst_municipality": W_EST
     + f"""SELECT region, municipality, {rs('mean_mun', 'lo_mun', 'hi_mun')} FROM mun_est
          QUALIFY row_number() OVER (PARTITION BY region ORDER BY round_even(mean_mun, 9), municipality) <= 1""",
@@ -259,7 +259,7 @@ SITE_SQL: dict[str, str] = {
          CASE WHEN lo_mun > mean_region THEN 'high' ELSE 'low' END AS side FROM mun_est
          WHERE lo_mun > mean_region OR hi_mun < mean_region""",
     "what_if_worst_decile": W_EST
-    + """, p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round_even(mean_site, 9), site_id) AS pos,
+    + """, p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY round_even(mean_site, 9), site_id, municipality) AS pos,
                 count(*) OVER (PARTITION BY region) AS n FROM est)
          SELECT region, CAST(sum(CASE WHEN pos <= floor(n * 0.1) THEN 1 ELSE 0 END) AS BIGINT) AS sites_lifted,
          round_even(sum(tests * mean_site) / sum(tests), 6) AS rate_before,

@@ -96,9 +96,7 @@ def build_draws_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "value",
     )
-    numbered = row_numbers(
-        events, ["param", "chain"], [F.col("ts"), F.col("event_id")], "draw"
-    )
+    numbered = row_numbers(events, ["param", "chain"], ["ts", "event_id"], "draw")
     return numbered.select("param", "chain", "draw", "value")
 
 

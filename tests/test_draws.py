@@ -50,10 +50,10 @@ def chains(spark):
     return spark.createDataFrame(pdf), raw
 
 
-@pytest.mark.parametrize("array_rows,group_rows", [(10**6, 10**6), (500, 700), (1, 10**6)])
-def test_hdi_forms_agree(chains, array_rows, group_rows):
+@pytest.mark.parametrize("slice_rows", [10**6, 700, 64])
+def test_hdi_forms_agree(chains, slice_rows):
     df, raw = chains
-    got = D.hdi(df, ["param"], 0.94, array_rows=array_rows, group_rows=group_rows).toPandas().set_index("param")
+    got = D.hdi(df, ["param"], 0.94, slice_rows=slice_rows).toPandas().set_index("param")
     for p, x in raw.items():
         assert np.allclose(got.loc[p], numpy_hdi(x.ravel(), 0.94))
 
@@ -67,10 +67,10 @@ def test_hdi_holds_its_mass(chains):
         assert hi - lo <= np.diff(np.quantile(x, [0.025, 0.975], method="inverted_cdf"))[0] + 1e-12
 
 
-@pytest.mark.parametrize("max_lag,block", [(64, 4096), (8, 50), (16, 128)])
-def test_effective_size(chains, max_lag, block):
+@pytest.mark.parametrize("block", [1 << 15, 50, 128])
+def test_effective_size(chains, block):
     df, raw = chains
-    got = G.effective_size(df, ["param"], max_lag, block).toPandas().set_index("param")["ess"]
+    got = G.effective_size(df, ["param"], block).toPandas().set_index("param")["ess"]
     for p, x in raw.items():
         assert np.isclose(got[p], numpy_ess(x))
 
@@ -111,14 +111,14 @@ def test_thin_renumbers(chains):
 
 def test_trace_running_mean(chains):
     df, raw = chains
-    got = D.trace_series(df, ["param"], group_rows=500).where("param = 'hot' and chain = 1").orderBy("draw").toPandas()
+    got = D.trace_series(df, ["param"], slice_rows=500).where("param = 'hot' and chain = 1").orderBy("draw").toPandas()
     x = raw["hot"][1]
     assert np.allclose(got["running_mean"], np.cumsum(x) / np.arange(1, len(x) + 1))
 
 
 def test_rank_histogram_is_whole(chains):
     df, raw = chains
-    got = D.rank_histogram(df, ["param"], 10, group_rows=500).toPandas()
+    got = D.rank_histogram(df, ["param"], 10, slice_rows=500).toPandas()
     assert got["n"].sum() == sum(x.size for x in raw.values())
     per_bin = got[got["param"] == "hot"].groupby("bin")["n"].sum()
     assert (per_bin == 900).all()
@@ -146,3 +146,81 @@ def test_dic(spark):
     choose = np.array([comb(a, b) for a, b in zip(n, k)], dtype=float)
     dev = -2 * np.log(choose * theta**k * (1 - theta) ** (n - k)).sum(axis=2).ravel()
     assert np.isclose(got["mean_deviance"], dev.mean()) and np.isclose(got["p_d"], dev.var(ddof=1) / 2)
+
+
+def numpy_scores(x):
+    """Normal scores of pooled average ranks."""
+    from statistics import NormalDist
+
+    flat = x.ravel()
+    order = np.sort(flat)
+    rank = (np.searchsorted(order, flat, "left") + np.searchsorted(order, flat, "right") + 1) / 2
+    return np.array([NormalDist().inv_cdf((r - 0.375) / (len(flat) + 0.25)) for r in rank]).reshape(x.shape)
+
+
+def halves(x):
+    cut = x.shape[1] // 2
+    return np.concatenate([x[:, :cut], x[:, cut: 2 * cut]])
+
+
+def numpy_rhat(x):
+    n, w, b = x.shape[1], x.var(axis=1, ddof=1).mean(), x.mean(axis=1).var(ddof=1)
+    return np.sqrt(((n - 1) / n * w + b) / w)
+
+
+def chain_rows(spark, raw):
+    rows = [(p, c, t + 1, float(v)) for p, x in raw.items() for c in range(x.shape[0]) for t, v in enumerate(x[c])]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["param", "chain", "draw", "value"]).astype({"chain": "int32"}))
+
+
+def test_rank_rhat(spark):
+    """Heavy tails, chains that differ in scale only, ties, and chains that agree."""
+    rng = np.random.default_rng(21)
+    raw = {
+        "same": rng.normal(size=(4, 400)), "cauchy": rng.standard_cauchy((4, 400)) + np.array([[0], [0], [0], [2.5]]),
+        "scale": rng.normal(size=(4, 400)) * np.array([[1], [1], [1], [6]]), "ties": rng.integers(0, 4, (4, 400)).astype(float),
+    }
+    got = G.rank_rhat(chain_rows(spark, raw), ["param"], slice_rows=300).toPandas().set_index("param")
+    for p, x in raw.items():
+        want = numpy_rhat(halves(numpy_scores(x))), numpy_rhat(halves(numpy_scores(np.abs(x - np.median(x)))))
+        assert np.allclose(got.loc[p, ["rhat_bulk", "rhat_folded"]].astype(float), want, atol=1e-7)
+    plain = G.rhat(chain_rows(spark, raw), ["param"], split=True).toPandas().set_index("param")["rhat"]
+    assert got.loc["cauchy", "rhat_rank"] > 1.05 and got.loc["scale", "rhat_rank"] > 1.05 > plain["scale"]
+    assert got.loc["same", "rhat_rank"] < 1.01 and got.loc["ties", "rhat_rank"] < 1.02
+
+
+@pytest.mark.parametrize("block", [1 << 15, 64])
+def test_full_summary(chains, block):
+    df, raw = chains
+    got = G.full_summary(df, ["param"], 0.94, slice_rows=900, block=block).toPandas().set_index("param")
+    for p, x in raw.items():
+        row, two = got.loc[p], halves(x)
+        ess, bulk = numpy_ess(two), numpy_ess(halves(numpy_scores(x)))
+        tail = min(numpy_ess(halves((x <= np.quantile(x, q)).astype(float))) for q in (0.05, 0.95))
+        square = (x - x.mean()) ** 2
+        error = np.sqrt((np.mean(square**2) - np.mean(square) ** 2) / numpy_ess(halves(square))) / (2 * np.sqrt(square.mean()))
+        assert np.allclose([row["ess"], row["ess_bulk"], row["ess_tail"]], [ess, bulk, tail], rtol=1e-6)
+        assert np.allclose([row["mean"], row["sd"], row["mcse_mean"], row["mcse_sd"]], [x.mean(), x.std(ddof=1), x.std(ddof=1) / np.sqrt(ess), error], rtol=1e-6)
+        assert np.allclose([row["hdi_lo"], row["hdi_hi"]], numpy_hdi(x.ravel(), 0.94)) and row["rhat"] == pytest.approx(numpy_rhat(two))
+
+
+def test_effective_size_of_odd_chains(spark):
+    """Constant values, one draw a chain, chains of different length, null values and repeated values."""
+    raw = {"flat": np.full((2, 50), 3.0), "single": np.ones((3, 1))}
+    df = chain_rows(spark, raw).unionByName(spark.createDataFrame([("nulls", 0, 1, None)], "param string, chain int, draw long, value double"))
+    rng = np.random.default_rng(2)
+    uneven = [("uneven", c, t + 1, float(v)) for c, n in ((0, 40), (1, 300)) for t, v in enumerate(rng.normal(size=n))]
+    df = df.unionByName(spark.createDataFrame(uneven, "param string, chain int, draw long, value double"))
+    got = G.effective_size(df, ["param"], block=32).toPandas().set_index("param")["ess"]
+    assert got["flat"] == 100 and np.isnan(got["single"]) and "nulls" not in got.index and 150 < got["uneven"] < 700
+
+
+def test_effective_size_of_a_slow_chain(spark):
+    """A million draws with autocorrelation 0.99: theory says n (1 - a) / (1 + a)."""
+    n, a = 1_000_000, 0.99
+    noise = np.random.default_rng(7).normal(size=n + 2000)
+    weights = a ** np.arange(2000)
+    x = np.fft.irfft(np.fft.rfft(noise, 1 << 21) * np.fft.rfft(weights, 1 << 21), 1 << 21)[2000: n + 2000]
+    pdf = pd.DataFrame({"param": "slow", "chain": np.int32(0), "draw": np.arange(1, n + 1), "value": x})
+    got = G.effective_size(spark.createDataFrame(pdf), ["param"]).first()["ess"]
+    assert abs(got / (n * (1 - a) / (1 + a)) - 1) < 0.05

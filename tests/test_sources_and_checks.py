@@ -98,7 +98,7 @@ def test_small_slices_give_same_lists(edge):
     for fn in (kpi.prioritise_by_share, kpi.prioritise_by_impact, kpi.cumulative_impact, kpi.lift_worst_share):
         lists = [
             sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in out.collect())
-            for out in (fn(rows), fn(rows, group_rows=2))
+            for out in (fn(rows), fn(rows, slice_rows=16))
         ]
         assert lists[0] == lists[1]
 
@@ -110,7 +110,7 @@ def test_attach_by_site_keeps_fan_out(edge):
 
 def test_site_lists_are_split(spark):
     sites = site_rows(spark, [("r", "m", i, 1, 1) for i in range(25)])
-    lists = facts.site_lists(sites, per_list=10, group_rows=7).orderBy("part").collect()
+    lists = facts.site_lists(sites, per_list=10, slice_rows=17).orderBy("part").collect()
     assert [r["n_sites"] for r in lists] == [10, 10, 5]
     assert [s for r in lists for s in r["sites"]] == list(range(25))
 
