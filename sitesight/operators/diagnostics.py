@@ -94,22 +94,23 @@ def _chain_stats(draws: DataFrame, part: Sequence[str], names: Sequence[str]) ->
     return keep(draws.groupBy(*part).agg(F.count(F.lit(1)).alias("_length"), *aggregates), "chains")
 
 
-def _effective(draws: DataFrame, chains: DataFrame, keys: list[str], part: list[str], names: list[str], block: int, whole: bool) -> DataFrame:
+def _key_facts(chains: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """What the effective size of a key needs of all its chains: numbers, lengths, spread of the means, constant columns."""
+    each = [F.struct(F.var_samp(f"m_{n}").alias("between"), F.min(f"lo_{n}").eqNullSafe(F.max(f"hi_{n}")).alias("flat")) for n in names]
+    return chains.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_chains"), F.avg("_length").alias("_n"), F.sum("_length").alias("_total"),
+        F.max("_length").alias("_longest"), F.collect_list("_length").alias("_lengths"), F.array(*each).alias("_each"),
+    )
+
+
+def _effective(draws: DataFrame, chains: DataFrame, facts: DataFrame, keys: list[str], part: list[str], names: list[str], block: int, whole: bool) -> DataFrame:
     """(keys, series, ess, done): null and not done where the positive pairs have not ended among the lags all blocks sent.
 
     Chains may differ in length: the total is the sum of their draws, the scale their mean length, and a
     lag that a chain is too short for adds 0 for it.
     """
-    facts = [F.struct(F.lit(k).alias("series"), F.var_samp(f"m_{n}").alias("b")) for k, n in enumerate(names)]
-    of_key = keep(
-        chains.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_chains"), F.avg("_length").alias("_n"), F.sum("_length").alias("_total"), F.max("_length").alias("_longest"),
-            F.sum(F.ceil(F.col("_length") / block)).alias("_blocks"), F.array(*facts).alias("_between"),
-        ),
-        "keys",
-    )
     reach = F.least(F.lit(block), F.col("_longest")).alias("_reach")
-    centres = same_keys(chains, of_key.select(*keys, "_longest"), keys).select(*part, "_length", reach, *[f"m_{n}" for n in names])
+    centres = same_keys(chains, facts.select(*keys, "_longest"), keys).select(*part, "_length", reach, *[f"m_{n}" for n in names])
     centred = same_keys(draws, centres, part).select(
         *part, "_at", "_length", "_reach", *[(F.col(n) - F.col(f"m_{n}")).alias(n) for n in names]
     )
@@ -117,31 +118,31 @@ def _effective(draws: DataFrame, chains: DataFrame, keys: list[str], part: list[
     types = dict(draws.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["series int", "lag bigint", "s double"])
     sent = blocked.groupBy(*part, "_block").applyInPandas(_lag_products(names, keys, whole), schema)
-    sums = keep(sent.groupBy(*keys, "series", "lag").agg(F.sum("s").alias("_s"), F.count(F.lit(1)).alias("_sent")), "lags")
-    rows = same_keys(sums, of_key, keys).where(F.col("_sent") == F.col("_blocks"))
+    sums = sent.groupBy(*keys, "series", "lag").agg(F.sum("s").alias("_s"), F.count(F.lit(1)).alias("_sent"))
+    rows = same_keys(sums, facts, keys).withColumn("_own", F.element_at("_each", F.col("series") + 1))
+    n_blocks = F.aggregate("_lengths", F.lit(0).cast("bigint"), lambda t, n: t + F.ceil(n / F.lit(block)))
     by_lag = Window.partitionBy(*keys, "series").orderBy("lag")
     acov = F.col("_s") / F.col("_chains")
     zero = F.first(acov).over(by_lag)
-    between = F.coalesce(F.element_at("_between", F.col("series") + 1)["b"], F.lit(0.0))
-    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1 - F.try_divide(zero * F.try_divide(F.col("_n"), F.col("_n") - 1) - acov, zero + between))
-    pairs = (
-        rows.withColumn("_rho", rho)
-        .groupBy(*keys, "series", F.floor(F.col("lag") / 2).alias("_k"))
-        .agg(F.sum("_rho").alias("_p"), F.count(F.lit(1)).alias("_have"), F.first("_total").alias("_total"), F.first("_longest").alias("_longest"))
-        .where("_have = 2")
-    )
-    by_pair = Window.partitionBy(*keys, "series").orderBy("_k")
-    return (
-        pairs.withColumn("_ended", F.max((F.col("_p") < 0).cast("int")).over(by_pair))
-        .withColumn("_low", F.min("_p").over(by_pair))
+    above = zero * F.try_divide(F.col("_n"), F.col("_n") - 1) - acov
+    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1 - F.try_divide(above, zero + F.coalesce(F.col("_own.between"), F.lit(0.0))))
+    # the lags of a key are some hundreds, so these windows are small
+    ahead = F.lead("_rho").over(by_lag)
+    pairs = rows.where(F.col("_sent") == n_blocks).withColumn("_rho", rho).withColumn("_p", F.col("_rho") + ahead)
+    pairs = pairs.where("lag % 2 = 0 and _p is not null")
+    ended = F.max((F.col("_p") < 0).cast("int")).over(by_lag)
+    summed = (
+        pairs.withColumn("_ended", ended)
+        .withColumn("_low", F.min("_p").over(by_lag))
         .groupBy(*keys, "series")
         .agg(
-            F.sum(F.when(F.col("_ended") == 0, F.col("_low"))).alias("_sum"), F.max("_ended").alias("_done"),
-            F.max("_k").alias("_last"), F.first("_total").alias("_total"), F.first("_longest").alias("_longest"),
+            F.sum(F.when(F.col("_ended") == 0, F.col("_low"))).alias("_sum"), F.max("_ended").alias("_done"), F.max("lag").alias("_last"),
+            *[F.first(c).alias(c) for c in ("_total", "_longest", "_own")],
         )
-        .withColumn("done", (F.coalesce("_done", F.lit(1)) == 1) | (2 * F.col("_last") + 3 >= F.col("_longest")))
-        .select(*keys, "series", F.when(F.col("done"), F.try_divide(F.col("_total").cast("double"), 2 * F.col("_sum") - 1)).alias("ess"), "done")
     )
+    done = F.col("_own.flat") | (F.col("_done") == 1) | (F.col("_last") + 3 >= F.col("_longest"))
+    ess = F.when(F.col("_own.flat"), F.col("_total").cast("double")).otherwise(F.try_divide(F.col("_total").cast("double"), 2 * F.col("_sum") - 1))
+    return summed.select(*keys, "series", F.when(done, ess).alias("ess"), F.coalesce(done, F.lit(False)).alias("done"))
 
 
 def effective_sizes(draws: DataFrame, keys: Sequence[str], part: Sequence[str], names: Sequence[str], chains: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -154,26 +155,21 @@ def effective_sizes(draws: DataFrame, keys: Sequence[str], part: Sequence[str],
     """
     keys, part, names = list(keys), list(part), list(names)
     chains = _chain_stats(draws, part, names) if chains is None else chains
-    flat = [F.min(f"lo_{n}").eqNullSafe(F.max(f"hi_{n}")).alias(f"flat_{n}") for n in names]
-    plain = keep(chains.groupBy(*keys).agg(F.max("_length").alias("_longest"), F.sum("_length").cast("double").alias("_total"), *flat), "plain_keys")
-    todo, parts, whole = draws, [], False
+    facts = keep(_key_facts(chains, keys, names), "keys")
+    todo, whole, parts = draws, False, []
     while True:
-        found = keep(_effective(todo, same_keys(chains, todo.select(*part).distinct(), part) if whole else chains, keys, part, names, block, whole), "ess")
-        parts.append(found.where("done"))
-        varied = F.lit(False)
-        for k, n in enumerate(names):
-            varied = varied | ((F.col("series") == k) & ~F.col(f"flat_{n}"))
-        still = same_keys(found.where("not done"), plain, keys).where(varied).select(*keys).distinct()
-        still = keep(still, "open")
+        found = keep(_effective(todo, chains, facts, keys, part, names, block, whole), "ess")
+        parts.append(found.withColumn("_round", F.lit(len(parts))))
+        still = found.where("not done").select(*keys).distinct()
         if still.isEmpty():
             break
-        todo, whole, block = keep(same_keys(draws, still, keys), "open_chains"), True, block * 4
-    every = parts[0].select(*keys, "series", "ess", F.lit(0).alias("_round"))
-    for r, p in enumerate(parts[1:], 1):
-        every = every.unionByName(p.select(*keys, "series", "ess", F.lit(r).alias("_round")))
-    wide = every.groupBy(*keys).agg(*[F.max_by(F.when(F.col("series") == k, F.col("ess")), F.when(F.col("series") == k, F.col("_round"))).alias(f"_e_{n}") for k, n in enumerate(names)])
-    value = lambda n: F.when(F.col("_longest") <= 1, F.lit(None)).when(F.col(f"flat_{n}"), F.col("_total")).otherwise(F.col(f"_e_{n}"))
-    return same_keys(plain, wide, keys, "left").select(*keys, *[value(n).alias(n) for n in names])
+        todo, whole, block = keep(same_keys(todo, still, keys), "open_chains"), True, block * 4
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    own = lambda k, c: F.when(F.col("series") == k, F.col(c))
+    wide = every.groupBy(*keys).agg(*[F.max_by(own(k, "ess"), own(k, "_round")).alias(n) for k, n in enumerate(names)])
+    return same_keys(facts.select(*keys), wide, keys, "left")
 
 
 def effective_size(draws: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
@@ -265,9 +261,9 @@ def scored_draws(draws: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_
     rows = draws.where("value is not null").select(*keys, "chain", "draw", "value")
     placed = placed_values(rows, keys, slice_rows)
     table, centre = _rank_table(placed, keys, slice_rows)
-    length = keep(rows.groupBy(*keys, "chain").agg(F.floor(F.max("draw") / 2).alias("_cut")), "length")
+    length = rows.groupBy(*keys, "chain").agg(F.floor(F.max("draw") / 2).alias("_cut"))
     halved = same_keys(rows, length, [*keys, "chain"]).withColumn("_half", (F.col("draw") > F.col("_cut")).cast("int"))
-    known = same_keys(same_keys(halved, keep(table, "scores").withColumnRenamed("v", "value"), [*keys, "value"]), centre, keys)
+    known = same_keys(same_keys(halved, table.withColumnRenamed("v", "value"), [*keys, "value"]), centre, keys)
     return keep(
         known.select(
             *keys, "chain", "_half", (F.col("draw") - F.col("_half") * F.col("_cut")).alias("_at"), F.col("value").alias("x"),

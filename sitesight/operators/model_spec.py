@@ -9,19 +9,33 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Axis:
-    """Grid points of one parameter and the log prior mass of each."""
+    """Grid points of one parameter and the log prior mass of each.
+
+    ``density`` names the prior and its parameters where the points are equal steps of the log, so
+    that other points can be given their prior mass.
+    """
 
     points: tuple[float, ...]
     log_prior: tuple[float, ...]
+    density: tuple = ()
 
     def __len__(self) -> int:
         return len(self.points)
 
 
-def _axis(points: np.ndarray, log_density: np.ndarray) -> Axis:
+def _axis(points: np.ndarray, log_density: np.ndarray, density: tuple = ()) -> Axis:
     top = log_density.max()
     log_prior = log_density - top - np.log(np.exp(log_density - top).sum())
-    return Axis(tuple(float(p) for p in points), tuple(float(v) for v in log_prior))
+    return Axis(tuple(float(p) for p in points), tuple(float(v) for v in log_prior), density)
+
+
+def _log_density(density: tuple, x: np.ndarray) -> np.ndarray:
+    """Log prior of a cell of a log grid around x; the log of x is the cell's width."""
+    kind, *values = density
+    if kind == "half_normal":
+        return -(x**2) / (2 * values[0] ** 2) + np.log(x)
+    shape, rate = values
+    return shape * np.log(x) - rate * x
 
 
 def _log_points(low: float, high: float, n: int) -> np.ndarray:
@@ -33,15 +47,17 @@ def fixed(value: float) -> Axis:
     return Axis((float(value),), (0.0,))
 
 
-def half_normal(sigma: float, low: float, high: float, n: int) -> Axis:
-    """Half-normal prior; the log of the point is the cell width of a log grid."""
+def _on_log_grid(density: tuple, low: float, high: float, n: int) -> Axis:
     x = _log_points(low, high, n)
-    return _axis(x, -(x**2) / (2 * sigma**2) + np.log(x))
+    return _axis(x, _log_density(density, x), density)
+
+
+def half_normal(sigma: float, low: float, high: float, n: int) -> Axis:
+    return _on_log_grid(("half_normal", sigma), low, high, n)
 
 
 def gamma(shape: float, rate: float, low: float, high: float, n: int) -> Axis:
-    x = _log_points(low, high, n)
-    return _axis(x, shape * np.log(x) - rate * x)
+    return _on_log_grid(("gamma", shape, rate), low, high, n)
 
 
 def beta(a: float, b: float, n: int) -> Axis:
@@ -50,17 +66,34 @@ def beta(a: float, b: float, n: int) -> Axis:
 
 
 def narrowed(axis: Axis, weight: np.ndarray, n: int) -> Axis:
-    """``n`` log points where ``weight``, the posterior on the axis, has its mass; the prior is interpolated."""
+    """``n`` log points where ``weight``, the posterior on the axis, has its mass."""
     if len(axis) < 2:
         return axis
     used = np.flatnonzero(weight > weight.max() * 1e-6)
     x = np.log(axis.points)
     half = (x[1] - x[0]) / 2
-    low, high = x[max(used[0] - 1, 0)] - half, x[min(used[-1] + 1, len(x) - 1)] + half
-    points = _log_points(float(np.exp(low)), float(np.exp(high)), n)
+    low, high = np.exp(x[max(used[0] - 1, 0)] - half), np.exp(x[min(used[-1] + 1, len(x) - 1)] + half)
+    if axis.density:
+        return _on_log_grid(axis.density, float(low), float(high), n)
+    points = _log_points(float(low), float(high), n)
     return _axis(points, np.interp(np.log(points), x, axis.log_prior))
 
 
+#: Factor by which an axis reaches farther on a side that holds mass.
+WIDEN = 30.0
+
+
+def widened(axis: Axis, below: bool, above: bool) -> Axis:
+    """``axis`` with points of the same spacing added beyond its ends, and their prior mass."""
+    if len(axis) < 2 or not axis.density:
+        return axis
+    x = np.log(axis.points)
+    step = x[1] - x[0]
+    more = max(1, int(np.ceil(np.log(WIDEN) / step)))
+    low, high = x[0] - step / 2 - more * step * below, x[-1] + step / 2 + more * step * above
+    return _on_log_grid(axis.density, float(np.exp(low)), float(np.exp(high)), len(axis) + more * (below + above))
+
+
 def rescaled(axis: Axis, old: tuple[float, float], new: tuple[float, float], n: int) -> Axis:
     """``axis``, whose cells lie over ``old``, with ``n`` cells over ``new``; the prior is interpolated."""
     points = new[0] + (new[1] - new[0]) * (np.arange(n) + 0.5) / n

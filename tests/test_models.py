@@ -209,3 +209,52 @@ def test_many_municipalities_resolve_the_region(spark):
     region = P.fit(site_rows(spark, rows), model).regions.first()
     want = np.sqrt(0.6 * 0.4 / 101 / 2000)
     assert abs(region["sd_region"] / want - 1) < 0.08 and abs(region["mean_region"] - 0.6) < 4 * want
+
+
+@pytest.mark.parametrize("variance", [0.01, 1.0, 25.0])
+def test_noise_variance_is_found_beyond_the_axis(spark, variance):
+    """The axis of the noise variance reaches as far as the posterior does, on either side."""
+    rng = np.random.default_rng(int(variance * 100))
+    rows = []
+    for j in range(6):
+        x = np.log(0.6 / 0.4) + rng.normal() * 0.2 + np.sqrt(variance) * rng.normal(size=80)
+        rows += [("r", f"m{j}", 100 * j + i, 40, int(k)) for i, k in enumerate(rng.binomial(40, 1 / (1 + np.exp(-x))))]
+    fitted = P.fit(site_rows(spark, rows), M.logit_normal(5, mean_cells=50))
+    model = fitted.model
+    w = np.exp(np.asarray(fitted.totals.first()["t"])).reshape(len(model.site_precision), -1).sum(axis=1)
+    points = np.asarray(model.site_precision.points)
+    ends = fitted.precision.first()
+    assert ends["phi_site_ends"] < 2e-3 and ends["phi_mun_ends"] < 2e-3
+    cdf = np.cumsum(w / w.sum())
+    step = points[1] / points[0]
+    assert points[np.searchsorted(cdf, 0.025)] / step <= variance <= points[min(np.searchsorted(cdf, 0.975), len(points) - 1)] * step
+
+
+def test_widened_axis_keeps_its_prior():
+    axis = M.gamma(1.0, 0.1, 0.002, 10.0, 8)
+    wide = M.widened(axis, True, True)
+    x, y = np.log(axis.points), np.log(wide.points)
+    at = [int(np.argmin(np.abs(y - v))) for v in x]
+    assert np.allclose(y[at], x) and np.allclose(np.diff(np.array(wide.log_prior)[at]), np.diff(axis.log_prior))
+    assert wide.points[0] <= axis.points[0] / 30 and wide.points[-1] >= axis.points[-1] * 30 and M.widened(M.fixed(2.0), True, True) == M.fixed(2.0)
+
+
+@pytest.mark.parametrize("top", [60, 3000])
+def test_site_products_match_single_sites(top):
+    """Batched means, sds and intervals against one mixture at a time, for few and for very many tests."""
+    rng = np.random.default_rng(top)
+    model = M.three_level(5, mean_cells=40)
+    mid = np.linspace(0.3, 0.8, 40)
+    w = rng.dirichlet(np.full(200, 0.3))
+    n = rng.integers(0, top, 70)
+    k = rng.binomial(n, rng.uniform(0.05, 0.95, 70))
+    got = P._beta_sites(model, w, mid, n, k, 0.95)
+    s = np.repeat(model.site_precision.points, 40)
+    for row, n_, k_ in zip(got, n, k):
+        a, b = np.tile(mid, 5) * s + k_, (1 - np.tile(mid, 5)) * s + n_ - k_
+        mean = w @ (a / (a + b))
+        sd = np.sqrt(w @ (a * (a + 1) / ((a + b) * (a + b + 1))) - mean**2)
+        used = w > w.max() * 1e-12
+        want = P._beta_interval(w[used], a[used], b[used], mean, sd, 0.95)
+        assert np.allclose(row[:2], [mean, sd], rtol=1e-9)
+        assert np.allclose(row[2:], want, atol=0.01 * sd + 2 * 18 * sd / P.SITE_CELLS)
