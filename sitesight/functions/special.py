@@ -47,6 +47,37 @@ def log_beta_mass(edges, a, b):
     return left + right - log_beta(a, b)[None, :]
 
 
+def beta_share(a, b, x):
+    """Regularised incomplete beta function (share of Beta(a, b) below x), by its continued fraction."""
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, x)))
+    turned = x > (a + 1) / (a + b + 2)  # the fraction converges fast below the mean
+    p, q, z = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    tiny = 1e-300
+    keep_off = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    d = 1 / keep_off(1 - (p + q) * z / (p + 1))
+    c, f = np.ones_like(d), d.copy()
+    for m in range(1, 400):
+        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / keep_off(1 + step * d)
+            c = keep_off(1 + step / c)
+            f = f * d * c
+    with np.errstate(divide="ignore"):
+        share = np.exp(p * np.log(z) + q * np.log1p(-z) - log_beta(p, q)) * f / p
+    return np.clip(np.where(turned, 1 - share, share), 0.0, 1.0)
+
+
+def f_quantile(p, d1, d2):
+    """Quantile of the F distribution with d1 and d2 degrees of freedom, by bisection on its share."""
+    d1, d2 = np.broadcast_arrays(np.asarray(d1, dtype=float), np.asarray(d2, dtype=float))
+    low, high = np.zeros(d1.shape), np.ones(d1.shape)
+    for _ in range(80):
+        mid = (low + high) / 2
+        below = beta_share(d1 / 2, d2 / 2, mid) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    x = (low + high) / 2
+    return d2 * x / (d1 * (1 - x))
+
+
 def grid_interval(edges, mass, share, steps=600):
     """Shortest interval holding ``share`` of a density that is flat inside each cell."""
     cdf = np.concatenate([[0.0], np.cumsum(mass)])

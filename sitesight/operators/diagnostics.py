@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesight.functions.scalars import log_binomial, normal_quantile
+from sitesight.functions.scalars import log_binomial, logit, normal_quantile
+from sitesight.functions.special import f_quantile
 from sitesight.operators.draws import hdi_of, placed_values
 from sitesight.operators.ordering import SLICE_ROWS, quantiles, quantiles_of, running_sum, same_keys
 from sitesight.workspace import keep
@@ -48,6 +49,74 @@ def rhat(draws: DataFrame, keys: Sequence[str], split: bool = False) -> DataFram
     )
 
 
+def rhat_limits(draws: DataFrame, keys: Sequence[str], confidence: float = 0.95) -> DataFrame:
+    """Scale reduction corrected for the degrees of freedom of the pooled variance, and its upper limit.
+
+    The variance of the pooled variance comes from the chains' variances and means and how they vary
+    together; the limit takes the ratio of between- and within-chain variance at the upper end of its
+    F distribution.
+    """
+    keys = list(keys)
+    chains = draws.where("value is not null").groupBy(*keys, "chain").agg(
+        F.avg("value").alias("_x"), F.var_samp("value").alias("_v"), F.count(F.lit(1)).cast("double").alias("_n")
+    )
+    facts = chains.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("m"), F.avg("_n").alias("n"), F.avg("_v").alias("w"), F.var_samp("_x").alias("b"),
+        F.var_samp("_v").alias("vv"), F.avg("_x").alias("x"), F.covar_samp("_v", F.col("_x") * F.col("_x")).alias("vx2"), F.covar_samp("_v", "_x").alias("vx"),
+    )
+    m, n, w, b = (F.col(c) for c in ("m", "n", "w", "b"))
+    scale = 1 + 1 / m
+    pooled = (n - 1) / n * w + scale * b
+    noise = (
+        F.pow(n - 1, F.lit(2.0)) * F.col("vv") / m + F.pow(scale * n * b, F.lit(2.0)) * F.try_divide(F.lit(2.0), m - 1)
+        + 2 * (n - 1) * scale * (n / m) * (F.col("vx2") - 2 * F.col("x") * F.col("vx"))
+    ) / (n * n)
+    df = F.try_divide(2 * pooled * pooled, noise)
+    adjust = F.coalesce(F.try_divide(df + 3, df + 1), F.lit(1.0))
+
+    @F.pandas_udf("double")
+    def limit(d1: pd.Series, d2: pd.Series) -> pd.Series:
+        ok = (d1 > 0) & (d2 > 0)
+        return pd.Series(f_quantile((1 + confidence) / 2, d1.where(ok, 1.0), d2.where(ok, 1.0))).where(ok)
+
+    share = F.try_divide(scale * b, w)
+    return facts.select(
+        *keys, (m - 1).alias("df_between"), F.try_divide(2 * w * w * m, F.col("vv")).alias("df_within"),
+        F.sqrt(adjust * ((n - 1) / n + share)).alias("rhat_adjusted"), ((n - 1) / n).alias("_fixed"), share.alias("_random"), adjust.alias("_adjust"),
+    ).withColumn(
+        "rhat_upper", F.sqrt(F.col("_adjust") * (F.col("_fixed") + limit("df_between", "df_within") * F.col("_random")))
+    ).drop("_fixed", "_random", "_adjust")
+
+
+def rhat_multivariate(draws: DataFrame, keys: Sequence[str], names: Sequence[str], of: str = "param") -> DataFrame:
+    """Scale reduction of the worst linear combination of the parameters ``names`` (values of column ``of``).
+
+    Draws of one (chain, draw) meet in one row; covariances are summed in the tasks, so what comes
+    together for a key is one small matrix for each chain. Draws that lack a parameter do not count.
+    """
+    keys, names = list(keys), list(names)
+    p, spots = len(names), [f"_x{k}" for k in range(len(names))]
+    rows = draws.where(F.col(of).isin(names)).groupBy(*keys, "chain", "draw").agg(
+        *[F.max(F.when(F.col(of) == name, F.col("value"))).alias(x) for name, x in zip(names, spots)]
+    ).dropna(subset=spots)
+    covariances = [F.covar_samp(spots[i], spots[j]) for i in range(p) for j in range(p)]
+    chains = rows.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(x) for x in spots]).alias("_m"), F.array(*covariances).alias("_c"))
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, n = len(pdf), float(pdf["_n"].mean())
+        within = np.mean([np.asarray(c, dtype=float).reshape(p, p) for c in pdf["_c"]], axis=0)
+        value = None
+        if m > 1 and np.isfinite(within).all() and np.linalg.matrix_rank(within) == p:
+            between = np.cov(np.stack(pdf["_m"].to_numpy()).astype(float), rowvar=False).reshape(p, p)
+            half = np.linalg.inv(np.linalg.cholesky(within))
+            value = float(np.sqrt((n - 1) / n + (1 + 1 / m) * np.linalg.eigvalsh(half @ between @ half.T)[-1]))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "chains": [m], "rhat_multivariate": [value]})
+
+    types = dict(draws.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["chains int", "rhat_multivariate double"])
+    return chains.withColumn("_all", F.lit(0)).groupBy("_all", *keys).applyInPandas(reduce, schema)
+
+
 def _blocks(draws: DataFrame, size: int, reach: int, at: str = "draw") -> DataFrame:
     """Every draw in its block, and the first ``reach`` draws of a block also in the one before."""
     home = F.floor((F.col(at) - 1) / size)
@@ -179,6 +248,43 @@ def effective_size(draws: DataFrame, keys: Sequence[str], block: int = BLOCK) ->
     return effective_sizes(rows, keys, [*keys, "chain"], ["ess"], block=block)
 
 
+#: Strides that one pass tries.
+STRIDES = 8
+
+
+def _moves(state: DataFrame, part: list[str], strides: range, block: int) -> DataFrame:
+    """(part, stride, z0, z1, z2, n): moves of the two-state chain thinned by each stride, the second null at its end."""
+    reach = 2 * (strides.stop - 1)
+    w = Window.partitionBy(*part, "_block").orderBy("draw")
+    steps = [F.struct(F.lit(k).alias("stride"), F.lead("_z", k).over(w).alias("z1"), F.lead("_z", 2 * k).over(w).alias("z2")) for k in strides]
+    rows = _blocks(state, max(block, reach), reach).withColumn("_steps", F.array(*steps)).where("_home = _block")
+    rows = rows.select(*part, "draw", F.col("_z").alias("z0"), F.explode("_steps").alias("_s")).select(*part, "draw", "z0", "_s.*")
+    return rows.where("z1 is not null and (draw - 1) % stride = 0").groupBy(*part, "stride", "z0", "z1", "z2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _first_order(moves: DataFrame, part: list[str]) -> DataFrame:
+    """For each stride whether the thinned chain passes as one of first order, and its moves.
+
+    G-squared of the triples against independence of both ends given the middle is compared with the
+    penalty of its two further parameters (BIC).
+    """
+    cell = lambda a, b, c: F.sum(F.when((F.col("z0") == a) & (F.col("z1") == b) & (F.col("z2") == c), F.col("n")).otherwise(0))
+    pair = lambda a, b: F.sum(F.when((F.col("z0") == a) & (F.col("z1") == b), F.col("n")).otherwise(0))
+    bits = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    table = moves.groupBy(*part, "stride").agg(
+        F.sum("n").alias("_pairs"), *[cell(*x).cast("double").alias("_{}{}{}".format(*x)) for x in bits],
+        *[pair(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)],
+    )
+    g2 = F.lit(0.0)
+    for a, b, c in bits:
+        here = F.col(f"_{a}{b}{c}")
+        left, right = F.col(f"_{a}{b}0") + F.col(f"_{a}{b}1"), F.col(f"_0{b}{c}") + F.col(f"_1{b}{c}")
+        middle = sum((F.col(f"_{x}{b}{y}") for x in (0, 1) for y in (0, 1)), F.lit(0.0))
+        g2 = g2 + F.when(here > 0, 2 * here * F.log(F.try_divide(here * middle, left * right))).otherwise(0.0)
+    passes = g2 < 2 * F.log(F.greatest(F.col("_pairs") - 1, F.lit(1)).cast("double"))
+    return table.select(*part, "stride", passes.alias("_passes"), "_pairs", "n00", "n01", "n10", "n11")
+
+
 def draws_needed(
     draws: DataFrame,
     keys: Sequence[str],
@@ -191,41 +297,46 @@ def draws_needed(
 ) -> DataFrame:
     """Burn-in and draws needed to know quantile ``q`` to within ``r`` with probability ``s``.
 
-    The indicator of being at or below the quantile is taken as a two-state chain; its
-    transition counts give the answer in closed form. Thinning is fixed at 1.
+    The indicator of being at or below the quantile is taken as a two-state chain, thinned by the
+    smallest stride (``thin``) at which it passes as a chain of first order. Moves of the thinned chain
+    give the answer in closed form. Strides are tried eight at a time, for the chains that have not
+    passed yet, until a chain has; one that is too short for that has null.
     """
     part = [*keys, "chain"]
-    bounds = keep(quantiles(draws, part, "value", {"_u": q}, slice_rows), "bounds")
-    state = same_keys(draws.select(*part, "draw", "value"), bounds, part).withColumn(
-        "_z", (F.col("value") <= F.col("_u")).cast("int")
-    )
-    w = Window.partitionBy(*part, "_block").orderBy("draw")
-    moves = (
-        _blocks(state, block, 1)
-        .withColumn("_next", F.lead("_z").over(w))
-        .where((F.col("_home") == F.col("_block")) & F.col("_next").isNotNull())
-    )
-    moved = lambda a, b: F.count_if((F.col("_z") == a) & (F.col("_next") == b))
-    counts = moves.groupBy(*part).agg(
-        *[moved(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)]
-    )
-    a = F.try_divide(F.col("n01").cast("double"), F.col("n00") + F.col("n01"))
-    b = F.try_divide(F.col("n10").cast("double"), F.col("n10") + F.col("n11"))
+    rows = draws.where("value is not null").select(*part, "draw", "value")
+    bounds = keep(quantiles(rows, part, "value", {"_u": q}, slice_rows), "bounds")
+    state = same_keys(rows, bounds, part).withColumn("_z", (F.col("value") <= F.col("_u")).cast("int")).select(*part, "draw", "_z")
+    state, found, first = keep(state, "states"), [], 1
+    while True:
+        tried = keep(_first_order(_moves(state, part, range(first, first + STRIDES), block), part), "tried")
+        # thinned to fewer than three draws a chain cannot pass or fail
+        settled_ = tried.groupBy(*part).agg(
+            F.min(F.when(F.col("_passes") & (F.col("_pairs") > 1), F.col("stride"))).alias("thin"), F.max("_pairs").alias("_most"), F.count(F.lit(1)).alias("_tried")
+        )
+        settled_ = keep(settled_, "strides")
+        kept = same_keys(tried, settled_, part).where("stride = thin")
+        found.append(kept.select(*part, "thin", "n00", "n01", "n10", "n11"))
+        todo = settled_.where(F.col("thin").isNull() & (F.col("_tried") == STRIDES) & (F.col("_most") > 1))
+        if todo.isEmpty():
+            break
+        state, first = keep(same_keys(state, todo.select(*part), part), "states"), first + STRIDES
+    counts = found[0]
+    for more in found[1:]:
+        counts = counts.unionByName(more)
+    counts = same_keys(bounds.select(*part), counts, part, "left")
+    al = F.try_divide(F.col("n01").cast("double"), F.col("n00") + F.col("n01"))
+    be = F.try_divide(F.col("n10").cast("double"), F.col("n10") + F.col("n11"))
     z = normal_quantile(F.lit((s + 1) / 2))
-    al, be = F.col("_alpha"), F.col("_beta")
+    al_, be_ = F.col("_alpha"), F.col("_beta")
     return (
-        counts.withColumn("_alpha", a)
-        .withColumn("_beta", b)
+        counts.withColumn("_alpha", al)
+        .withColumn("_beta", be)
         .select(
-            *part, "n00", "n01", "n10", "n11",
-            F.ceil(
-                F.try_divide(
-                    F.log(F.try_divide(eps * (al + be), F.greatest(al, be))), F.log(F.abs(1 - al - be))
-                )
-            ).alias("burn_in"),
-            F.ceil(
-                F.try_divide((2 - al - be) * al * be * z * z, F.pow(al + be, F.lit(3)) * (r * r))
-            ).alias("needed"),
+            *part, "thin", "n00", "n01", "n10", "n11",
+            (F.col("thin") * F.ceil(
+                F.try_divide(F.log(F.try_divide(eps * (al_ + be_), F.greatest(al_, be_))), F.log(F.abs(1 - al_ - be_)))
+            )).alias("burn_in"),
+            (F.col("thin") * F.ceil(F.try_divide((2 - al_ - be_) * al_ * be_ * z * z, F.pow(al_ + be_, F.lit(3)) * (r * r)))).alias("needed"),
             F.ceil(F.lit(q * (1 - q) / (r * r)) * z * z).alias("least"),
         )
         .withColumn("dependence", F.try_divide((F.col("burn_in") + F.col("needed")).cast("double"), F.col("least")))
@@ -343,6 +454,33 @@ def dic(site_draws: DataFrame, sites: DataFrame, keys: Sequence[str]) -> DataFra
     ).withColumn("dic", F.col("mean_deviance") + F.col("p_d"))
 
 
+def dic_models(models: dict[str, DataFrame], sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per model, best first: mean deviance, penalty from pairs of chains, and their sum.
+
+    The penalty of a site is half the expected symmetric divergence between the binomials of two chains
+    at the same draw, which is tests * (p - q) * (logit p - logit q) for rates p and q. A site's
+    draws of all chains meet in one group of (site, draw), and pairs are formed inside it.
+    """
+    keys = list(keys)
+    counts = sites.select(*keys, "tests", "successes")
+    rows = None
+    for name, site_draws in models.items():
+        one = site_draws.select(*keys, "chain", "draw", "value", F.lit(name).alias("model"))
+        rows = one if rows is None else rows.unionByName(one)
+    known = rows.join(counts, keys)
+    known = known.withColumn("_d", -2 * log_binomial(F.col("successes"), F.col("tests"), F.col("value")))
+    fit = known.groupBy("model", "chain", "draw").agg(F.sum("_d").alias("_d")).groupBy("model").agg(F.count(F.lit(1)).alias("draws"), F.avg("_d").alias("mean_deviance"))
+    # over chains, the sum of (p - q)(x - y) for pairs is m * sum(p x) - sum(p) * sum(x)
+    x = logit(F.least(F.greatest(F.col("value"), F.lit(1e-12)), F.lit(1 - 1e-12)))
+    met = known.withColumn("_x", x).groupBy("model", "draw", *keys).agg(
+        F.first("tests").alias("_t"), F.count(F.lit(1)).alias("_m"), F.sum(F.col("value") * F.col("_x")).alias("_px"), F.sum("value").alias("_p"), F.sum("_x").alias("_sx")
+    )
+    pairs = F.col("_m") * (F.col("_m") - 1) / 2
+    divergence = F.try_divide(F.col("_t") * (F.col("_m") * F.col("_px") - F.col("_p") * F.col("_sx")), 2 * pairs)
+    penalty = met.groupBy("model", "draw").agg(F.sum(divergence).alias("_j")).groupBy("model").agg(F.avg("_j").alias("penalty"))
+    return fit.join(penalty, "model").withColumn("dic", F.col("mean_deviance") + F.col("penalty")).orderBy("dic", "model")
+
+
 def settled(summary: DataFrame, rhat_limit: float = 1.01, ess_limit: float = 100.0) -> DataFrame:
     """Mark the keys that meet the convergence goal: rank-normalised R-hat, bulk and tail effective size."""
     ok = (F.col("rhat_rank") < rhat_limit) & (F.col("ess_bulk") > ess_limit) & (F.col("ess_tail") > ess_limit)

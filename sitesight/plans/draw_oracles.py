@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitesight.plans.oracles import MONTH, W_SITE, r, rs
+from sitesight.plans.oracles import MONTH, W_EST, W_SITE, r, rs
 
 DRAWS = """
 numbered AS (
@@ -165,19 +165,62 @@ DRAW_SQL: dict[str, str] = {
 u AS (SELECT param, chain, quantile_cont(value, 0.025) AS u FROM draws_fact GROUP BY 1, 2),
 z AS (SELECT d.param, d.chain, d.draw, CASE WHEN value <= u THEN 1 ELSE 0 END AS z
       FROM draws_fact d JOIN u ON d.param = u.param AND d.chain = u.chain),
-t AS (SELECT a.param, a.chain,
-        sum(CASE WHEN a.z = 0 AND b.z = 0 THEN 1 ELSE 0 END)::BIGINT AS n00,
-        sum(CASE WHEN a.z = 0 AND b.z = 1 THEN 1 ELSE 0 END)::BIGINT AS n01,
-        sum(CASE WHEN a.z = 1 AND b.z = 0 THEN 1 ELSE 0 END)::BIGINT AS n10,
-        sum(CASE WHEN a.z = 1 AND b.z = 1 THEN 1 ELSE 0 END)::BIGINT AS n11
-      FROM z a JOIN z b ON a.param = b.param AND a.chain = b.chain AND b.draw = a.draw + 1 GROUP BY 1, 2),
-ab AS (SELECT *, n01::DOUBLE / nullif(n00 + n01, 0) AS al, n10::DOUBLE / nullif(n10 + n11, 0) AS be FROM t),
-f AS (SELECT *, ceil(ln(0.001::DOUBLE * (al + be) / greatest(al, be)) / nullif(ln(abs(1 - al - be)), 0))::BIGINT AS burn_in,
-        ceil((2 - al - be) * al * be * 1.959963984540054::DOUBLE ** 2 / ((al + be) ** 3 * 0.005::DOUBLE ** 2))::BIGINT AS needed,
+m AS (SELECT a.param, a.chain, k AS thin, a.z AS z0, b.z AS z1, c.z AS z2 FROM z a CROSS JOIN (SELECT unnest(range(1, 25)) AS k) s
+      JOIN z b ON a.param = b.param AND a.chain = b.chain AND b.draw = a.draw + k
+      LEFT JOIN z c ON a.param = c.param AND a.chain = c.chain AND c.draw = a.draw + 2 * k WHERE (a.draw - 1) % k = 0),
+n3 AS (SELECT param, chain, thin, z0, z1, z2, count(*)::DOUBLE AS n FROM m WHERE z2 IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6),
+g AS (SELECT param, chain, thin, 2 * sum(n * ln(n * mid / (l * rr))) AS g2 FROM (
+        SELECT *, sum(n) OVER (PARTITION BY param, chain, thin, z1) AS mid, sum(n) OVER (PARTITION BY param, chain, thin, z0, z1) AS l,
+               sum(n) OVER (PARTITION BY param, chain, thin, z1, z2) AS rr FROM n3) GROUP BY 1, 2, 3),
+t AS (SELECT param, chain, thin,
+        sum(CASE WHEN z0 = 0 AND z1 = 0 THEN 1 ELSE 0 END)::BIGINT AS n00,
+        sum(CASE WHEN z0 = 0 AND z1 = 1 THEN 1 ELSE 0 END)::BIGINT AS n01,
+        sum(CASE WHEN z0 = 1 AND z1 = 0 THEN 1 ELSE 0 END)::BIGINT AS n10,
+        sum(CASE WHEN z0 = 1 AND z1 = 1 THEN 1 ELSE 0 END)::BIGINT AS n11, count(*) AS pairs FROM m GROUP BY 1, 2, 3),
+best AS (SELECT t.* FROM t JOIN g USING (param, chain, thin) WHERE pairs > 1 AND g2 < 2 * ln(greatest(pairs - 1, 1))
+         QUALIFY row_number() OVER (PARTITION BY param, chain ORDER BY thin) = 1),
+ab AS (SELECT *, n01::DOUBLE / nullif(n00 + n01, 0) AS al, n10::DOUBLE / nullif(n10 + n11, 0) AS be FROM best),
+f AS (SELECT *, thin * ceil(ln(0.001::DOUBLE * (al + be) / greatest(al, be)) / nullif(ln(abs(1 - al - be)), 0))::BIGINT AS burn_in,
+        thin * ceil((2 - al - be) * al * be * 1.959963984540054::DOUBLE ** 2 / ((al + be) ** 3 * 0.005::DOUBLE ** 2))::BIGINT AS needed,
         ceil(0.025::DOUBLE * 0.975 / (0.005::DOUBLE ** 2) * 1.959963984540054::DOUBLE ** 2)::BIGINT AS least FROM ab)
 """
-    + f"""SELECT param, chain, n00, n01, n10, n11, burn_in, needed, least,
+    + f"""SELECT param, chain, thin::INTEGER AS thin, n00, n01, n10, n11, burn_in, needed, least,
          {r('(burn_in + needed)::DOUBLE / least', 'dependence')} FROM f""",
+    "rhat_limits": W.rstrip()
+    + f""",
+c AS (SELECT param, chain, avg(value) AS x, var_samp(value) AS v, count(*)::DOUBLE AS n FROM draws_fact GROUP BY 1, 2),
+k AS (SELECT param, count(*)::DOUBLE AS m, avg(n) AS n, avg(v) AS w, avg(n) * var_samp(x) AS b, var_samp(v) / count(*) AS var_w,
+        2 * pow(avg(n) * var_samp(x), 2) / (count(*) - 1) AS var_b,
+        avg(n) / count(*) * (covar_samp(v, x * x) - 2 * avg(x) * covar_samp(v, x)) AS cov_wb FROM c GROUP BY 1),
+p AS (SELECT *, (n - 1) / n * w + (1 + 1 / m) * b / n AS pooled,
+        (pow(n - 1, 2) * var_w + pow(1 + 1 / m, 2) * var_b + 2 * (n - 1) * (1 + 1 / m) * cov_wb) / (n * n) AS var_p FROM k)
+SELECT param, {r('m - 1', 'df_between')}, {r('2 * w * w / var_w', 'df_within')},
+  {r('sqrt((2 * pooled * pooled / var_p + 3) / (2 * pooled * pooled / var_p + 1) * pooled / w)', 'rhat_adjusted')} FROM p""",
+    "rhat_multivariate": W.rstrip()
+    + f""",
+x AS (SELECT a.chain, a.value AS a, b.value AS b FROM draws_fact a JOIN draws_fact b
+      ON a.param = 'click' AND b.param = 'view' AND a.chain = b.chain AND a.draw = b.draw),
+c AS (SELECT chain, count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS vaa, var_samp(b) AS vbb, covar_samp(a, b) AS vab FROM x GROUP BY 1),
+k AS (SELECT count(*) AS m, avg(n) AS n, avg(vaa) AS waa, avg(vbb) AS wbb, avg(vab) AS wab,
+        var_samp(ma) AS baa, var_samp(mb) AS bbb, covar_samp(ma, mb) AS bab FROM c),
+e AS (SELECT *, (wbb * baa - 2 * wab * bab + waa * bbb) / (waa * wbb - wab * wab) AS tr, (baa * bbb - bab * bab) / (waa * wbb - wab * wab) AS det FROM k)
+SELECT m::INTEGER AS chains, {r('sqrt((n - 1) / n + (1 + 1.0::DOUBLE / m) * (tr / 2 + sqrt(tr * tr / 4 - det)))', 'rhat_multivariate')} FROM e""",
+    "dic_models": W_EST
+    + """, steps AS (SELECT CAST(i % 3 AS INTEGER) AS chain, CAST(i // 3 + 1 AS INTEGER) AS draw FROM (SELECT unnest(range(0, 60)) AS i)),
+base AS (SELECT e.*, model, CASE model WHEN 'own' THEN (successes + 1)::DOUBLE / (tests + 2) WHEN 'municipality' THEN mean_mun ELSE mean_site END AS guess
+         FROM est e CROSS JOIN (SELECT unnest(['own', 'municipality', 'shrunk']) AS model)),
+drawn AS (SELECT *, least(greatest(guess + sqrt(guess * (1 - guess) / (tests + 20)) * sin(site_id + 17 * chain + 31 * draw), 0.001), 0.999) AS p
+          FROM base CROSS JOIN steps),
+dev AS (SELECT model, avg(d) AS mean_deviance, count(*) AS draws FROM (
+          SELECT model, chain, draw, -2 * sum(lgamma(tests + 1) - lgamma(successes + 1) - lgamma(tests - successes + 1)
+             + successes * ln(p) + (tests - successes) * ln(1 - p)) AS d FROM drawn GROUP BY 1, 2, 3) GROUP BY 1),
+pen AS (SELECT model, avg(j) AS penalty FROM (
+          SELECT a.model, a.draw, sum(a.tests * (a.p - b.p) * (ln(a.p / (1 - a.p)) - ln(b.p / (1 - b.p))) / 2) / 3 AS j
+          FROM drawn a JOIN drawn b ON a.model = b.model AND a.region = b.region AND a.municipality = b.municipality
+            AND a.site_id = b.site_id AND a.draw = b.draw AND a.chain < b.chain GROUP BY 1, 2) GROUP BY 1)
+"""
+    + f"""SELECT model, draws::BIGINT AS draws, {r('mean_deviance', digits=5)}, {r('penalty', digits=5)}, {r('mean_deviance + penalty', 'dic', digits=5)}
+FROM dev JOIN pen USING (model)""",
     "rank_rhat": f"{W.rstrip()},{SCORED},{reduction_cte('bulk', 'z')},{reduction_cte('fold', 'folded')}"
     + f"""\nSELECT param, {r('bulk.rhat', 'rhat_bulk')}, {r('fold.rhat', 'rhat_folded')}, {r('greatest(bulk.rhat, fold.rhat)', 'rhat_rank')}
          FROM bulk JOIN fold USING (param)""",

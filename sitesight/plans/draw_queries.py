@@ -11,7 +11,7 @@ from sitesight.functions import scalars as S
 from sitesight.operators import diagnostics as G
 from sitesight.operators import draws as D
 from sitesight.plans.shared_tables import draws_fact, site_fact, site_month, table
-from sitesight.plans.site_queries import Query, shown
+from sitesight.plans.site_queries import Query, estimates, shown
 
 PARAM = ["param"]
 
@@ -51,6 +51,25 @@ def _region_month_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _dic_models(spark: SparkSession, d: str) -> DataFrame:
+    """Three ways to estimate a site's rate, each with draws at fixed steps around the estimate, compared by DIC."""
+    sites = estimates(spark, d)
+    steps = spark.range(60).select((F.col("id") % 3).cast("int").alias("chain"), (F.floor(F.col("id") / 3) + 1).cast("int").alias("draw"))
+    wave = F.sin(F.col("site_id") + 17 * F.col("chain") + 31 * F.col("draw"))
+    rates = {
+        "own": (F.col("successes") + 1) / (F.col("tests") + 2), "municipality": F.col("mean_mun"),
+        "shrunk": F.col("mean_site"),
+    }
+    keys = ["region", "municipality", "site_id"]
+    models = {}
+    for name, rate in rates.items():
+        spread = F.sqrt(rate * (1 - rate) / (F.col("tests") + 20))
+        value = F.least(F.greatest(rate + spread * wave, F.lit(0.001)), F.lit(0.999))
+        # a fixed set of 60 steps, so this side is small at any size
+        models[name] = sites.crossJoin(F.broadcast(steps)).select(*keys, "chain", "draw", value.alias("value"))
+    return shown(G.dic_models(models, sites, keys), "model", "draws", "mean_deviance", "penalty", "dic", digits=5)
+
+
 def _months_back(spark: SparkSession, d: str) -> DataFrame:
     """Labels parsed back to dates."""
     labels = site_month(spark, d).select("month").distinct().withColumn("label", S.month_label(F.col("month")))
@@ -100,12 +119,15 @@ QUERIES: dict[str, Query] = {
     "effective_size": _on_draws(lambda t: G.effective_size(t, PARAM), "param", "ess"),
     "draws_needed": _on_draws(
         lambda t: G.draws_needed(t, PARAM),
-        "param", "chain", "n00", "n01", "n10", "n11", "burn_in", "needed", "least", "dependence",
+        "param", "chain", "thin", "n00", "n01", "n10", "n11", "burn_in", "needed", "least", "dependence",
     ),
     "full_summary": _on_draws(
         lambda t: G.settled(G.full_summary(t, PARAM)), *SUMMARY, "ess", "ess_bulk", "ess_tail", "rhat", "rhat_rank",
         "mcse_mean", "mcse_sd", "converged",
     ),
+    "rhat_limits": _on_draws(lambda t: G.rhat_limits(t, PARAM), "param", "df_between", "df_within", "rhat_adjusted"),
+    "rhat_multivariate": _on_draws(lambda t: G.rhat_multivariate(t, [], ["click", "view"]), "chains", "rhat_multivariate"),
+    "dic_models": _dic_models,
     "rank_rhat": _on_draws(lambda t: G.rank_rhat(t, PARAM), "param", "rhat_bulk", "rhat_folded", "rhat_rank"),
     "prob_greater": _on_draws(
         lambda t: D.prob_greater(t, D.neighbour_pairs(t, "param"), "param"), "better", "worse", "draws", "prob"

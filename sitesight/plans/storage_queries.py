@@ -111,11 +111,12 @@ def _draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _guarded(spark: SparkSession, d: str) -> DataFrame:
-    """The priority list, published only because it has one row per site."""
+    """The priority list, published over an older one only because it has one row per site."""
     folder = _folder(spark, "guarded")
     ranked = kpi.prioritise_by_share(estimates(spark, d)).select(*PLACE, "rank")
+    T.guarded_write(ranked.where("rank = 1"), ranked.where("rank = 1"), folder)
     T.guarded_write(ranked, site_fact(spark, d), folder)
-    return spark.read.schema(ranked.schema).parquet(folder)
+    return T.read_published(spark, folder, ranked.schema)
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:

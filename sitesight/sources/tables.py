@@ -5,6 +5,8 @@ Schemas are declared, never inferred, and missing columns are an error at read t
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
@@ -156,26 +158,82 @@ class RowCountMismatch(RuntimeError):
     """A result has more or fewer rows than its input."""
 
 
-def guarded_write(result: DataFrame, source: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Write the result, and keep it only if it has one row per input row.
+#: Name of the small file that says which version of a published table holds.
+POINTER = "CURRENT"
 
-    The result is counted while it is written, so it is computed and written once. It goes
-    to a folder beside the target, which takes the target's place by a rename when the counts agree
-    and is removed otherwise.
+
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def published_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version that holds; None if nothing has been published there."""
+    jvm, at, files = _files(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not files.exists(at):
+        return None
+    stream = files.open(at)
+    try:
+        name = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+    return f"{path.rstrip('/')}/{name}"
+
+
+def _point_to(spark: SparkSession, path: str, name: str) -> None:
+    """Replace the pointer in one step: it is written beside and renamed over the old one."""
+    jvm, at, files = _files(spark, f"{path.rstrip('/')}/{POINTER}")
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_{POINTER}-{name}")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(name.encode()))
+    finally:
+        stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, at, how)
+
+
+def _without_old_versions(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove all but the newest ``keep`` versions; the one that holds stays in any case."""
+    _, at, files = _files(spark, path)
+    holds = published_version(spark, path)
+    names = sorted(s.getPath().getName() for s in files.listStatus(at) if s.getPath().getName().startswith("version-"))
+    for name in names[: max(0, len(names) - keep)]:
+        if not holds.endswith(f"/{name}"):
+            files.delete(_files(spark, f"{path.rstrip('/')}/{name}")[1], True)
+
+
+def guarded_write(result: DataFrame, source: DataFrame, path: str, fmt: str = "parquet", versions: int = 2) -> int:
+    """Publish the result only if it has one row per input row.
+
+    The result is counted while it is written, so it is computed and written once, to a version folder
+    of its own under ``path``. If the counts agree, a small pointer file is replaced as the last step.
+    Whatever fails before that, the old version holds and is whole; readers who began with it can finish,
+    because the newest ``versions`` folders stay. ``read_published`` follows the pointer.
     """
     spark = result.sparkSession
     seen = Observation("written")
-    staged = f"{path.rstrip('/')}__staged"
-    writer = result.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(staged)
+    name = f"version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    folder = f"{path.rstrip('/')}/{name}"
+    writer = result.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists")
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(folder)
     expected = source.count()
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staged))
-    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if seen.get["n"] != expected:
-        files.delete(new, True)
+        _, at, files = _files(spark, folder)
+        files.delete(at, True)
         raise RowCountMismatch(f"{seen.get['n']} result rows for {expected} input rows")
-    files.delete(old, True)
-    if not files.rename(new, old):
-        raise OSError(f"could not move {staged} to {path}")
+    _point_to(spark, path, name)
+    _without_old_versions(spark, path, versions)
     return expected
+
+
+def read_published(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
+    """The version of a table that holds now."""
+    folder = published_version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"nothing has been published at {path}")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(folder)

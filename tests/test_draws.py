@@ -90,8 +90,8 @@ def test_draws_needed_counts_moves_once(chains):
         got = G.draws_needed(df, ["param"], block=block).toPandas()
         for row in got.itertuples():
             x = raw[row.param][row.chain]
-            z = (x <= np.quantile(x, 0.025)).astype(int)
-            assert row.n00 + row.n01 + row.n10 + row.n11 == len(x) - 1
+            z = (x <= np.quantile(x, 0.025)).astype(int)[:: row.thin]  # the moves are those of the thinned chain
+            assert row.n00 + row.n01 + row.n10 + row.n11 == len(z) - 1
             assert row.n01 == ((z[:-1] == 0) & (z[1:] == 1)).sum()
 
 
@@ -224,3 +224,93 @@ def test_effective_size_of_a_slow_chain(spark):
     pdf = pd.DataFrame({"param": "slow", "chain": np.int32(0), "draw": np.arange(1, n + 1), "value": x})
     got = G.effective_size(spark.createDataFrame(pdf), ["param"]).first()["ess"]
     assert abs(got / (n * (1 - a) / (1 + a)) - 1) < 0.05
+
+
+def test_rhat_limits(chains):
+    """The corrected factor against its plain form, and the F quantile against published table values."""
+    from sitesight.functions.special import f_quantile
+
+    assert np.allclose(f_quantile(0.975, [3, 3, 1, 10], [10, 120, 5, 10]), [4.8256, 3.2269, 10.0070, 3.7168], atol=2e-4)
+    df, raw = chains
+    got = G.rhat_limits(df, ["param"]).toPandas().set_index("param")
+    for p, x in raw.items():
+        m, n = x.shape
+        s2, means = x.var(axis=1, ddof=1), x.mean(axis=1)
+        w, b = s2.mean(), n * means.var(ddof=1)
+        cov = lambda u, v: np.cov(u, v)[0, 1]
+        var_w, var_b = s2.var(ddof=1) / m, 2 * b**2 / (m - 1)
+        cov_wb = n / m * (cov(s2, means**2) - 2 * means.mean() * cov(s2, means))
+        v = (n - 1) / n * w + (1 + 1 / m) * b / n
+        var_v = ((n - 1) ** 2 * var_w + (1 + 1 / m) ** 2 * var_b + 2 * (n - 1) * (1 + 1 / m) * cov_wb) / n**2
+        d = 2 * v**2 / var_v
+        adjust, fixed, ratio = (d + 3) / (d + 1), (n - 1) / n, (1 + 1 / m) * b / n / w
+        upper = fixed + f_quantile(0.975, m - 1, 2 * w**2 / var_w) * ratio
+        assert np.allclose(got.loc[p, ["rhat_adjusted", "rhat_upper"]].astype(float), [np.sqrt(adjust * (fixed + ratio)), np.sqrt(adjust * upper)])
+
+
+@pytest.mark.parametrize("p", [2, 3, 5])
+def test_rhat_multivariate(spark, p):
+    rng = np.random.default_rng(p)
+    x = rng.normal(size=(4, 150, p)) @ rng.normal(size=(p, p)) + rng.normal(size=(4, 1, p)) * 0.3
+    raw = {f"v{k}": x[:, :, k] for k in range(p)}
+    got = G.rhat_multivariate(chain_rows(spark, raw), [], list(raw)).first()
+    within = np.mean([np.cov(c, rowvar=False) for c in x], axis=0)
+    between = np.cov(x.mean(axis=1), rowvar=False)
+    worst = np.linalg.eigvals(np.linalg.solve(within, between)).real.max()
+    assert got["chains"] == 4 and got["rhat_multivariate"] == pytest.approx(np.sqrt(149 / 150 + 1.25 * worst), abs=1e-9)
+    each = G.rhat(chain_rows(spark, raw), ["param"]).agg({"rhat": "max"}).first()[0]
+    assert got["rhat_multivariate"] >= each - 1e-9
+
+
+def plain_thin(z, limit=60):
+    """Smallest stride at which the thinned 0/1 series passes as a first-order chain, and its moves."""
+    for k in range(1, limit):
+        y = z[::k]
+        if len(y) < 3:
+            return None
+        n = np.zeros((2, 2, 2))
+        np.add.at(n, (y[:-2], y[1:-1], y[2:]), 1)
+        want = n.sum(axis=2)[:, :, None] * n.sum(axis=0)[None] / np.maximum(n.sum(axis=(0, 2)), 1)[None, :, None]
+        g2 = 2 * sum(n[i] * np.log(n[i] / want[i]) for i in np.ndindex(2, 2, 2) if n[i] > 0)
+        if g2 < 2 * np.log(max(len(y) - 2, 1)):
+            moves = np.zeros((2, 2), int)
+            np.add.at(moves, (y[:-1], y[1:]), 1)
+            return k, moves
+    return None
+
+
+@pytest.mark.parametrize("block", [1 << 15, 64])
+def test_thinning(spark, block):
+    """Chains whose indicator needs no thinning, a few steps, and more than one pass of strides; one too short to say."""
+    rng = np.random.default_rng(12)
+    noise = rng.normal(size=(2, 6040))
+    raw = {"free": noise[:, :2000], "few": sum(noise[:, k: 4000 + k] for k in range(5)), "slow": np.sin(2 * np.pi * np.arange(6000) / 53) + 0.1 * noise[:, :6000], "short": noise[:, :3]}
+    got = G.draws_needed(chain_rows(spark, raw), ["param"], q=0.2, block=block).toPandas()
+    assert len(got) == 8
+    for row in got.itertuples():
+        x = raw[row.param][row.chain]
+        want = plain_thin((x <= np.quantile(x, 0.2)).astype(int))
+        if want is None:
+            assert np.isnan(row.thin)
+        else:
+            assert row.thin == want[0] and [[row.n00, row.n01], [row.n10, row.n11]] == want[1].tolist()
+    assert got[got["param"] == "slow"]["thin"].max() > 8 > got[got["param"] == "free"]["thin"].max()
+
+
+def test_dic_models(spark):
+    """The better rates win; the penalty is half the mean symmetric divergence of chain pairs."""
+    rng = np.random.default_rng(4)
+    n, k = np.array([40, 60, 20]), np.array([10, 45, 9])
+    sites = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(n, k))], "site_id int, tests bigint, successes bigint")
+    theta = {"good": rng.beta(k + 1, n - k + 1, (3, 30, 3)), "flat": rng.beta(2, 2, (3, 30, 3))}
+    frames = {
+        name: spark.createDataFrame([(i, c, t + 1, float(x[c, t, i])) for c in range(3) for t in range(30) for i in range(3)], "site_id int, chain int, draw int, value double")
+        for name, x in theta.items()
+    }
+    got = G.dic_models(frames, sites, ["site_id"]).collect()
+    assert [r["model"] for r in got] == ["good", "flat"]
+    for r in got:
+        x = theta[r["model"]]
+        lo = np.log(x / (1 - x))
+        pairs = [(n * (x[a] - x[b]) * (lo[a] - lo[b])).sum(axis=1).mean() / 2 for a, b in ((0, 1), (0, 2), (1, 2))]
+        assert r["penalty"] == pytest.approx(np.mean(pairs)) and r["dic"] == pytest.approx(r["mean_deviance"] + r["penalty"])

@@ -168,13 +168,44 @@ def test_levels_and_draws_round_trip(spark, tmp_path, edge):
 
 def test_guarded_write(spark, tmp_path, edge):
     assert T.guarded_write(edge, edge, f"{tmp_path}/ok") == len(EDGE)
-    assert spark.read.parquet(f"{tmp_path}/ok").count() == len(EDGE)
+    assert T.read_published(spark, f"{tmp_path}/ok").count() == len(EDGE)
     with pytest.raises(T.RowCountMismatch):
         T.guarded_write(edge.limit(3), edge, f"{tmp_path}/bad")
-    assert not tmp_path.joinpath("bad").exists()
+    with pytest.raises(FileNotFoundError):
+        T.read_published(spark, f"{tmp_path}/bad")
     assert checks.row_counts(edge.limit(3), edge).first()["equal"] is False
 
 
+@pytest.mark.parametrize("step", ["write", "count", "point", "clean"])
+def test_a_crash_between_steps_loses_nothing(spark, tmp_path, edge, monkeypatch, step):
+    """Whatever step fails, readers see one whole version; the next publish works."""
+    path, first = f"{tmp_path}/table", edge.limit(4)
+    T.guarded_write(first, first, path)
+    reader = T.read_published(spark, path)
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    broken = edge.withColumn("site_id", F.when(F.rand() >= 0, F.raise_error(F.lit("lost")).cast("bigint"))) if step == "write" else edge
+    if step == "point":
+        monkeypatch.setattr(T, "_point_to", crash)
+    if step == "clean":
+        monkeypatch.setattr(T, "_without_old_versions", crash)
+    with pytest.raises(Exception, match="lost|rows for"):
+        T.guarded_write(broken, first if step == "count" else edge, path)
+    monkeypatch.undo()
+    assert T.read_published(spark, path).count() == (len(EDGE) if step == "clean" else 4) and reader.count() == 4
+    T.guarded_write(edge, edge, path)
+    assert T.read_published(spark, path).count() == len(EDGE)
+
+
+def test_old_versions_go(spark, tmp_path, edge):
+    for n in (1, 2, 3, 4):
+        T.guarded_write(edge.limit(n), edge.limit(n), f"{tmp_path}/t")
+    assert len([x for x in tmp_path.joinpath("t").iterdir() if x.name.startswith("version-")]) == 2
+    assert T.read_published(spark, f"{tmp_path}/t").count() == 4
+
+
 def fake_session(setting, master, by_code=None):
     context = SimpleNamespace(
         getConf=lambda: {"spark.checkpoint.dir": setting}, getCheckpointDir=lambda: by_code,
