@@ -62,6 +62,28 @@ def _hyper(fitted: Posterior, chains: int, draws: int, seed: int) -> DataFrame:
     )
 
 
+def _shared_draws(fitted: Posterior, hyper: DataFrame, draws: int) -> DataFrame:
+    """Long draws of what all groups share: precisions, and the top level's mean and concentration."""
+    model, period = fitted.model, fitted.period
+
+    def picked(points, ix):
+        values = F.array(*[F.lit(float(x)) for x in points])
+        return F.transform(ix, lambda i: F.element_at(values, i + 1))
+
+    columns = {"phi_site": picked(model.site_precision.points, F.col("s_ix"))}
+    if model.shared_municipality_precision:
+        columns["phi_mun"] = picked(model.municipality_precision.points, F.col("p_ix"))
+    if model.top is not None:
+        g, c = model.top
+        columns["global_mean"] = picked(np.repeat(g.points, len(c)), F.col("h_ix"))
+        columns["global_concentration"] = picked(np.tile(c.points, len(g)), F.col("h_ix"))
+    tables = [_long(hyper.select(*period, x.alias("_v")), period, "_v", name, draws) for name, x in columns.items()]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def _region_draws(fitted: Posterior, hyper: DataFrame, n: int, seed: int) -> DataFrame:
     model, period = fitted.model, fitted.period
     keys = [*period, "region"]
@@ -178,7 +200,7 @@ def _long(df: DataFrame, keys: list[str], array: str, param: str, draws: int) ->
 def posterior_draws(
     sites: DataFrame, fitted: Posterior, chains: int = 4, draws: int = 1000, seed: int = 1
 ) -> dict[str, DataFrame]:
-    """Long draw tables: ``region_mean``, ``municipality_mean`` and ``site_rate``.
+    """Long draw tables: ``shared`` parameters, ``region_mean``, ``municipality_mean`` and ``site_rate``.
 
     Arrays of ``chains * draws`` numbers travel per region and municipality; the site
     table, which is the large one, is made row by row where it is read.
@@ -190,6 +212,7 @@ def posterior_draws(
     regions = _region_draws(fitted, hyper, n, seed)
     municipalities = _municipality_draws(fitted, regions, n, seed)
     return {
+        "shared": _shared_draws(fitted, hyper, draws),
         "region_mean": _long(regions, [*fitted.period, "region"], "a", "region_mean", draws),
         "municipality_mean": _long(municipalities, fitted.keys, "m", "municipality_mean", draws),
         "site_rate": _site_draws(sites, fitted, municipalities, draws, seed).select(

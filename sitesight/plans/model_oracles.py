@@ -143,6 +143,19 @@ def site_sql(model: Model) -> str:
     )
 
 
+def shared_sql(model: Model) -> str:
+    """Mean and sd of the precisions and, with a top level, of its mean and concentration."""
+    parts = [("phi_site", "a.s", "s_axis a ON t.si = a.si"), ("phi_mun", "a.p", "p_axis a ON t.pi = a.pi")]
+    if model.top is not None:
+        parts += [("global_mean", "a.al / (a.al + a.be)", "h_axis a ON t.hi = a.hi"), ("global_concentration", "a.al + a.be", "h_axis a ON t.hi = a.hi")]
+    selects = [
+        f"""SELECT '{name}' AS param, {r(f'sum(exp(t.v) * ({x})) / sum(exp(t.v))', 'mean')},
+        {r(f'sqrt(greatest(sum(exp(t.v) * ({x}) ** 2) / sum(exp(t.v)) - (sum(exp(t.v) * ({x})) / sum(exp(t.v))) ** 2, 0))', 'sd')} FROM t JOIN {join}"""
+        for name, x, join in parts
+    ]
+    return f"WITH {SITE},{grid_ctes(model, 'site_fact')}\n" + "\nUNION ALL ".join(selects)
+
+
 YEAR = """
 site_year AS (
   SELECT CAST(year(month) AS INTEGER) AS year, region, municipality, site_id,

@@ -39,6 +39,14 @@ def _fitted(spark: SparkSession, d: str, name: str, model: Model, sites: DataFra
     return _fits[slot]
 
 
+def _resolved(spark: SparkSession, d: str, name: str, model: Model, sites: DataFrame) -> P.Posterior:
+    """One fit per application, folder and model, on grids that follow the posterior."""
+    slot = (spark.sparkContext.applicationId, d, name)
+    if slot not in _fits or not still_stored(_fits[slot].municipalities):
+        _fits[slot] = P.fit(sites, model)
+    return _fits[slot]
+
+
 def site_year(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         return (
@@ -69,6 +77,12 @@ def _sites(name: str, model: Model) -> Query:
     )
 
 
+def _shared(name: str) -> Query:
+    return lambda s, d: shown(
+        P.shared_parameters(_fitted(s, d, name, CHECKED[name], site_fact(s, d))), "param", "mean", "sd"
+    )
+
+
 def full_sites(spark: SparkSession, d: str) -> DataFrame:
     """Site posterior on grids that follow the data."""
 
@@ -90,7 +104,7 @@ def _priorities_from_model(spark: SparkSession, d: str) -> DataFrame:
 def _logit(name: str, model: Model) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         sites = site_fact(spark, d)
-        rows = P.site_posterior(sites, _fitted(spark, d, name, model, sites))
+        rows = P.site_posterior(sites, _resolved(spark, d, name, model, sites))
         return shown(
             rows, "region", "municipality", "site_id", "mean_site", "sd_site", "lo_site", "hi_site", "mean_mun"
         )
@@ -141,6 +155,7 @@ QUERIES: dict[str, Query] = {
     **{f"posterior_{n}": _municipalities(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": _regions(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_sites": _sites(n, CHECKED[n]) for n in ("fixed_precision", "three_level")},
+    **{f"posterior_shared_{n}": _shared(n) for n in ("three_level", "hyper_prior")},
     "posterior_by_year": lambda s, d: shown(
         _fitted(s, d, "year", YEARLY, site_year(s, d), ["year"]).municipalities,
         "year", "region", "municipality", "mean_mun", "sd_mun",
@@ -162,14 +177,15 @@ QUERIES: dict[str, Query] = {
         "draws", "mean_deviance", "p_d", "dic",
     ),
     "success_factors": _factors,
-    "posterior_logit_normal": _logit("logit", M.logit_normal(5, mean_cells=150)),
-    "posterior_logit_normal_revised": _logit("logit2", M.logit_normal_revised(5, 5, mean_cells=150)),
+    "posterior_logit_normal": _logit("logit", M.logit_normal(5, mean_cells=80)),
+    "posterior_logit_normal_revised": _logit("logit2", M.logit_normal_revised(5, 5, mean_cells=80)),
 }
 
 ORACLES: dict[str, str] = {
     **{f"posterior_{n}": O.municipality_sql(m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": O.region_sql(m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_sites": O.site_sql(CHECKED[n]) for n in ("fixed_precision", "three_level")},
+    **{f"posterior_shared_{n}": O.shared_sql(CHECKED[n]) for n in ("three_level", "hyper_prior")},
     "posterior_by_year": O.year_municipality_sql(YEARLY),
     "posterior_by_year_regions": O.year_region_sql(YEARLY),
 }

@@ -258,3 +258,15 @@ def test_site_products_match_single_sites(top):
         want = P._beta_interval(w[used], a[used], b[used], mean, sd, 0.95)
         assert np.allclose(row[:2], [mean, sd], rtol=1e-9)
         assert np.allclose(row[2:], want, atol=0.01 * sd + 2 * 18 * sd / P.SITE_CELLS)
+
+
+def test_shared_draws_agree_with_the_grid(spark):
+    """Precisions and the top level are parameters of the draws table and agree with their marginals."""
+    sites, _, _ = planted_small(spark)
+    fitted = P.fit_on_grid(sites, M.hyper_prior(6, 6, mean_cells=40, region_mean=M.beta(2, 2, 20)))
+    want = {r["param"]: r for r in P.shared_parameters(fitted).collect()}
+    got = D.moments(S.posterior_draws(sites, fitted, 2, 2000, seed=4)["shared"], ["param"]).collect()
+    assert {r["param"] for r in got} == set(want) == {"phi_site", "phi_mun", "global_mean", "global_concentration"}
+    for r in got:
+        assert abs(r["mean"] - want[r["param"]]["mean"]) < 5 * want[r["param"]]["sd"] / np.sqrt(4000) + 1e-9
+        assert want[r["param"]]["lo"] < want[r["param"]]["mean"] < want[r["param"]]["hi"]
