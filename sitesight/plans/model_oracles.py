@@ -176,3 +176,7 @@ def year_municipality_sql(model: Model) -> str:
         f"WITH {MONTH},{YEAR},{grid_ctes(model, 'site_year', 'year')}\n"
         f"SELECT year, region, municipality, {rs('mean_mun', 'sd_mun')} FROM mun"
     )
+
+
+def month_sql(model: Model, select: str) -> str:
+    return f"WITH {MONTH},{grid_ctes(model, 'site_month', 'month')}\n{select}"

@@ -9,8 +9,10 @@ from sitesight.operators import grid_posterior as P
 from sitesight.operators import kpi
 from sitesight.operators import model_spec as M
 from sitesight.operators.model_spec import Model
+from sitesight.functions.scalars import half_even, month_label
 from sitesight.plans import model_oracles as O
 from sitesight.operators import diagnostics, draws, factors, sampling
+from sitesight.plans.oracles import W_SITE, r, rs
 from sitesight.plans.shared_tables import site_fact, site_month, table
 from sitesight.plans.site_queries import Query, shown
 from sitesight.workspace import kept_once, still_stored
@@ -25,6 +27,9 @@ CHECKED: dict[str, Model] = {
     "hyper_prior": M.hyper_prior(4, 4, **COARSE),
 }
 YEARLY = M.three_level(3, **COARSE)
+MONTHLY = M.three_level(2, mean_cells=40, region_mean=M.beta(2, 2, 15))
+#: Regions whose posterior stands for one that does not cover all groups.
+COVERED = ["ASIA", "EUROPE"]
 FULL = M.three_level()
 
 _fits: dict[tuple[str, str, str], P.Posterior] = {}
@@ -83,6 +88,44 @@ def _shared(name: str) -> Query:
     )
 
 
+def _monthly(spark: SparkSession, d: str) -> P.Posterior:
+    """All months as one job, each fitted on its own."""
+    return _fitted(spark, d, "month", MONTHLY, site_month(spark, d), ["month"])
+
+
+def _region_month_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """A report line for each region and month from its posterior: rounded mean and sd."""
+    rows = _monthly(spark, d).regions
+    return rows.select(
+        F.col("region").alias("parameter"), half_even(F.col("mean_region"), 3).alias("mean"),
+        half_even(F.col("sd_region"), 3).alias("std_dev"), month_label(F.col("month")).alias("month_label"),
+    )
+
+
+def _risen(spark: SparkSession, d: str) -> DataFrame:
+    """Municipalities whose posterior mean rose from the first month to the last by more than twice both sds."""
+    panel = _monthly(spark, d).municipalities
+    ends = panel.agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    keys = ["region", "municipality"]
+    at = lambda m, tag: panel.where(F.col("month") == ends.select(m).scalar()).select(*keys, F.col("mean_mun").alias(f"mean_{tag}"), F.col("sd_mun").alias(f"sd_{tag}"))
+    both = at("first", "first").join(at("last", "last"), keys)
+    far = F.col("mean_last") - F.col("mean_first") > 2 * F.sqrt(F.col("sd_first") * F.col("sd_first") + F.col("sd_last") * F.col("sd_last"))
+    return shown(both.where(far), *keys, "mean_first", "mean_last")
+
+
+def _covered(known: bool) -> Query:
+    """Sites whose municipality has a posterior, or has none, in a fit of some regions only."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sites = site_fact(spark, d)
+        fitted = _fitted(spark, d, "covered", CHECKED["fixed_precision"], sites.where(F.col("region").isin(COVERED)))
+        keys = ["region", "municipality"]
+        rows = sites.join(fitted.municipalities.select(*keys), keys, "left_semi" if known else "left_anti")
+        return rows.select(*keys, "site_id")
+
+    return run
+
+
 def full_sites(spark: SparkSession, d: str) -> DataFrame:
     """Site posterior on grids that follow the data."""
 
@@ -155,6 +198,13 @@ QUERIES: dict[str, Query] = {
     **{f"posterior_{n}": _municipalities(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": _regions(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_sites": _sites(n, CHECKED[n]) for n in ("fixed_precision", "three_level")},
+    "posterior_by_month": lambda s, d: shown(
+        _monthly(s, d).municipalities, "month", "region", "municipality", "mean_mun", "sd_mun"
+    ),
+    "region_month_posterior": _region_month_posterior,
+    "risen_municipalities_posterior": _risen,
+    "sites_with_posterior": _covered(True),
+    "sites_without_posterior": _covered(False),
     **{f"posterior_shared_{n}": _shared(n) for n in ("three_level", "hyper_prior")},
     "posterior_by_year": lambda s, d: shown(
         _fitted(s, d, "year", YEARLY, site_year(s, d), ["year"]).municipalities,
@@ -185,6 +235,22 @@ ORACLES: dict[str, str] = {
     **{f"posterior_{n}": O.municipality_sql(m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": O.region_sql(m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_sites": O.site_sql(CHECKED[n]) for n in ("fixed_precision", "three_level")},
+    "posterior_by_month": O.month_sql(MONTHLY, f"SELECT month, region, municipality, {rs('mean_mun', 'sd_mun')} FROM mun"),
+    "region_month_posterior": O.month_sql(
+        MONTHLY,
+        """SELECT region AS parameter, round_even(mean_region, 3) AS mean, round_even(sd_region, 3) AS std_dev,
+        ['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(month)]
+          || '/' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS month_label FROM reg""",
+    ),
+    "risen_municipalities_posterior": O.month_sql(
+        MONTHLY,
+        f"""SELECT b.region, b.municipality, {r('a.mean_mun', 'mean_first')}, {r('b.mean_mun', 'mean_last')} FROM mun a JOIN mun b
+        ON a.region = b.region AND a.municipality = b.municipality
+        WHERE a.month = (SELECT min(month) FROM mun) AND b.month = (SELECT max(month) FROM mun)
+          AND b.mean_mun - a.mean_mun > 2 * sqrt(a.sd_mun ** 2 + b.sd_mun ** 2)""",
+    ),
+    "sites_with_posterior": W_SITE + "SELECT region, municipality, site_id FROM site_fact WHERE region IN ('ASIA', 'EUROPE')",
+    "sites_without_posterior": W_SITE + "SELECT region, municipality, site_id FROM site_fact WHERE region NOT IN ('ASIA', 'EUROPE')",
     **{f"posterior_shared_{n}": O.shared_sql(CHECKED[n]) for n in ("three_level", "hyper_prior")},
     "posterior_by_year": O.year_municipality_sql(YEARLY),
     "posterior_by_year_regions": O.year_region_sql(YEARLY),

@@ -120,6 +120,18 @@ def rs(*names: str, digits: int = 6) -> str:
     return ", ".join(r(n, digits=digits) for n in names)
 
 
+BANDS = """
+site_bands AS (
+  SELECT r_name AS region, 'tax ' || CAST(CAST(floor(l_tax * 100 + 0.5) AS BIGINT) AS VARCHAR) AS municipality, c_custkey AS site_id,
+         count(*)::BIGINT AS tests,
+         sum(CASE WHEN floor(l_discount * 100 + 0.5) + floor(l_tax * 100 + 0.5) <= 9 THEN 1 ELSE 0 END)::BIGINT AS successes,
+         avg(CASE WHEN floor(l_discount * 100 + 0.5) + floor(l_tax * 100 + 0.5) <= 9 THEN 1.0::DOUBLE ELSE 0.0 END) AS rate
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3
+)"""
+W_BANDS = f"WITH {BANDS},\n{estimates_ctes('site_bands')}\n"
+
+
 IMPACT = (
     "round_even((1 - mean_site) * (failures - min_failures) / (max_failures - min_failures + 1e-8), 9)"
 )
@@ -238,6 +250,19 @@ SITE_SQL: dict[str, str] = {
     "plus_two_points": W_EST
     + f"""SELECT region, municipality, site_id, {rs('mean_site', 'hi_site', 'mean_mun')} FROM est
          WHERE hi_site < mean_mun + 0.02""",
+    "outlier_bands": W_BANDS
+    + f"""SELECT region, municipality, {rs('mean_mun', 'lo_mun', 'hi_mun', 'mean_region')},
+         CASE WHEN lo_mun > mean_region THEN 'high' ELSE 'low' END AS side FROM mun_est
+         WHERE lo_mun > mean_region OR hi_mun < mean_region""",
+    "critical_site_bands": W_BANDS
+    + f"""SELECT region, municipality, site_id, {rs('mean_site', 'hi_site')},
+         CASE WHEN hi_site < mean_mun THEN 'below municipality' ELSE 'below limit' END AS reason
+         FROM est WHERE hi_site < mean_mun OR hi_site < 0.6""",
+    "check_hierarchy_bands": f"WITH {BANDS}\n"
+    + """SELECT municipality, count(DISTINCT region)::BIGINT AS regions FROM site_bands
+         GROUP BY municipality HAVING count(DISTINCT region) > 1""",
+    "check_unique_site_bands": f"WITH {BANDS}\n"
+    + "SELECT site_id, count(*)::BIGINT AS rows FROM site_bands GROUP BY site_id HAVING count(*) > 1",
     "critical_sites": W_EST
     + f"""SELECT region, municipality, site_id, {rs('mean_site', 'hi_site')},
          CASE WHEN hi_site < mean_mun THEN 'below municipality' ELSE 'below limit' END AS reason

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitesight.functions import scalars as S
 from sitesight.operators import checks, facts, kpi, shrinkage
 from sitesight.operators.ordering import quantiles
-from sitesight.plans.shared_tables import build_site_fact, site_fact, site_month, table
+from sitesight.plans.shared_tables import build_site_fact, places, site_fact, site_month, table
 from sitesight.sources.tables import union_months, with_successes
 from sitesight.workspace import kept_once
 
@@ -78,7 +78,42 @@ def _known(sites: DataFrame) -> DataFrame:
     return sites.groupBy("municipality").agg(F.sum("tests").alias("n")).where("n > 2400")
 
 
+def site_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Sites by tax band, the band in the place of the municipality: groups that differ widely.
+
+    A line item passes when its discount and tax together are at most nine per cent.
+    """
+
+    def build() -> DataFrame:
+        percent = lambda c: F.floor(F.col(c) * 100 + 0.5)
+        lines = table(spark, d, "lineitem").select(
+            "l_orderkey", F.concat(F.lit("tax "), percent("l_tax").cast("string")).alias("municipality"),
+            (percent("l_discount") + percent("l_tax") <= 9).cast("int").alias("ok"),
+        )
+        per_site = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "municipality")
+        sums = per_site.agg(F.count(F.lit(1)).alias("tests"), F.sum("ok").cast("bigint").alias("successes"))
+        sites = sums.join(places(spark, d).select("region", "site_id"), F.col("site_id") == F.col("o_custkey"))
+        return sites.select("region", "municipality", "site_id", "tests", "successes", S.ratio(F.col("successes"), F.col("tests")).alias("rate"))
+
+    return kept_once(spark, d, "site_bands", build)
+
+
+def _band_estimates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sites = site_bands(spark, d)
+    parents = kept_once(spark, d, "band_parents", lambda: shrinkage.municipality_estimates(sites))
+    return parents, shrinkage.site_estimates(sites, parents)
+
+
 QUERIES: dict[str, Query] = {
+    "outlier_bands": lambda s, d: shown(
+        kpi.outlier_municipalities(_band_estimates(s, d)[0]),
+        "region", "municipality", "mean_mun", "lo_mun", "hi_mun", "mean_region", "side",
+    ),
+    "critical_site_bands": lambda s, d: shown(
+        kpi.critical_sites(_band_estimates(s, d)[1]), *PLACE, "mean_site", "hi_site", "reason"
+    ),
+    "check_hierarchy_bands": lambda s, d: checks.split_municipalities(site_bands(s, d)),
+    "check_unique_site_bands": lambda s, d: checks.repeated_sites(site_bands(s, d)),
     "site_fact": lambda s, d: shown(build_site_fact(s, d), *PLACE, "tests", "successes", "rate"),
     "filter_region": _on_sites(lambda t: facts.in_region(t, "ASIA").select("site_id", "tests", "successes")),
     "filter_municipality": _on_sites(
