@@ -37,8 +37,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
+    """Runs of letters; a digit such as a raised 2 or a fraction ends a run."""
     words = _WORDS((text or "").lower())
-    return words if any(map(str.isalpha, words)) else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ("".join(c if c.isalpha() else " " for c in w).split() if not w.isalpha() else [w])]
 
 
 def _features(words: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, float]]]]:

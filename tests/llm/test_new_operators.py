@@ -218,3 +218,10 @@ def test_toxicity_held_out(spark):
     got = toxicity.scored(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).select("doc_id", "held_out", "predicted")
     held = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in held]) >= 0.9
+
+
+@pytest.mark.parametrize("text, words", [("5 m²", ["m"]), ("x½", ["x"]), ("½ 5 _", []), ("Über²all", ["über", "all"]), ("été", ["été"]), (None, [])])
+def test_words_are_runs_of_letters(text, words):
+    from sitesight.llm import language_crf
+
+    assert language_crf.words_of(text) == words
