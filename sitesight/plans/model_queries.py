@@ -235,13 +235,6 @@ ORACLES: dict[str, str] = {
     **{f"posterior_{n}": O.municipality_sql(m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": O.region_sql(m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_sites": O.site_sql(CHECKED[n]) for n in ("fixed_precision", "three_level")},
-    "posterior_by_month": O.month_sql(MONTHLY, f"SELECT month, region, municipality, {rs('mean_mun', 'sd_mun')} FROM mun"),
-    "region_month_posterior": O.month_sql(
-        MONTHLY,
-        """SELECT region AS parameter, round_even(mean_region, 3) AS mean, round_even(sd_region, 3) AS std_dev,
-        ['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(month)]
-          || '/' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS month_label FROM reg""",
-    ),
     "risen_municipalities_posterior": O.month_sql(
         MONTHLY,
         f"""SELECT b.region, b.municipality, {r('a.mean_mun', 'mean_first')}, {r('b.mean_mun', 'mean_last')} FROM mun a JOIN mun b

@@ -270,3 +270,19 @@ def test_shared_draws_agree_with_the_grid(spark):
     for r in got:
         assert abs(r["mean"] - want[r["param"]]["mean"]) < 5 * want[r["param"]]["sd"] / np.sqrt(4000) + 1e-9
         assert want[r["param"]]["lo"] < want[r["param"]]["mean"] < want[r["param"]]["hi"]
+
+
+def test_a_month_of_the_tables_matches_enumeration(spark, sf_dir):
+    """One month of the joint monthly fit against the plain definition, cell by cell."""
+    from sitesight.plans import model_queries as Q
+    from sitesight.plans.shared_tables import site_month
+
+    month = "1999-04-01"
+    sites = site_month(spark, sf_dir).where(f"month = '{month}'").select("region", "municipality", "site_id", "tests", "successes")
+    fitted = Q._monthly(spark, sf_dir)
+    mun = fitted.municipalities.where(f"month = '{month}'").collect()
+    ranges = {(r["region"], r["municipality"]): (r["m_low"], r["m_high"]) for r in mun}
+    want, want_region = enumerate_posterior([tuple(r) for r in sites.collect()], Q.MONTHLY, ranges)
+    assert len(want) == len(mun) and all(np.isclose(r["mean_mun"], want[(r["region"], r["municipality"])], atol=1e-9) for r in mun)
+    for r in fitted.regions.where(f"month = '{month}'").collect():
+        assert np.isclose(r["mean_region"], want_region[r["region"]], atol=1e-9)
