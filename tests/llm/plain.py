@@ -138,3 +138,33 @@ def all_cuts(word: str, logp: dict[str, float]) -> float:
         return 0.0
     ways = [logp[word[:k]] + all_cuts(word[k:], logp) for k in range(1, len(word) + 1) if word[:k] in logp]
     return float(np.logaddexp.reduce(ways)) if ways else -np.inf
+
+
+def discovered(found: list, rounds: int, support: int, score: float, kinds: tuple) -> set[tuple]:
+    """(doc_id, start, end, kind) by the scores of patterns; ``found`` are rows of ``pii.occurrences``."""
+    edges = {(p, r.instance) for r in found for p in r.patterns}
+    size = Counter(p for p, _ in edges)
+    seeds = {(r.instance, r.kind): 1.0 for r in found if r.kind}
+    conf, held = dict(seeds), {}
+    for _ in range(rounds):
+        total, sure = defaultdict(float), Counter()
+        by = defaultdict(list)
+        for (instance, kind), c in conf.items():
+            by[instance].append((kind, c))
+        for p, instance in edges:
+            for kind, c in by[instance]:
+                total[p, kind] += c
+                sure[p, kind] += c >= score
+        held = {(p, k): s / (size[p] + 1) for (p, k), s in total.items() if sure[p, k] >= support and s / (size[p] + 1) >= score}
+        miss = defaultdict(lambda: 1.0)
+        for p, instance in edges:
+            for k in kinds:
+                if (p, k) in held:
+                    miss[instance, k] *= 1 - held[p, k]
+        conf = {x: max(seeds.get(x, 0.0), 1 - miss[x] if x in miss else 0.0) for x in seeds.keys() | miss.keys()}
+    out = set()
+    for r in found:
+        ways = [(held[p, k], -kinds.index(k)) for p in r.patterns for k in kinds if (p, k) in held and conf.get((r.instance, k), 0) >= score]
+        if ways and r.kind in (None, "secret"):
+            out.add((r.doc_id, r.start, r.end, kinds[-max(ways)[1]]))
+    return out

@@ -88,6 +88,36 @@ def test_base_spans(spark, sf_dir, rows):
         assert all(got[d][f"n_{k}"] == sum(x.startswith(k) for x in want) for k in plain.BASE)
 
 
+def test_pii_discovery(spark):
+    """Contexts of seeds find identifiers that no base expression matches, and leave plain numbers alone."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = [f"{word()} {word()} write to user{k}@mail.example.com or {word()}" for k in range(40)]
+    texts += [f"{word()} call us: +49 30 {k}555 {k}01 {word()}" for k in range(10, 40)] + [f'{word()} api_key = "{rng.getrandbits(160):040x}" {word()}' for _ in range(12)]
+    unseen = {len(texts): "Mail jdoe77@intranet soon", len(texts) + 1: f"{word()} write to jdoe77@intranet or {word()}", len(texts) + 2: "an api_key = abc123abc end"}
+    texts += list(unseen.values()) + [f"{word()} room {k} holds {word()} 4{k} chairs" for k in range(60)] + [f"commit {rng.getrandbits(160):040x} {word()}" for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    at = lambda d, kind, piece: f"{kind}:{texts[d].index(piece)}:{texts[d].index(piece) + len(piece)}"
+    first = min(unseen)
+    assert at(first + 1, "email", "jdoe77@intranet") in got[first + 1].spans
+    assert at(first + 2, "secret", "abc123abc") in got[first + 2].spans
+    assert all(got[d].n_added == 1 and "secret:" in got[d].spans for d in range(70, 82))
+    assert all(got[d].n_added == 0 for d in range(first + 3, len(texts)))
+    found = pii.occurrences(pii.base_spans(docs))
+    want = plain.discovered(found.collect(), pii.ROUNDS, pii.SUPPORT, pii.SCORE, pii.ALL_KINDS)
+    assert {(r.doc_id, r.start, r.end, r.kind) for r in pii.discovered(found).collect()} == want and len(want) >= 14
+
+
+def test_pii_long_text(spark):
+    """A text of very many matches: positions over several levels of blocks, tokens that begin and do not begin spans."""
+    text = " ".join(f"x{k} 10.0.{k % 256}.{k % 300} é" for k in range(20_000))
+    got = pii.personal_data(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    want = plain.base_spans(text)
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_spans == len(want) + got[0].n_added
+    assert got[0].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and len(want) > 15_000
+
+
 def test_line_dedup(spark, sf_dir, rows):
     got = {r.doc_id: r.dropped for r in registry.op5_line_dedup(spark, sf_dir).collect()}
     want = plain.dropped_lines(rows)
