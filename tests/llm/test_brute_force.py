@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sitesight.llm import decontaminate, jaccard_join, language_crf, lattice_lm, line_dedup, mixing, pii, registry
+from sitesight.llm import decontaminate, jaccard_join, language_crf, lattice_lm, line_dedup, mixing, nearest, pii, registry
 from tests.llm import plain
 
 
@@ -42,6 +42,37 @@ def test_nearest_recall(spark, sf_dir):
     assert wanted and found / wanted >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clusters", "log-normal lengths"])
+def test_nearest_recall_of_shapes(spark, kind):
+    """Several shards of vectors that graphs find hard: no structure, tight clusters, very unequal lengths."""
+    rng, n = np.random.default_rng(5), 6000
+    x = rng.normal(size=(n, 32))
+    if kind == "clusters":
+        x = rng.normal(size=(150, 32))[rng.integers(0, 150, n)] + 0.2 * x
+    if kind == "log-normal lengths":
+        x *= rng.lognormal(0, 1, size=(n, 1))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, shard_rows=2000).toPandas().groupby("query_id")["vec_id"].agg(set)
+    asked = np.arange(0, n, 20)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert list(got.index) == list(asked) and all(len(v) == 20 for v in got)
+    assert np.mean([len(got[q] & set(b)) / 20 for q, b in zip(asked, best)]) >= 0.9
+
+
+def test_nearest_repeated_rows(spark):
+    """Each row is a candidate and a query of its own, also where another has its id, its vector or both."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 0.0]), (5, [3.0, 1.0]), (7, [-1e200, 1e-200])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q == 20:
+            others = sorted((-(a * v[0] + b * v[1]), i) for k, (i, (a, b)) in enumerate(rows) if k != at)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(others)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_mixing(spark, sf_dir, rows):
     sizes = Counter()
     for _, text, source, _ in rows:
