@@ -209,18 +209,19 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM,
     # adding 0.0 makes -0.0 and 0.0 the same vector
     rows = rows.withColumn("vec", F.transform("vec", lambda v: v + F.lit(0.0))).withColumn("node", F.xxhash64("vec"))
     is_query = F.col("vec_id") % every == 0
-    nodes = keep(rows.groupBy("node").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.max(is_query).alias("asks"), F.size(F.first("vec")).alias("dim")), "nodes")
+    nodes = rows.groupBy("node").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.max(is_query).alias("asks"))
+    # the largest component, a column of its own that is computed once, is divided out: no square leaves the range of a double
+    nodes = nodes.withColumn("longest", F.array_max(F.transform("vec", F.abs)))
+    norm = F.log("longest") + 0.5 * F.log(F.aggregate("vec", F.lit(0.0), lambda s, v: s + (v / F.col("longest")) * (v / F.col("longest"))))
+    band = F.floor(norm / math.log(BAND) + 0.5).cast("int")
+    nodes = keep(nodes.select("node", "vec", "least", "asks", F.size("vec").alias("dim"), band.alias("band")), "nodes")
     blocks = max(1, -(-nodes.where("asks").count() // BLOCK_ROWS))
 
-    # the largest component is divided out first, so that no square leaves the range of a double
-    longest = F.array_max(F.transform("vec", F.abs))
-    norm = F.log(longest) + 0.5 * F.log(F.aggregate("vec", F.lit(0.0), lambda s, v: s + (v / longest) * (v / longest)))
-    banded = nodes.select("dim", "node", "vec", F.floor(norm / math.log(BAND) + 0.5).cast("int").alias("band"))
-    bands = keep(banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "bands")
+    bands = keep(nodes.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "bands")
     # shards are numbered within a length of vectors: those of the bands before, and the part in its own
     first = Window.partitionBy("dim").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     bands = keep(bands.withColumn("first", F.coalesce(F.sum("shards").over(first), F.lit(0))), "bands")
-    dealt = banded.join(bands, ["dim", "band"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards"))).cast("int"))
+    dealt = nodes.join(bands, ["dim", "band"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards"))).cast("int"))
     graphs = keep(dealt.select("dim", "shard", "node", "vec").groupBy("dim", "shard").applyInPandas(_build(k + 1, beam), "dim int, shard int, beam int, nodes binary, vecs binary, links binary"), "graphs")
     pieces = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asks = nodes.where("asks").select("dim", "node", "vec", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
