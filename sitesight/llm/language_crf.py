@@ -4,14 +4,15 @@ A word (a run of letters, lower-cased) has affix, n-gram and lexicon features wi
 each language; neighbouring words are tied by learned transitions. Training sequences are runs
 of words from labelled texts, in part joined across languages, so the transitions learn both to
 stay and to switch in code-switched text. Forward-backward over the whole text gives each word
-its language probabilities; a document's are their mean.
+its language probabilities; a document's are their mean, and ``segments`` its words' languages.
 
 Learned: texts with a ``lang`` whose crc32(doc_id) mod 4 is not 2, at most ``SAMPLE`` of each language by
-hash of the row, and of each at most ``RUNS`` runs of ``RUN_WORDS`` words from anywhere in the text. Parts of
-the sample are trained in separate tasks and their weights averaged.
+hash of the row, each text whole, cut into runs of ``RUN_WORDS`` words. Parts of the sample are trained in
+separate tasks and their weights averaged.
 
-Texts that are null or have no letter are ``und`` with score 0, as are all if nothing is labelled.
-Repeated rows are scored alike. Only the text decides; other columns are ignored.
+Texts that are null or have no letter are ``und`` with score 0 and no segments, as are all if nothing is
+labelled; an empty table gives an empty one. Of equally likely languages the first by name wins. Long
+texts are scored whole. Repeated rows are scored alike. Only the text decides; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from sitesight.llm.common import remainder, small
 from sitesight.workspace import keep
 
-SAMPLE, RUNS, RUN_WORDS, PARTS = 1500, 4, 24, 4
+SAMPLE, RUN_WORDS, PARTS = 1000, 24, 4
 BITS, LEXICON, EPOCHS = 16, 300, 4
 TOKENS = 1_000_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -89,9 +90,9 @@ class Field:
                 known[i, k] = 1
         return known
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def emissions(self, words: list[str], features: list | None = None) -> np.ndarray:
         out = self._known(words) @ self.common
-        for at, columns in _features(words):
+        for at, columns in features or _features(words):
             out[at] += sum(self.weight[h] * np.float32(v) for h, v in columns)
         return out
 
@@ -126,27 +127,33 @@ class Field:
         both /= both.sum(axis=1, keepdims=True)
         return both[place], pairs
 
-    def train(self, sequences: list[list[tuple[str, int]]], epochs: int = EPOCHS, batch: int = 32, rate: float = 0.2) -> None:
-        """Gradient ascent on the log-likelihood with a step for each weight that falls as it is used."""
+    def train(self, vocabulary: list[str], sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, batch: int = 32, rate: float = 0.2) -> None:
+        """Gradient ascent on the log-likelihood with a step for each weight that falls as it is used.
+
+        A sequence is its words' places in ``vocabulary`` and their languages.
+        """
         rng, used = np.random.default_rng(0), np.full(self.weight.shape, 1.0, np.float32)
         used_c, used_m = np.full(self.common.shape, 1.0), np.full(self.move.shape, 1.0)
         for _ in range(epochs):
             order = rng.permutation(len(sequences))
             for low in range(0, len(order), batch):
                 some = [sequences[i] for i in order[low: low + batch]]
-                words = [w for s in some for w, _ in s]
-                gold = np.array([k for s in some for _, k in s])
-                length = np.array([len(s) for s in some])
-                got, pairs = self.marginals(self.emissions(words), length)
+                place, at = np.unique(np.concatenate([w for w, _ in some]), return_inverse=True)
+                words = [vocabulary[k] for k in place]
+                features = list(_features(words))
+                gold = np.concatenate([k for _, k in some])
+                length = np.array([len(k) for _, k in some])
+                got, pairs = self.marginals(self.emissions(words, features)[at], length)
                 miss = -got
                 miss[np.arange(len(gold)), gold] += 1
+                miss = np.stack([np.bincount(at, x, len(words)) for x in miss.T], axis=1).astype(np.float32)
                 first = np.zeros(len(gold), bool)
                 first[np.cumsum(length) - length] = True
                 follow = np.flatnonzero(~first)
                 seen = np.zeros_like(self.move)
                 np.add.at(seen, (gold[follow - 1], gold[follow]), 1)
                 step = np.zeros_like(self.weight)
-                for at, columns in _features(words):
+                for at, columns in features:
                     for h, v in columns:
                         np.add.at(step, h, miss[at] * np.float32(v))
                 touched = np.flatnonzero(step.any(axis=1))
@@ -157,21 +164,23 @@ class Field:
                     weight += rate * grad / np.sqrt(total)
 
 
-def _sequences(rows: pd.DataFrame, langs: list[str]) -> list[list[tuple[str, int]]]:
+def _sequences(rows: pd.DataFrame, langs: list[str]) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+    """Vocabulary and sequences of whole texts: their runs, some joined with runs of other texts."""
     rng = np.random.default_rng(int(rows["part"].iloc[0]))
+    seen: dict[str, int] = {}
     pieces = []
     for text, lang in zip(rows["text"], rows["lang"]):
-        words = words_of(text)
-        for _ in range(min(RUNS, -(-len(words) // RUN_WORDS))):
-            low = int(rng.integers(0, max(1, len(words) - RUN_WORDS + 1)))
-            pieces.append([(w, langs.index(lang)) for w in words[low: low + RUN_WORDS]])
+        at = np.array([seen.setdefault(w, len(seen)) for w in words_of(text)], np.int32)
+        for low in range(0, len(at), RUN_WORDS):
+            run = at[low: low + RUN_WORDS]
+            pieces.append((run, np.full(len(run), langs.index(lang))))
     rng.shuffle(pieces)
     out, k = [], 0
     while k < len(pieces):  # a third of the runs stand alone, the others switch once or twice
         n = int(rng.integers(1, 4))
-        out.append([x for p in pieces[k: k + n] for x in p])
+        out.append(tuple(np.concatenate(x) for x in zip(*pieces[k: k + n])))
         k += n
-    return [s for s in out if s]
+    return list(seen), out
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
@@ -201,7 +210,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         field = Field(langs, lexicon)
-        field.train(_sequences(pdf.sort_values(["lang", "text"]), langs))
+        field.train(*_sequences(pdf.sort_values(["lang", "text"]), langs))
         return pd.DataFrame({"n": [len(pdf)], "weight": [field.weight.tobytes()], "common": [field.common.tobytes()], "move": [field.move.tobytes()]})
 
     field, total = Field(langs, lexicon), 0
@@ -215,21 +224,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
 
 
 def predicted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of ``docs``."""
+    """(doc_id, held_out, lang_pred, score, n_words, segments) of each row of ``docs``.
+
+    ``segments`` labels every word: lang:start:end of each run of words of one language, comma-joined,
+    with word numbers from 0 and the end exclusive.
+    """
     held_out = remainder("doc_id", 4) == 2
     field = fit(docs.where(~held_out), sample)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out"))
     if field is None:
-        return source.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return source.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit("").alias("segments"))
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("segments", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         place: dict[str, int] = {}
         table = np.zeros((0, len(field.langs)), np.float32)
 
-        def judged(texts: list[list[str]]) -> tuple[list[str], list[float]]:
+        def judged(texts: list[list[str]]) -> tuple[list[str], list[float], np.ndarray, list[str]]:
             nonlocal table
             if len(place) > 300_000:
                 place.clear()
@@ -240,15 +253,19 @@ def predicted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 table = np.concatenate([table, field.emissions(new)])
             length = np.fromiter(map(len, texts), np.int64, len(texts))
             full = np.flatnonzero(length)
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            langs, scores, segments = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
             if len(full):
                 at = np.fromiter((place[w] for x in texts for w in x), np.int64, length.sum())
                 got, _ = field.marginals(table[at], length[full])
                 first = np.cumsum(length[full]) - length[full]
                 mean = np.add.reduceat(got.astype(np.float64), first) / length[full, None]
-                for d, k, share in zip(full, mean.argmax(axis=1), mean.max(axis=1)):
+                best = got.argmax(axis=1)
+                for d, low, k, share in zip(full, first, mean.argmax(axis=1), mean.max(axis=1)):
                     langs[d], scores[d] = field.langs[k], float(min(1.0, share))
-            return langs, scores
+                    mine = best[low: low + length[d]]
+                    cut = [0, *(np.flatnonzero(mine[1:] != mine[:-1]) + 1).tolist(), len(mine)]
+                    segments[d] = ",".join(f"{field.langs[mine[a]]}:{a}:{b}" for a, b in zip(cut, cut[1:]))
+            return langs, scores, length, segments
 
         for batch in batches:
             words, low, held = [], 0, 0
@@ -257,9 +274,9 @@ def predicted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 words.append(words_of(texts[i].as_py()))
                 held += len(words[-1])
                 if held >= TOKENS or i == batch.num_rows - 1:
-                    langs, scores = judged(words)
+                    langs, scores, length, segments = judged(words)
                     part = batch.slice(low, len(words))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(length, pa.int64()), pa.array(segments, pa.string())], schema=schema)
                     words, low, held = [], i + 1, 0
 
-    return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, segments string")

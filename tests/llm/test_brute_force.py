@@ -239,6 +239,26 @@ def test_language_held_out(spark, sf_dir, rows):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got]) >= 0.9
 
 
+def test_language_learns_from_whole_texts_and_labels_words(spark):
+    """Words that stand only at the end of long texts are learned; a switched text is cut where it switches."""
+    made = random.Random(3)
+    of = {"aa": ["".join(made.choices("abcd", k=6)) for _ in range(80)], "zz": ["".join(made.choices("wxyz", k=6)) for _ in range(80)]}
+    late = {"aa": "qqkk", "zz": "kkqq"}
+    docs = []
+    for k in range(80):
+        lang = ("aa", "zz")[k % 2]
+        docs.append((4 * k, " ".join(made.choices(of[lang], k=300) + [late[lang]] * 3), lang))
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    field = language_crf.fit(table)
+    for lang, word in late.items():
+        assert field.langs[int(field.emissions([word])[0].argmax())] == lang
+    text = " ".join(of["aa"][:30] + of["zz"][:20])
+    asked = table.unionByName(spark.createDataFrame([(10**6, text, None), (10**6 + 1, "5 6", None), (10**6 + 2, None, None)], table.schema))
+    got = {r.doc_id: r for r in language_crf.predicted(asked).where("doc_id >= 1000000").collect()}
+    assert (got[10**6].segments, got[10**6].n_words, got[10**6].lang_pred) == ("aa:0:30,zz:30:50", 50, "aa")
+    assert all((got[d].segments, got[d].n_words, got[d].lang_pred) == ("", 0, "und") for d in (10**6 + 1, 10**6 + 2))
+
+
 def test_quality_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
