@@ -123,6 +123,23 @@ def approximate_quantiles(draws: DataFrame, keys: Sequence[str], accuracy: int =
     )
 
 
+def ranks_of_quantiles(draws: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, quantile, asked, n, below, at_most): the shares of draws below and not above each quantile in ``found``.
+
+    ``found`` has a row per key and the columns of ``SUMMARY_QUANTILES``. One aggregate with a fixed number of
+    counters per key; null draws are left out.
+    """
+    names = list(SUMMARY_QUANTILES)
+    counters = [F.count_if(F.col("value") < F.col(n)).alias(f"below_{n}") for n in names]
+    counters += [F.count_if(F.col("value") <= F.col(n)).alias(f"at_most_{n}") for n in names]
+    counted = draws.where("value is not null").select(*keys, "value").join(found.select(*keys, *names), list(keys)).groupBy(*keys).agg(F.count("*").alias("n"), *counters)
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("quantile"), F.lit(p).alias("asked"), (F.col(f"below_{n}") / F.col("n")).alias("below"), (F.col(f"at_most_{n}") / F.col("n")).alias("at_most"))
+        for n, p in SUMMARY_QUANTILES.items()
+    ]))
+    return counted.select(*keys, "n", rows.alias("_q")).select(*keys, "_q.quantile", "_q.asked", "n", "_q.below", "_q.at_most")
+
+
 def neighbour_pairs(draws: DataFrame, key: str) -> DataFrame:
     """(better, worse): each key with the next lower one by mean."""
     means = keep(draws.groupBy(key).agg(F.bround(F.avg("value"), 9).alias("_m")), "means")

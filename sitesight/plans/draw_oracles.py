@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitesight.plans.oracles import MONTH, W_EST, W_SITE, r, rs
+from sitesight.plans.oracles import MONTH, MONTH_LABEL, W_EST, W_SITE, r, rs
 
 DRAWS = """
 numbered AS (
@@ -31,6 +31,15 @@ def hdi_cte(source: str, keys: str, mass: float, name: str = "hdi") -> str:
 )"""
 
 
+#: Rates at fixed steps around three estimates of each site.
+_DRAWN = (
+    W_EST
+    + """, steps AS (SELECT CAST(i % 3 AS INTEGER) AS chain, CAST(i // 3 + 1 AS INTEGER) AS draw FROM (SELECT unnest(range(0, 60)) AS i)),
+base AS (SELECT e.*, model, CASE model WHEN 'own' THEN (successes + 1)::DOUBLE / (tests + 2) WHEN 'municipality' THEN mean_mun ELSE mean_site END AS guess
+         FROM est e CROSS JOIN (SELECT unnest(['own', 'municipality', 'shrunk']) AS model)),
+drawn AS (SELECT *, least(greatest(guess + sqrt(guess * (1 - guess) / (tests + 20)) * sin(site_id + 17 * chain + 31 * draw), 0.001), 0.999) AS p
+          FROM base CROSS JOIN steps)"""
+)
 _H94 = W.rstrip() + "," + hdi_cte("draws_fact", "param", 0.94)
 _H95 = W.rstrip() + "," + hdi_cte("draws_fact", "param", 0.95)
 _SUM95 = f"""SELECT d.param, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'sd')},
@@ -205,12 +214,15 @@ k AS (SELECT count(*) AS m, avg(n) AS n, avg(vaa) AS waa, avg(vbb) AS wbb, avg(v
         var_samp(ma) AS baa, var_samp(mb) AS bbb, covar_samp(ma, mb) AS bab FROM c),
 e AS (SELECT *, (wbb * baa - 2 * wab * bab + waa * bbb) / (waa * wbb - wab * wab) AS tr, (baa * bbb - bab * bab) / (waa * wbb - wab * wab) AS det FROM k)
 SELECT m::INTEGER AS chains, {r('sqrt((n - 1) / n + (1 + 1.0::DOUBLE / m) * (tr / 2 + sqrt(tr * tr / 4 - det)))', 'rhat_multivariate')} FROM e""",
-    "dic_models": W_EST
-    + """, steps AS (SELECT CAST(i % 3 AS INTEGER) AS chain, CAST(i // 3 + 1 AS INTEGER) AS draw FROM (SELECT unnest(range(0, 60)) AS i)),
-base AS (SELECT e.*, model, CASE model WHEN 'own' THEN (successes + 1)::DOUBLE / (tests + 2) WHEN 'municipality' THEN mean_mun ELSE mean_site END AS guess
-         FROM est e CROSS JOIN (SELECT unnest(['own', 'municipality', 'shrunk']) AS model)),
-drawn AS (SELECT *, least(greatest(guess + sqrt(guess * (1 - guess) / (tests + 20)) * sin(site_id + 17 * chain + 31 * draw), 0.001), 0.999) AS p
-          FROM base CROSS JOIN steps),
+    "quantile_sketch_ranks": W
+    + """SELECT param, quantile, true AS within FROM (SELECT DISTINCT param FROM draws_fact)
+CROSS JOIN (SELECT unnest(['q2_5', 'q25', 'q50', 'q75', 'q97_5']) AS quantile)""",
+    "dic_fixed": _DRAWN
+    + f""", dev AS (SELECT chain, draw, -2 * sum(lgamma(tests + 1) - lgamma(successes + 1) - lgamma(tests - successes + 1)
+             + successes * ln(p) + (tests - successes) * ln(1 - p)) AS d FROM drawn WHERE model = 'shrunk' GROUP BY 1, 2)
+SELECT count(*) AS draws, {r('avg(d)', 'mean_deviance', 5)}, {r('var_samp(d) / 2', 'p_d', 5)}, {r('avg(d) + var_samp(d) / 2', 'dic', 5)} FROM dev""",
+    "dic_models": _DRAWN
+    + """,
 dev AS (SELECT model, avg(d) AS mean_deviance, count(*) AS draws FROM (
           SELECT model, chain, draw, -2 * sum(lgamma(tests + 1) - lgamma(successes + 1) - lgamma(tests - successes + 1)
              + successes * ln(p) + (tests - successes) * ln(1 - p)) AS d FROM drawn GROUP BY 1, 2, 3) GROUP BY 1),
@@ -255,8 +267,9 @@ SELECT e.param, day, tests, successes, {r('successes::DOUBLE / tests', 'raw_rate
     + """
 SELECT q.region AS parameter, round_even(avg(value), 3) AS mean, round_even(stddev_samp(value), 3) AS std_dev,
   '[' || round_even(any_value(hdi_lo), 3) || ', ' || round_even(any_value(hdi_hi), 3) || ']' AS hdi_interval,
-  ['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(q.month)]
-    || '/' || lpad(CAST(year(q.month) % 100 AS VARCHAR), 2, '0') AS month_label
+  """
+    + MONTH_LABEL.replace("(month)", "(q.month)")
+    + """
 FROM rates q JOIN hdi h ON q.region = h.region AND q.month = h.month GROUP BY q.region, q.month""",
     "months_parsed": f"WITH {MONTH}\n"
     + """SELECT DISTINCT ['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(month)]

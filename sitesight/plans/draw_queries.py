@@ -51,23 +51,41 @@ def _region_month_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _dic_models(spark: SparkSession, d: str) -> DataFrame:
-    """Three ways to estimate a site's rate, each with draws at fixed steps around the estimate, compared by DIC."""
-    sites = estimates(spark, d)
+SITE_KEYS = ["region", "municipality", "site_id"]
+
+
+def _fixed_draws(sites: DataFrame, spark: SparkSession) -> dict[str, DataFrame]:
+    """Three ways to estimate a site's rate, each with draws at fixed steps around the estimate."""
     steps = spark.range(60).select((F.col("id") % 3).cast("int").alias("chain"), (F.floor(F.col("id") / 3) + 1).cast("int").alias("draw"))
     wave = F.sin(F.col("site_id") + 17 * F.col("chain") + 31 * F.col("draw"))
     rates = {
         "own": (F.col("successes") + 1) / (F.col("tests") + 2), "municipality": F.col("mean_mun"),
         "shrunk": F.col("mean_site"),
     }
-    keys = ["region", "municipality", "site_id"]
     models = {}
     for name, rate in rates.items():
         spread = F.sqrt(rate * (1 - rate) / (F.col("tests") + 20))
         value = F.least(F.greatest(rate + spread * wave, F.lit(0.001)), F.lit(0.999))
         # a fixed set of 60 steps, so this side is small at any size
-        models[name] = sites.crossJoin(F.broadcast(steps)).select(*keys, "chain", "draw", value.alias("value"))
-    return shown(G.dic_models(models, sites, keys), "model", "draws", "mean_deviance", "penalty", "dic", digits=5)
+        models[name] = sites.crossJoin(F.broadcast(steps)).select(*SITE_KEYS, "chain", "draw", value.alias("value"))
+    return models
+
+
+def _dic_models(spark: SparkSession, d: str) -> DataFrame:
+    sites = estimates(spark, d)
+    return shown(G.dic_models(_fixed_draws(sites, spark), sites, SITE_KEYS), "model", "draws", "mean_deviance", "penalty", "dic", digits=5)
+
+
+def _dic_fixed(spark: SparkSession, d: str) -> DataFrame:
+    sites = estimates(spark, d)
+    return shown(G.dic(_fixed_draws(sites, spark)["shrunk"], sites, SITE_KEYS), "draws", "mean_deviance", "p_d", "dic", digits=5)
+
+
+def _sketch_ranks(t: DataFrame) -> DataFrame:
+    """Whether each sketched quantile has the rank asked for, to the sketch's accuracy."""
+    ranks = D.ranks_of_quantiles(t, D.approximate_quantiles(t, PARAM), PARAM)
+    off = 1.0 / 10_000 + 1.0 / F.col("n")
+    return ranks.select("param", "quantile", ((F.col("below") <= F.col("asked") + off) & (F.col("at_most") >= F.col("asked") - off)).alias("within"))
 
 
 def _months_back(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +146,8 @@ QUERIES: dict[str, Query] = {
     "rhat_limits": _on_draws(lambda t: G.rhat_limits(t, PARAM), "param", "df_between", "df_within", "rhat_adjusted"),
     "rhat_multivariate": _on_draws(lambda t: G.rhat_multivariate(t, [], ["click", "view"]), "chains", "rhat_multivariate"),
     "dic_models": _dic_models,
+    "dic_fixed": _dic_fixed,
+    "quantile_sketch_ranks": _on_draws(_sketch_ranks, "param", "quantile", "within"),
     "rank_rhat": _on_draws(lambda t: G.rank_rhat(t, PARAM), "param", "rhat_bulk", "rhat_folded", "rhat_rank"),
     "prob_greater": _on_draws(
         lambda t: D.prob_greater(t, D.neighbour_pairs(t, "param"), "param"), "better", "worse", "draws", "prob"

@@ -12,7 +12,7 @@ from sitesight.operators.model_spec import Model
 from sitesight.functions.scalars import half_even, month_label
 from sitesight.plans import model_oracles as O
 from sitesight.operators import diagnostics, draws, factors, sampling
-from sitesight.plans.oracles import W_SITE, r, rs
+from sitesight.plans.oracles import MONTH_LABEL, W_SITE, r, rs
 from sitesight.plans.shared_tables import site_fact, site_month, table
 from sitesight.plans.site_queries import Query, shown
 from sitesight.workspace import kept_once, still_stored
@@ -182,18 +182,33 @@ def _region_comparison(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _factors(spark: SparkSession, d: str) -> DataFrame:
+def _explained(spark: SparkSession, d: str) -> DataFrame:
     about = table(spark, d, "customer").select(
         F.col("c_custkey").alias("site_id"),
         F.col("c_mktsegment").alias("segment"),
         F.col("c_acctbal").alias("balance"),
     )
+    return site_fact(spark, d).join(about, "site_id")
+
+
+def _factors(spark: SparkSession, d: str) -> DataFrame:
     return shown(
-        factors.success_factors(site_fact(spark, d).join(about, "site_id"), "segment + balance"),
-        "factor", "coefficient", "std_error", "p_value",
+        factors.success_factors(_explained(spark, d), "segment + balance"), "factor", "coefficient", "std_error", "p_value"
     )
 
 
+def _factor_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Observed and expected successes of each segment, and a test's mean balance that succeeded: the score equations."""
+    sites = factors.expected_successes(_explained(spark, d), "segment + balance").withColumn("balance", F.col("balance").cast("double"))
+    by_segment = sites.groupBy(F.col("segment").alias("factor")).agg(
+        F.sum("successes").cast("double").alias("observed"), F.sum("expected").alias("expected")
+    )
+    per_test = lambda x: F.try_divide(F.sum(F.col(x) * F.col("balance")), F.sum("tests"))
+    balance = sites.agg(per_test("successes").alias("observed"), per_test("expected").alias("expected"))
+    rows = by_segment.unionByName(balance.withColumn("factor", F.lit("balance")))
+    return shown(rows, "factor", "observed", "expected", digits=4)
+
+
 QUERIES: dict[str, Query] = {
     **{f"posterior_{n}": _municipalities(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_regions": _regions(n, m) for n, m in CHECKED.items()},
@@ -227,6 +242,7 @@ QUERIES: dict[str, Query] = {
         "draws", "mean_deviance", "p_d", "dic",
     ),
     "success_factors": _factors,
+    "factor_totals": _factor_totals,
     "posterior_logit_normal": _logit("logit", M.logit_normal(5, mean_cells=80)),
     "posterior_logit_normal_revised": _logit("logit2", M.logit_normal_revised(5, 5, mean_cells=80)),
 }
@@ -242,6 +258,14 @@ ORACLES: dict[str, str] = {
         WHERE a.month = (SELECT min(month) FROM mun) AND b.month = (SELECT max(month) FROM mun)
           AND b.mean_mun - a.mean_mun > 2 * sqrt(a.sd_mun ** 2 + b.sd_mun ** 2)""",
     ),
+    "posterior_by_month": O.month_sql(MONTHLY, f"SELECT month, region, municipality, {rs('mean_mun', 'sd_mun')} FROM mun"),
+    "region_month_posterior": O.month_sql(
+        MONTHLY, f"SELECT region AS parameter, {r('mean_region', 'mean', 3)}, {r('sd_region', 'std_dev', 3)}, {MONTH_LABEL} FROM reg"
+    ),
+    "factor_totals": W_SITE
+    + """, about AS (SELECT f.*, c_mktsegment AS segment, c_acctbal::DOUBLE AS balance FROM site_fact f JOIN customer ON c_custkey = site_id WHERE tests > 0)
+SELECT segment AS factor, sum(successes)::DOUBLE AS observed, sum(successes)::DOUBLE AS expected FROM about GROUP BY segment
+UNION ALL SELECT 'balance', round_even(sum(successes * balance) / sum(tests), 4), round_even(sum(successes * balance) / sum(tests), 4) FROM about""",
     "sites_with_posterior": W_SITE + "SELECT region, municipality, site_id FROM site_fact WHERE region IN ('ASIA', 'EUROPE')",
     "sites_without_posterior": W_SITE + "SELECT region, municipality, site_id FROM site_fact WHERE region NOT IN ('ASIA', 'EUROPE')",
     **{f"posterior_shared_{n}": O.shared_sql(CHECKED[n]) for n in ("three_level", "hyper_prior")},

@@ -112,6 +112,13 @@ W_EST = f"WITH {SITE},\n{estimates_ctes('site_fact')}\n"
 W_MONTH = f"WITH {MONTH},\n{estimates_ctes('site_month', 'month')}\n"
 
 
+#: Label of the column month; fixed values: the abbreviations of the months.
+MONTH_LABEL = (
+    "['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(month)]"
+    " || '/' || lpad(CAST(year(month) % 100 AS VARCHAR), 2, '0') AS month_label"
+)
+
+
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
     return f"round_even({expr}, {digits}) AS {name or expr}"
 

@@ -272,6 +272,13 @@ def test_shared_draws_agree_with_the_grid(spark):
         assert want[r["param"]]["lo"] < want[r["param"]]["mean"] < want[r["param"]]["hi"]
 
 
+def test_last_edge_of_a_range_is_its_end():
+    """A range such as (0.0577, 1) must not end a rounding below 1, where its last cell would lose its end."""
+    low = 0.05768453559846298
+    assert low + (1.0 - low) * 40 / 40 < 1.0
+    assert P.cell_edges(low, 1.0, 40)[-1] == 1.0
+
+
 def test_a_month_of_the_tables_matches_enumeration(spark, sf_dir):
     """One month of the joint monthly fit against the plain definition, cell by cell."""
     from sitesight.plans import model_queries as Q
