@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sitesight.llm.common import remainder, small
 from sitesight.workspace import keep
 
-SAMPLE, RUN_WORDS, PARTS = 1000, 24, 4
+SAMPLE, RUN_WORDS, PARTS = 300, 24, 4
 BITS, LEXICON, EPOCHS = 16, 300, 4
 TOKENS = 1_000_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
