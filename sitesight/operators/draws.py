@@ -20,7 +20,7 @@ from sitesight.operators.ordering import (
     running_sum,
     same_keys,
 )
-from sitesight.workspace import keep
+from sitesight.workspace import keep, spread_by
 
 def arrays_to_long(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """One row per array element; its position becomes ``draw``."""
@@ -96,6 +96,32 @@ def hdi(
     return hdi_of(placed_values(draws, keys, slice_rows), keys, mass, lo, hi)
 
 
+#: Draws of whole keys that one task sorts.
+TASK_DRAWS = 2_000_000
+
+
+def summary_of_blocks(blocks: DataFrame, keys: Sequence[str], n_draws: int, mass: float = 0.95, sample_sd: bool = False) -> DataFrame:
+    """``posterior_summary`` of draws that come in arrays: ``value`` is an array, and a key has one or more rows.
+
+    For keys with a bounded number of draws each, as chains * draws, of which there may be any number.
+    The arrays are shuffled once and a key's draws are sorted as one array. ``n_draws``, about the
+    number of all draws, says over how many tasks.
+    """
+    keys = list(keys)
+    holes = blocks.schema["value"].dataType.containsNull
+    known = blocks.select(*keys, (F.filter("value", lambda v: v.isNotNull()) if holes else F.col("value")).alias("_x"))
+    met = spread_by(known, n_draws, TASK_DRAWS, *keys).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("_x"))).alias("_x"))
+    n = F.size("_x")
+    mean = F.aggregate("_x", F.lit(0.0), lambda total, v: total + v) / n
+    reach = F.least(F.floor(n * F.lit(float(mass))).cast("int"), n - 1)
+    ends = [F.slice("_x", start, n - reach) for start in (F.lit(1), reach + 1)]
+    pairs = F.zip_with(*ends, lambda a, b: F.struct((b - a).alias("w"), a.alias("a"), b.alias("b")))
+    placed = met.where(n > 0).select(*keys, "_x", mean.alias("mean"), F.array_min(pairs).alias("_best"))
+    squares = F.aggregate("_x", F.lit(0.0), lambda total, v: total + (v - F.col("mean")) * (v - F.col("mean")))
+    sd = F.sqrt(F.try_divide(squares, n - 1) if sample_sd else squares / n)
+    return placed.select(*keys, "mean", sd.alias("sd"), F.col("_best.a").alias("hdi_lo"), F.col("_best.b").alias("hdi_hi"))
+
+
 def posterior_summary(
     draws: DataFrame, keys: Sequence[str], mass: float = 0.95, sample_sd: bool = False, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:

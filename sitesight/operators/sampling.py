@@ -8,12 +8,14 @@ its keys: a task that is run again gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sitesight.functions.special import beta_draws, pick, uniforms
 from sitesight.operators.grid_posterior import (
@@ -26,9 +28,11 @@ from sitesight.operators.grid_posterior import (
     prior_of_regions,
     schema_of,
 )
-from sitesight.workspace import keep, spread
+from sitesight.workspace import keep, spread, spread_by, stored
 
 BATCH = 512
+#: Draws of a site in one array, and site draws that one task makes.
+BLOCK, TASK_DRAWS = 50, 2_000_000
 
 
 def _picks(log_weights_of, n: int, u: np.ndarray) -> np.ndarray:
@@ -147,45 +151,65 @@ def _municipality_draws(fitted: Posterior, regions: DataFrame, n: int, seed: int
     )
 
 
-def _site_draws(sites: DataFrame, fitted: Posterior, municipalities: DataFrame, draws: int, seed: int) -> DataFrame:
+def _site_blocks(sites: DataFrame, fitted: Posterior, municipalities: DataFrame, n: int, seed: int, carry: Sequence[str]) -> DataFrame:
+    """(keys, site_id, carry, block, value): the draws of each site in arrays of ``BLOCK``, in order.
+
+    The join is a left one, so that it is the municipalities' arrays that are broadcast, if any side is.
+    """
     model, keys = fitted.model, fitted.keys
     z, log_w = noise_nodes(model)
     step = z[1] - z[0]
-    one_each = (
-        spread(sites.select(*keys, "site_id", "tests", "successes"), *keys, "site_id")
-        .join(municipalities, keys)
-        .select(*keys, "site_id", "tests", "successes", F.posexplode(F.arrays_zip("m", "s")).alias("_at", "_d"))
-        .select(
-            *keys, "site_id", "tests", "successes",
-            (F.floor(F.col("_at") / draws) + 1).cast("int").alias("chain"),
-            (F.col("_at") % draws + 1).cast("bigint").alias("draw"),
-            F.col("_d.m").alias("m"), F.col("_d.s").alias("s"),
-            F.xxhash64(F.lit(seed), F.lit("site"), *keys, "site_id", "_at").alias("_id"),
+    places = [*keys, "site_id"]
+    shown = [*places, *carry, "block"]
+    rows = stored(sites.select(*places, "tests", "successes", *carry), "draw_sites")
+    block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK))).alias("block")
+    cut = [F.slice(c, F.col("block") * BLOCK + 1, BLOCK).alias(c) for c in ("m", "s")]
+    blocks = (
+        spread_by(rows, rows.count() * n, TASK_DRAWS, *places)
+        .join(municipalities.select(*keys, "m", "s", block).select(*keys, "block", *cut), keys, "left")
+        .withColumn(
+            "_id",
+            F.transform(
+                F.sequence(F.lit(0), F.size("m") - 1),
+                lambda i: F.xxhash64(F.lit(seed), F.lit("site"), *places, i + F.col("block") * BLOCK),
+            ),
         )
     )
-    shown = [*keys, "site_id", "chain", "draw"]
-
-    def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["_id"].to_numpy().astype(np.uint64)
-            k, n = pdf["successes"].to_numpy(float), pdf["tests"].to_numpy(float)
-            m, s = pdf["m"].to_numpy(), pdf["s"].to_numpy()
-            if model.link == "beta":
-                value = beta_draws(ids, m * s + k, (1 - m) * s + n - k)
-            else:
-                centre = np.log(m / (1 - m))
-                scale = np.sqrt(s)
 
-                def weights(part):
-                    x = centre[part, None] + scale[part, None] * z
-                    return log_w - k[part, None] * np.logaddexp(0, -x) - (n - k)[part, None] * np.logaddexp(0, x)
-
-                node = z[_picks(weights, len(ids), uniforms(ids, 0))]
-                value = 1 / (1 + np.exp(-(centre + scale * (node + (uniforms(ids, 1) - 0.5) * step))))
-            yield pdf[shown].assign(value=value)
-
-    types = dict(one_each.dtypes)
-    return one_each.mapInPandas(rates, ", ".join([f"`{c}` {types[c]}" for c in shown] + ["value double"]))
+    def drawn(ids, k, n, m, s):
+        if model.link == "beta":
+            return beta_draws(ids, m * s + k, (1 - m) * s + n - k)
+        centre = np.log(m / (1 - m))
+        scale = np.sqrt(s)
+
+        def weights(part):
+            x = centre[part, None] + scale[part, None] * z
+            return log_w - k[part, None] * np.logaddexp(0, -x) - (n - k)[part, None] * np.logaddexp(0, x)
+
+        node = z[_picks(weights, len(ids), uniforms(ids, 0))]
+        return 1 / (1 + np.exp(-(centre + scale * (node + (uniforms(ids, 1) - 0.5) * step))))
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("block").is_valid())  # sites whose municipality has no draws
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                flat = lambda c: part.column(c).flatten().to_numpy()
+                size = pc.list_value_length(part.column("m")).to_numpy()
+                each = lambda c: np.repeat(part.column(c).to_numpy(zero_copy_only=False).astype(float), size)
+                value = drawn(flat("_id").astype(np.uint64), each("successes"), each("tests"), flat("m"), flat("s"))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(value))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in shown], lists], [*shown, "value"])
+
+    return blocks.mapInArrow(rates, blocks.select(shown).schema.add("value", ArrayType(DoubleType(), False)))
+
+
+def _site_draws(blocks: DataFrame, columns: list[str], draws: int) -> DataFrame:
+    at = F.col("block") * BLOCK + F.col("_in")
+    return blocks.select(*columns, "block", F.posexplode("value").alias("_in", "value")).select(
+        F.lit("site_rate").alias("param"), *columns,
+        (F.floor(at / draws) + 1).cast("int").alias("chain"), (at % draws + 1).cast("bigint").alias("draw"), "value",
+    )
 
 
 def _long(df: DataFrame, keys: list[str], array: str, param: str, draws: int) -> DataFrame:
@@ -198,12 +222,13 @@ def _long(df: DataFrame, keys: list[str], array: str, param: str, draws: int) ->
 
 
 def posterior_draws(
-    sites: DataFrame, fitted: Posterior, chains: int = 4, draws: int = 1000, seed: int = 1
+    sites: DataFrame, fitted: Posterior, chains: int = 4, draws: int = 1000, seed: int = 1, carry: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
     """Long draw tables: ``shared`` parameters, ``region_mean``, ``municipality_mean`` and ``site_rate``.
 
     Arrays of ``chains * draws`` numbers travel per region and municipality; the site
-    table, which is the large one, is made row by row where it is read.
+    table, which is the large one, is made row by row where it is read. ``carry`` names columns
+    of ``sites`` that the site draws keep.
     """
     if not fitted.model.by_region:
         sites = sites.withColumn("region", F.lit("all"))
@@ -211,16 +236,26 @@ def posterior_draws(
     hyper = _hyper(fitted, chains, draws, seed)
     regions = _region_draws(fitted, hyper, n, seed)
     municipalities = _municipality_draws(fitted, regions, n, seed)
+    blocks = _site_blocks(sites, fitted, municipalities, n, seed, carry)
     return {
         "shared": _shared_draws(fitted, hyper, draws),
         "region_mean": _long(regions, [*fitted.period, "region"], "a", "region_mean", draws),
         "municipality_mean": _long(municipalities, fitted.keys, "m", "municipality_mean", draws),
-        "site_rate": _site_draws(sites, fitted, municipalities, draws, seed).select(
-            F.lit("site_rate").alias("param"), *fitted.keys, "site_id", "chain", "draw", "value"
-        ),
+        "site_rate": _site_draws(blocks, [*fitted.keys, "site_id", *carry], draws),
     }
 
 
+def site_blocks(
+    sites: DataFrame, fitted: Posterior, chains: int = 4, draws: int = 1000, seed: int = 1, carry: Sequence[str] = ()
+) -> DataFrame:
+    """The draws of ``site_rate`` in arrays of at most ``BLOCK``: (keys, site_id, block, value)."""
+    if not fitted.model.by_region:
+        sites = sites.withColumn("region", F.lit("all"))
+    n = chains * draws
+    regions = _region_draws(fitted, _hyper(fitted, chains, draws, seed), n, seed)
+    return _site_blocks(sites, fitted, _municipality_draws(fitted, regions, n, seed), n, seed, carry)
+
+
 def one_table(tables: dict[str, DataFrame]) -> DataFrame:
     """All parameters as one draws table; keys above a row's level are null."""
     out = None

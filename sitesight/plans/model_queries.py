@@ -155,18 +155,20 @@ def _logit(name: str, model: Model) -> Query:
     return run
 
 
+SITE_KEYS = ["region", "municipality", "site_id"]
+
+
 def _sampled(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     fitted = _fitted(spark, d, "three_level", CHECKED["three_level"], site_fact(spark, d))
     return sampling.posterior_draws(site_fact(spark, d), fitted, chains=2, draws=250)
 
 
-def _site_draws(spark: SparkSession, d: str) -> DataFrame:
-    return kept_once(spark, d, "site_draws", lambda: _sampled(spark, d)["site_rate"])
-
-
 def _draw_summary(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["region", "municipality", "site_id"]
-    return shown(draws.posterior_summary(_site_draws(spark, d), keys, 0.95), *keys, "mean", "sd", "hdi_lo", "hdi_hi")
+    sites = site_fact(spark, d)
+    fitted = _fitted(spark, d, "three_level", CHECKED["three_level"], sites)
+    blocks = sampling.site_blocks(sites, fitted, chains=2, draws=250)
+    summary = draws.summary_of_blocks(blocks, SITE_KEYS, sites.count() * 500, 0.95)
+    return shown(summary, *SITE_KEYS, "mean", "sd", "hdi_lo", "hdi_hi")
 
 
 def _group_draw_summary(level: str, keys: list[str]) -> Query:
@@ -238,7 +240,7 @@ QUERIES: dict[str, Query] = {
     "posterior_draws_municipalities": _group_draw_summary("municipality_mean", ["region", "municipality"]),
     "prob_region_better": _region_comparison,
     "dic": lambda s, d: shown(
-        diagnostics.dic(_site_draws(s, d), site_fact(s, d), ["region", "municipality", "site_id"]),
+        diagnostics.dic(_sampled(s, d)["site_rate"], site_fact(s, d), SITE_KEYS),
         "draws", "mean_deviance", "p_d", "dic",
     ),
     "success_factors": _factors,

@@ -80,6 +80,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, F.xxhash64(*keys))
 
 
+def spread_by(df: DataFrame, rows: int, task_rows: int, *keys: str) -> DataFrame:
+    """Hash rows over all cores by ``keys``, in as many parts as ``rows`` needs at ``task_rows`` each.
+
+    What a task holds does not grow with the table, however few shuffle partitions the session has.
+    Joins and aggregates on the keys, or on more than them, find the rows in place.
+    """
+    spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(max(least, -(-rows // task_rows)), *keys)
+
+
 def kept_once(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:

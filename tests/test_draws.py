@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sitesight.operators import diagnostics as G
 from sitesight.operators import draws as D
@@ -314,3 +315,26 @@ def test_dic_models(spark):
         lo = np.log(x / (1 - x))
         pairs = [(n * (x[a] - x[b]) * (lo[a] - lo[b])).sum(axis=1).mean() / 2 for a, b in ((0, 1), (0, 2), (1, 2))]
         assert r["penalty"] == pytest.approx(np.mean(pairs)) and r["dic"] == pytest.approx(r["mean_deviance"] + r["penalty"])
+
+
+def test_summary_of_blocks(spark):
+    """Draws in arrays give the summary of the same draws in rows: several blocks a key, nulls, repeats, null keys."""
+    rng = np.random.default_rng(3)
+    rows = [(k, b, [round(float(v), 1) for v in rng.normal(size=13)]) for k in ("a", "b", None) for b in range(4)]
+    rows += [("a", 0, rows[0][2]), ("b", 4, [None, 2.0, None]), ("gone", 0, [None]), ("one", 0, [0.25]), ("none", 0, None)]
+    blocks = spark.createDataFrame(rows, "k string, block int, value array<double>")
+    plain = blocks.select("k", F.explode("value").alias("value"))
+    for sample in (False, True):
+        want = {r[0]: r[1:] for r in D.posterior_summary(plain, ["k"], 0.9, sample).collect()}
+        got = {r[0]: r[1:] for r in D.summary_of_blocks(blocks, ["k"], 10, 0.9, sample).collect()}
+        assert set(got) == set(want) == {"a", "b", None, "one"}
+        for k in want:
+            assert got[k] == pytest.approx(want[k])
+
+
+def test_blocks_are_sorted_in_bounded_parts(spark, monkeypatch):
+    """As many tasks as the number of draws needs, and one shuffle of them."""
+    monkeypatch.setattr(D, "TASK_DRAWS", 10)
+    blocks = spark.range(100).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("value"))
+    plan = D.summary_of_blocks(blocks, ["id"], 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 100), REPARTITION_BY_NUM" in plan
