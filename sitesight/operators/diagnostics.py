@@ -434,17 +434,18 @@ def full_summary(draws: DataFrame, keys: Sequence[str], mass: float = 0.94, slic
     )
 
 
-def dic(site_draws: DataFrame, sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+def dic(site_draws: DataFrame, sites: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Deviance information criterion of site rates against their counts.
 
     ``p_d`` is half the variance of the deviance over draws. Log-likelihoods add up per
-    (chain, draw) on the map side before they are shuffled.
+    (chain, draw) on the map side before they are shuffled. Without ``sites`` the draws bring
+    their tests and successes, and nothing but those sums is shuffled.
     """
-    counts = sites.select(*keys, "tests", "successes")
+    if sites is not None:
+        site_draws = site_draws.join(sites.select(*keys, "tests", "successes"), list(keys))
     term = log_binomial(F.col("successes"), F.col("tests"), F.col("value"))
     deviance = (
-        site_draws.join(counts, list(keys))
-        .groupBy("chain", "draw")
+        site_draws.groupBy("chain", "draw")
         .agg((-2 * F.sum(term)).alias("_d"))
     )
     return deviance.agg(

@@ -163,6 +163,15 @@ def _sampled(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return sampling.posterior_draws(site_fact(spark, d), fitted, chains=2, draws=250)
 
 
+def _counted_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Site draws with the counts they are held against: the sites are joined, not their draws."""
+    sites = site_fact(spark, d)
+    fitted = _fitted(spark, d, "three_level", CHECKED["three_level"], sites)
+    held = sites.select(*SITE_KEYS, F.col("tests").alias("held_tests"), F.col("successes").alias("held_successes"))
+    tables = sampling.posterior_draws(sites.join(held, SITE_KEYS), fitted, chains=2, draws=250, carry=["held_tests", "held_successes"])
+    return tables["site_rate"].withColumnsRenamed({"held_tests": "tests", "held_successes": "successes"})
+
+
 def _draw_summary(spark: SparkSession, d: str) -> DataFrame:
     sites = site_fact(spark, d)
     fitted = _fitted(spark, d, "three_level", CHECKED["three_level"], sites)
@@ -240,7 +249,7 @@ QUERIES: dict[str, Query] = {
     "posterior_draws_municipalities": _group_draw_summary("municipality_mean", ["region", "municipality"]),
     "prob_region_better": _region_comparison,
     "dic": lambda s, d: shown(
-        diagnostics.dic(_sampled(s, d)["site_rate"], site_fact(s, d), SITE_KEYS),
+        diagnostics.dic(_counted_draws(s, d)),
         "draws", "mean_deviance", "p_d", "dic",
     ),
     "success_factors": _factors,

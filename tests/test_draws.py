@@ -338,3 +338,15 @@ def test_blocks_are_sorted_in_bounded_parts(spark, monkeypatch):
     blocks = spark.range(100).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("value"))
     plan = D.summary_of_blocks(blocks, ["id"], 1000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and ", 100), REPARTITION_BY_NUM" in plan
+
+
+def test_dic_of_draws_with_counts(spark):
+    """Draws that bring their counts give what joined counts give, and are not joined."""
+    sites = spark.createDataFrame([(i, 5 + i, i) for i in range(5)], "site_id int, tests bigint, successes bigint")
+    draws = spark.range(200).select(
+        (F.col("id") % 5).cast("int").alias("site_id"), (F.col("id") % 2).cast("int").alias("chain"), F.floor(F.col("id") / 10).alias("draw"),
+        (F.abs(F.sin("id")) * 0.9 + 0.05).alias("value"),
+    )
+    alone = G.dic(draws.join(sites, "site_id").localCheckpoint())
+    assert alone.first() == pytest.approx(G.dic(draws, sites, ["site_id"]).first())
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
