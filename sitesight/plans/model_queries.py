@@ -15,7 +15,7 @@ from sitesight.operators import diagnostics, draws, factors, sampling
 from sitesight.plans.oracles import MONTH_LABEL, W_SITE, r, rs
 from sitesight.plans.shared_tables import site_fact, site_month, table
 from sitesight.plans.site_queries import Query, shown
-from sitesight.workspace import kept_once, still_stored
+from sitesight.workspace import by_size, kept_once, still_stored
 
 # Coarse grids: small enough for the plain-join SQL that checks them on whole tables.
 COARSE = {"mean_cells": 60, "region_mean": M.beta(2, 2, 20)}
@@ -54,8 +54,9 @@ def _resolved(spark: SparkSession, d: str, name: str, model: Model, sites: DataF
 
 def site_year(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
+        months = site_month(spark, d)
         return (
-            site_month(spark, d)
+            by_size(months, months.count(), "region", "municipality", "site_id")
             .groupBy(F.year("month").alias("year"), "region", "municipality", "site_id")
             .agg(F.sum("tests").alias("tests"), F.sum("successes").alias("successes"))
         )

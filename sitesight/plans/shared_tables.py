@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitesight.functions.scalars import ratio
 from sitesight.operators.ordering import row_numbers
-from sitesight.workspace import kept_once
+from sitesight.workspace import by_size, kept_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,9 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_site_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts per site. Line items shrink to one row per order before the order join."""
+    items = table(spark, sf_dir, "lineitem")
     per_order = (
-        table(spark, sf_dir, "lineitem")
+        by_size(items.select("l_orderkey", "l_returnflag"), items.count(), "l_orderkey")
         .groupBy("l_orderkey")
         .agg(
             F.count(F.lit(1)).alias("tests"),
@@ -62,16 +63,24 @@ def build_site_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_site_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per site and month. Hardly two line items share a site and a month, so the rows of a task are bounded and not only combined."""
+    items = table(spark, sf_dir, "lineitem")
+    n = items.count()
+    dated = items.select(
+        "l_orderkey",
+        F.trunc(F.to_date("l_shipdate"), "month").alias("month"),
+        F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("ok"),
+    )
+    per_order = (
+        by_size(dated, n, "l_orderkey")
+        .groupBy("l_orderkey", "month")
+        .agg(F.count(F.lit(1)).alias("tests"), F.sum("ok").alias("successes"))
+    )
+    by_site = per_order.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     per_site = (
-        table(spark, sf_dir, "lineitem")
-        .select(
-            "l_orderkey",
-            F.trunc(F.to_date("l_shipdate"), "month").alias("month"),
-            F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("ok"),
-        )
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        by_size(by_site.select("o_custkey", "month", "tests", "successes"), n, "o_custkey")
         .groupBy("o_custkey", "month")
-        .agg(F.count(F.lit(1)).alias("tests"), F.sum("ok").alias("successes"))
+        .agg(F.sum("tests").alias("tests"), F.sum("successes").alias("successes"))
     )
     return (
         per_site.join(places(spark, sf_dir), F.col("site_id") == F.col("o_custkey"))

@@ -91,6 +91,17 @@ def spread_by(df: DataFrame, rows: int, task_rows: int, *keys: str) -> DataFrame
     return df.repartition(max(least, -(-rows // task_rows)), *keys)
 
 
+#: Rows of a large table that one task joins or groups.
+TASK_ROWS = 500_000
+
+
+def by_size(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``spread_by`` where ``rows`` are more than a ``TASK_ROWS`` for each core; fewer are left to the session's plan."""
+    if rows <= TASK_ROWS * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return spread_by(df, rows, TASK_ROWS, *keys)
+
+
 def kept_once(
     spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:

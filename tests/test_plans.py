@@ -64,3 +64,25 @@ def test_no_products_of_tables(spark, sf_dir):
 
 def test_draw_filter_reaches_the_scan(spark, sf_dir):
     assert "PushedFilters: [In(param" in plan(draws_fact(spark, sf_dir).where("param in ('click', 'view')"))
+
+
+def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch, tmp_path):
+    """Line items in as many tasks as their number needs, whatever the session's partitions; the same counts."""
+    from sitesight import workspace
+    from sitesight.plans import shared_tables as T
+
+    spark.range(1, 401).toDF("l_orderkey").selectExpr(
+        "nullif(l_orderkey % 90, 7) as l_orderkey", "timestamp'2024-01-15' + make_interval(0, int(l_orderkey % 3)) as l_shipdate",
+        "case when l_orderkey % 5 = 0 then 'R' when l_orderkey % 5 = 1 then null else 'N' end as l_returnflag",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(92).selectExpr("id % 80 as o_orderkey").selectExpr("o_orderkey", "nullif(o_orderkey % 9, 4) as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(13).selectExpr("id % 10 as c_custkey").selectExpr("c_custkey", "c_custkey % 2 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2).toDF("n_nationkey").selectExpr("n_nationkey", "0 as n_regionkey", "string(n_nationkey) as n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("select 0 as r_regionkey, 'R' as r_name").write.parquet(f"{tmp_path}/region.parquet")
+    for build, exchanges in ((T.build_site_month, 2), (T.build_site_fact, 1)):
+        plain = sorted(build(spark, str(tmp_path)).collect(), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(workspace, "TASK_ROWS", 10)
+            dealt = build(spark, str(tmp_path))
+            assert dealt._jdf.queryExecution().executedPlan().toString().count(", 40), REPARTITION_BY_NUM") == exchanges
+            assert plain and sorted(dealt.collect(), key=str) == plain
