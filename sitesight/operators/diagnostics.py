@@ -460,26 +460,27 @@ def dic_models(models: dict[str, DataFrame], sites: DataFrame, keys: Sequence[st
 
     The penalty of a site is half the expected symmetric divergence between the binomials of two chains
     at the same draw, which is tests * (p - q) * (logit p - logit q) for rates p and q. A site's
-    draws of all chains meet in one group of (site, draw), and pairs are formed inside it.
+    draws of all chains meet in one group of (site, draw), and pairs are formed inside it. Draws that
+    lie by site (``workspace.by_size`` on the keys) are joined and paired in place.
     """
     keys = list(keys)
     counts = sites.select(*keys, "tests", "successes")
-    rows = None
+    out = None
     for name, site_draws in models.items():
-        one = site_draws.select(*keys, "chain", "draw", "value", F.lit(name).alias("model"))
-        rows = one if rows is None else rows.unionByName(one)
-    known = rows.join(counts, keys)
-    known = known.withColumn("_d", -2 * log_binomial(F.col("successes"), F.col("tests"), F.col("value")))
-    fit = known.groupBy("model", "chain", "draw").agg(F.sum("_d").alias("_d")).groupBy("model").agg(F.count(F.lit(1)).alias("draws"), F.avg("_d").alias("mean_deviance"))
-    # over chains, the sum of (p - q)(x - y) for pairs is m * sum(p x) - sum(p) * sum(x)
-    x = logit(F.least(F.greatest(F.col("value"), F.lit(1e-12)), F.lit(1 - 1e-12)))
-    met = known.withColumn("_x", x).groupBy("model", "draw", *keys).agg(
-        F.first("tests").alias("_t"), F.count(F.lit(1)).alias("_m"), F.sum(F.col("value") * F.col("_x")).alias("_px"), F.sum("value").alias("_p"), F.sum("_x").alias("_sx")
-    )
-    pairs = F.col("_m") * (F.col("_m") - 1) / 2
-    divergence = F.try_divide(F.col("_t") * (F.col("_m") * F.col("_px") - F.col("_p") * F.col("_sx")), 2 * pairs)
-    penalty = met.groupBy("model", "draw").agg(F.sum(divergence).alias("_j")).groupBy("model").agg(F.avg("_j").alias("penalty"))
-    return fit.join(penalty, "model").withColumn("dic", F.col("mean_deviance") + F.col("penalty")).orderBy("dic", "model")
+        known = site_draws.select(*keys, "chain", "draw", "value").join(counts, keys)
+        deviance = -2 * log_binomial(F.col("successes"), F.col("tests"), F.col("value"))
+        fit = known.groupBy("chain", "draw").agg(F.sum(deviance).alias("_d")).agg(F.count(F.lit(1)).alias("draws"), F.avg("_d").alias("mean_deviance"))
+        # over chains, the sum of (p - q)(x - y) for pairs is m * sum(p x) - sum(p) * sum(x)
+        x = logit(F.least(F.greatest(F.col("value"), F.lit(1e-12)), F.lit(1 - 1e-12)))
+        met = known.withColumn("_x", x).groupBy("draw", *keys).agg(
+            F.first("tests").alias("_t"), F.count(F.lit(1)).alias("_m"), F.sum(F.col("value") * F.col("_x")).alias("_px"), F.sum("value").alias("_p"), F.sum("_x").alias("_sx")
+        )
+        pairs = F.col("_m") * (F.col("_m") - 1) / 2
+        divergence = F.try_divide(F.col("_t") * (F.col("_m") * F.col("_px") - F.col("_p") * F.col("_sx")), 2 * pairs)
+        penalty = met.groupBy("draw").agg(F.sum(divergence).alias("_j")).agg(F.avg("_j").alias("penalty"))
+        one = fit.where("draws > 0").crossJoin(penalty).select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("dic", F.col("mean_deviance") + F.col("penalty")).orderBy("dic", "model")
 
 
 def settled(summary: DataFrame, rhat_limit: float = 1.01, ess_limit: float = 100.0) -> DataFrame:

@@ -12,6 +12,7 @@ from sitesight.operators import diagnostics as G
 from sitesight.operators import draws as D
 from sitesight.plans.shared_tables import draws_fact, site_fact, site_month, table
 from sitesight.plans.site_queries import Query, estimates, shown
+from sitesight.workspace import by_size
 
 PARAM = ["param"]
 
@@ -63,6 +64,8 @@ def _fixed_draws(sites: DataFrame, spark: SparkSession) -> dict[str, DataFrame]:
         "shrunk": F.col("mean_site"),
     }
     models = {}
+    # dealt by the number of draws before there are any, so that they are made where they are used
+    sites = by_size(sites, sites.count() * 60, *SITE_KEYS)
     for name, rate in rates.items():
         spread = F.sqrt(rate * (1 - rate) / (F.col("tests") + 20))
         value = F.least(F.greatest(rate + spread * wave, F.lit(0.001)), F.lit(0.999))

@@ -86,3 +86,21 @@ def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch, tmp_path):
             dealt = build(spark, str(tmp_path))
             assert dealt._jdf.queryExecution().executedPlan().toString().count(", 40), REPARTITION_BY_NUM") == exchanges
             assert plain and sorted(dealt.collect(), key=str) == plain
+
+
+def test_draws_of_models_are_made_by_site(spark, monkeypatch):
+    """Draws at fixed steps lie by site: they are joined and paired without a shuffle of their own."""
+    from sitesight import workspace
+    from sitesight.operators import diagnostics
+    from sitesight.plans import draw_queries as Q
+
+    rows = [("r", f"m{i % 3}", i, 20 + i, 3 + i, 0.2, 0.3) for i in range(40)] * 2
+    sites = spark.createDataFrame(rows, "region string, municipality string, site_id long, tests long, successes long, mean_mun double, mean_site double")
+    plain = diagnostics.dic_models(Q._fixed_draws(sites, spark), sites, Q.SITE_KEYS).collect()
+    monkeypatch.setattr(workspace, "TASK_ROWS", 100)
+    dealt = diagnostics.dic_models(Q._fixed_draws(sites, spark), sites, Q.SITE_KEYS)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(draw#" in plan
+    assert not any("Exchange hashpartitioning(draw" in line and "site_id" in line for line in plan.splitlines())
+    for a, b in zip(dealt.collect(), plain, strict=True):
+        assert a.model == b.model and tuple(a)[1:] == pytest.approx(tuple(b)[1:])
