@@ -194,7 +194,7 @@ def _effective(draws: DataFrame, chains: DataFrame, facts: DataFrame, keys: list
     acov = F.col("_s") / F.col("_chains")
     zero = F.first(acov).over(by_lag)
     above = zero * F.try_divide(F.col("_n"), F.col("_n") - 1) - acov
-    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1 - F.try_divide(above, zero + F.coalesce(F.col("_own.between"), F.lit(0.0))))
+    rho = F.when((F.col("lag") == 0) | F.col("_own.flat"), F.lit(1.0)).otherwise(1 - F.try_divide(above, zero + F.coalesce(F.col("_own.between"), F.lit(0.0))))
     # the lags of a key are some hundreds, so these windows are small
     ahead = F.lead("_rho").over(by_lag)
     pairs = rows.where(F.col("_sent") == n_blocks).withColumn("_rho", rho).withColumn("_p", F.col("_rho") + ahead)
