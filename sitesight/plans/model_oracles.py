@@ -180,3 +180,68 @@ def year_municipality_sql(model: Model) -> str:
 
 def month_sql(model: Model, select: str) -> str:
     return f"WITH {MONTH},{grid_ctes(model, 'site_month', 'month')}\n{select}"
+
+
+def full_month_sql(model: Model) -> str:
+    """Municipalities of each month on fine grids: the integrals of ``grid_ctes`` with lists in place of joined rows.
+
+    For models with shared precisions, regions and no top level. A month's municipality has the number
+    ``k``, its region ``rk``; cells of (precision, region mean) have the position ``pos``. The log-likelihood
+    is summed site by site, as there; sums over cells are inner products of two lists.
+    """
+    n_m, n_a = model.mean_cells, len(model.region_mean)
+    axis = lambda x: [(i, float(p), float(q)) for i, (p, q) in enumerate(zip(x.points, x.log_prior))]
+    low_s = min(model.site_precision.points)
+
+    def mass(x: str) -> str:
+        left = f"CASE WHEN c.i = 0 AND c.lo <= 0 THEN {x}.al * ln(c.w) - ln({x}.al) ELSE ln(c.w) * CASE WHEN c.i = {n_m - 1} AND c.hi >= 1 THEN 0 ELSE 1 END + ({x}.al - 1) * ln(c.m) END"
+        right = f"CASE WHEN c.i = {n_m - 1} AND c.hi >= 1 THEN {x}.be * ln(c.w) - ln({x}.be) ELSE ({x}.be - 1) * ln(1 - c.m) END"
+        return f"exp({left} + {right} - {x}.lb)"
+
+    log = lambda x: f"CASE WHEN {x} > 0 THEN ln({x}) ELSE '-Infinity'::DOUBLE END"
+    return f"""WITH {MONTH},
+{_values('s_axis', 'si, s, lp', axis(model.site_precision))},
+{_values('p_axis', 'pi, p, lp', axis(model.municipality_precision))},
+{_values('a_axis', 'ai, a, lp', axis(model.region_mean))},
+pa AS (SELECT pi * {n_a} + ai AS pos, pi, ai, a * p AS al, (1 - a) * p AS be, lgamma(a * p) + lgamma((1 - a) * p) - lgamma(p) AS lb
+       FROM p_axis CROSS JOIN a_axis),
+pas AS (SELECT list({{'al': al, 'be': be, 'lb': lb}} ORDER BY pos) AS pas FROM pa),
+sums AS (SELECT month, region, municipality, sum(tests)::DOUBLE AS n, sum(successes)::DOUBLE AS ok, sum(tests::DOUBLE * tests) AS n2
+         FROM site_month GROUP BY month, region, municipality),
+half AS (SELECT *, (ok + 1) / (n + 2) AS p0,
+           8 * sqrt((ok + 1) / (n + 2) * (1 - (ok + 1) / (n + 2)) / (n + 2)
+             * greatest(1.0, 1 + coalesce(n2 / nullif(n, 0) - 1, 0) / (1 + {low_s!r}::DOUBLE))) AS hw FROM sums),
+rng AS MATERIALIZED (SELECT row_number() OVER (ORDER BY month, region, municipality) AS k, dense_rank() OVER (ORDER BY month, region) AS rk,
+          month, region, municipality, greatest(0.0, p0 - hw) AS lo, least(1.0, p0 + hw) AS hi FROM half),
+cell AS MATERIALIZED (SELECT k, i, lo + (hi - lo) * (i + 0.5::DOUBLE) / {n_m} AS m, (hi - lo) / {n_m} AS w, lo, hi
+         FROM rng CROSS JOIN (SELECT unnest(range(0, {n_m})) AS i) g),
+cells AS (SELECT k, list({{'i': i, 'm': m, 'w': w, 'lo': lo, 'hi': hi}} ORDER BY i) AS cs FROM cell GROUP BY k),
+ll AS (SELECT k, si, i, sum(lgamma(successes + m * s) + lgamma(tests - successes + (1 - m) * s) - lgamma(tests + s)
+             - lgamma(m * s) - lgamma((1 - m) * s) + lgamma(s)) AS v
+       FROM site_month x JOIN rng USING (month, region, municipality) JOIN cell USING (k) CROSS JOIN s_axis GROUP BY k, si, i),
+lik AS MATERIALIZED (SELECT k, si, max(v) AS top, list(v ORDER BY i) AS v FROM ll GROUP BY k, si),
+by_pos AS (SELECT k, pos, list_transform(cs, lambda c: {mass('pa')}) AS w FROM cells CROSS JOIN pa),
+e0 AS (SELECT l.k, si, pos, top, list_inner_product(list_transform(l.v, lambda x: exp(x - top)), w) AS v
+       FROM by_pos b JOIN lik l ON l.k = b.k),
+e AS MATERIALIZED (SELECT k, rk, si, pos, top + {log('v')} AS v FROM e0 JOIN rng USING (k)),
+reg_sum AS MATERIALIZED (SELECT rk, si, pos, pi, a.lp AS lp, sum(v) AS v FROM e JOIN pa USING (pos) JOIN a_axis a USING (ai) GROUP BY rk, si, pos, pi, a.lp),
+z AS MATERIALIZED (SELECT rk, si, pi, any_value(vm) + ln(sum(exp(v - vm))) AS v
+      FROM (SELECT rk, si, pi, v + lp AS v, max(v + lp) OVER (PARTITION BY rk, si, pi) AS vm FROM reg_sum) GROUP BY rk, si, pi),
+t0 AS (SELECT month, si, pi, sum(z.v) + any_value(s.lp) + any_value(p.lp) AS v
+       FROM z JOIN (SELECT DISTINCT rk, month FROM rng) USING (rk) JOIN s_axis s USING (si) JOIN p_axis p USING (pi) GROUP BY month, si, pi),
+t1 AS (SELECT *, max(v) OVER (PARTITION BY month) AS vm FROM t0),
+t AS (SELECT month, si, pi, v - vm - ln(sum(exp(v - vm)) OVER (PARTITION BY month)) AS v FROM t1),
+j AS (SELECT r.rk, r.si, r.pos, r.v + r.lp + t.v - z.v AS v
+      FROM reg_sum r JOIN z ON r.rk = z.rk AND r.si = z.si AND r.pi = z.pi
+      JOIN (SELECT DISTINCT rk, month FROM rng) d ON d.rk = r.rk JOIN t ON t.month = d.month AND t.si = r.si AND t.pi = r.pi),
+odds AS (SELECT e.k, e.si, list(CASE WHEN isfinite(e.v) AND isfinite(j.v) THEN j.v - e.v ELSE '-Infinity'::DOUBLE END ORDER BY e.pos) AS v
+         FROM e JOIN j ON e.rk = j.rk AND e.si = j.si AND e.pos = j.pos GROUP BY e.k, e.si),
+odd AS MATERIALIZED (SELECT o.k, l.v AS ll, vm, list_transform(o.v, lambda x: exp(x - vm)) AS v
+        FROM (SELECT *, list_max(v) AS vm FROM odds) o JOIN lik l ON l.k = o.k AND l.si = o.si),
+by_cell AS (SELECT k, i, m, list_transform(pas, lambda x: {mass('x')}) AS w FROM cell c CROSS JOIN pas),
+raw0 AS (SELECT o.k, c.m, o.ll[c.i + 1] + o.vm AS v, list_inner_product(o.v, c.w) AS dot FROM by_cell c JOIN odd o ON o.k = c.k),
+raw AS (SELECT k, m, v + {log('dot')} AS v FROM raw0),
+wgt AS (SELECT k, m, exp(v - max(v) OVER (PARTITION BY k)) AS w FROM raw),
+mun0 AS (SELECT k, sum(w) AS total, sum(w * m) / sum(w) AS mean_mun FROM wgt GROUP BY k),
+mun AS (SELECT k, any_value(mean_mun) AS mean_mun, sqrt(sum(w * (m - mean_mun) ** 2) / any_value(total)) AS sd_mun FROM wgt JOIN mun0 USING (k) GROUP BY k)
+SELECT month, region, municipality, {rs('mean_mun', 'sd_mun')} FROM mun JOIN rng USING (k)"""

@@ -12,7 +12,7 @@ from sitesight.operators.model_spec import Model
 from sitesight.functions.scalars import half_even, month_label
 from sitesight.plans import model_oracles as O
 from sitesight.operators import diagnostics, draws, factors, sampling
-from sitesight.plans.oracles import MONTH_LABEL, W_SITE, r, rs
+from sitesight.plans.oracles import MONTH_LABEL, W_SITE, r
 from sitesight.plans.shared_tables import site_fact, site_month, table
 from sitesight.plans.site_queries import Query, shown
 from sitesight.workspace import by_size, kept_once, still_stored
@@ -90,7 +90,7 @@ def _shared(name: str) -> Query:
 
 
 def _monthly(spark: SparkSession, d: str) -> P.Posterior:
-    """All months as one job, each fitted on its own."""
+    """All months as one job, each fitted on its own; ``posterior_by_month`` has a fit on the whole grids."""
     return _fitted(spark, d, "month", MONTHLY, site_month(spark, d), ["month"])
 
 
@@ -226,7 +226,8 @@ QUERIES: dict[str, Query] = {
     **{f"posterior_{n}_regions": _regions(n, m) for n, m in CHECKED.items()},
     **{f"posterior_{n}_sites": _sites(n, CHECKED[n]) for n in ("fixed_precision", "three_level")},
     "posterior_by_month": lambda s, d: shown(
-        _monthly(s, d).municipalities, "month", "region", "municipality", "mean_mun", "sd_mun"
+        _fitted(s, d, "month_full", FULL, site_month(s, d), ["month"]).municipalities,
+        "month", "region", "municipality", "mean_mun", "sd_mun",
     ),
     "region_month_posterior": _region_month_posterior,
     "risen_municipalities_posterior": _risen,
@@ -270,7 +271,7 @@ ORACLES: dict[str, str] = {
         WHERE a.month = (SELECT min(month) FROM mun) AND b.month = (SELECT max(month) FROM mun)
           AND b.mean_mun - a.mean_mun > 2 * sqrt(a.sd_mun ** 2 + b.sd_mun ** 2)""",
     ),
-    "posterior_by_month": O.month_sql(MONTHLY, f"SELECT month, region, municipality, {rs('mean_mun', 'sd_mun')} FROM mun"),
+    "posterior_by_month": O.full_month_sql(FULL),
     "region_month_posterior": O.month_sql(
         MONTHLY, f"SELECT region AS parameter, {r('mean_region', 'mean', 3)}, {r('sd_region', 'std_dev', 3)}, {MONTH_LABEL} FROM reg"
     ),
