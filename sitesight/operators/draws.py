@@ -6,10 +6,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from sitesight.functions.scalars import half_even, interval_text, ratio
 from sitesight.operators.ordering import (
@@ -20,7 +23,7 @@ from sitesight.operators.ordering import (
     running_sum,
     same_keys,
 )
-from sitesight.workspace import keep, spread_by
+from sitesight.workspace import keep, only_reads, spread_by
 
 def arrays_to_long(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """One row per array element; its position becomes ``draw``."""
@@ -122,11 +125,56 @@ def summary_of_blocks(blocks: DataFrame, keys: Sequence[str], n_draws: int, mass
     return placed.select(*keys, "mean", sd.alias("sd"), F.col("_best.a").alias("hdi_lo"), F.col("_best.b").alias("hdi_hi"))
 
 
+def _packed(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, value): known draws of a key that lie near each other, as one array of ``n``. Nothing is shuffled."""
+    keys = list(keys)
+    rows = draws.where("value is not null").select(*keys, "value")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            for k in keys:
+                own = batch.column(k).dictionary_encode(null_encoding="encode")
+                if code.max() > 1 << 31:
+                    code = np.unique(code, return_inverse=True)[1]
+                code = code * len(own.dictionary) + own.indices.to_numpy()
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            if len(np.unique(code[starts])) < len(starts):  # some key has more than one run
+                order = np.argsort(code, kind="stable")
+                batch, code = batch.take(pa.array(order)), code[order]
+                starts = np.flatnonzero(np.diff(code, prepend=-1))
+            ends = np.append(starts[1:], len(code)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(np.append(np.int32(0), ends), batch.column("value"))
+            shown = [batch.column(k).take(pa.array(starts)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*shown, pa.array(ends - starts, pa.int32()), lists], [*keys, "n", "value"])
+
+    schema = rows.select(*keys).schema.add("n", IntegerType()).add("value", ArrayType(rows.schema["value"].dataType, False))
+    return rows.mapInArrow(pack, schema)
+
+
 def posterior_summary(
     draws: DataFrame, keys: Sequence[str], mass: float = 0.95, sample_sd: bool = False, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Mean, standard deviation and highest-density interval per key."""
-    return same_keys(moments(draws, keys, sample_sd), hdi(draws, keys, mass, slice_rows=slice_rows), list(keys))
+    """Mean, standard deviation and highest-density interval per key.
+
+    Draws are made once: they are packed into arrays where they lie and written. A key with at most
+    ``slice_rows`` draws is sorted as one array; the draws of a larger one are placed in slices.
+    """
+    keys = list(keys)
+    ends = [*keys, "hdi_lo", "hdi_hi"]
+    packed = keep(_packed(draws, keys), "packed")
+    unpacked = lambda t: t.select(*keys, F.explode("value").alias("value"))
+    sizes = packed.groupBy(*keys).agg(F.sum("n").alias("_n"))
+    n_draws, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if most <= slice_rows:
+        found = summary_of_blocks(packed, keys, n_draws, mass).select(*ends)
+    else:
+        large = keep(sizes.where(F.col("_n") > slice_rows), "large_keys")
+        small = summary_of_blocks(same_keys(packed, large, keys, "left_anti"), keys, n_draws, mass).select(*ends)
+        found = small.unionByName(hdi(unpacked(same_keys(packed, large, keys, "left_semi")), keys, mass, slice_rows=slice_rows))
+    return same_keys(moments(draws if only_reads(draws) else unpacked(packed), keys, sample_sd), found, keys)
 
 
 # The quantiles of a standard chain summary.

@@ -174,11 +174,7 @@ def _counted_draws(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _draw_summary(spark: SparkSession, d: str) -> DataFrame:
-    sites = site_fact(spark, d)
-    fitted = _fitted(spark, d, "three_level", CHECKED["three_level"], sites)
-    blocks = sampling.site_blocks(sites, fitted, chains=2, draws=250)
-    summary = draws.summary_of_blocks(blocks, SITE_KEYS, sites.count() * 500, 0.95)
-    return shown(summary, *SITE_KEYS, "mean", "sd", "hdi_lo", "hdi_hi")
+    return shown(draws.posterior_summary(_sampled(spark, d)["site_rate"], SITE_KEYS, 0.95), *SITE_KEYS, "mean", "sd", "hdi_lo", "hdi_hi")
 
 
 def _group_draw_summary(level: str, keys: list[str]) -> Query:

@@ -50,13 +50,16 @@ def keep(df: DataFrame, name: str = "step", partition_by: list[str] | None = Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` itself if it only selects from files, else ``keep``: a plan read by several passes runs once."""
+def only_reads(df: DataFrame) -> bool:
+    """Whether ``df`` only selects from files."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = [line.lstrip(" +-:").split(" ", 1)[0] for line in plan.splitlines() if line.strip()]
-    if nodes[-1:] == ["Relation"] and set(nodes[:-1]) <= {"Project", "Filter"}:
-        return df
-    return keep(df, name)
+    return nodes[-1:] == ["Relation"] and set(nodes[:-1]) <= {"Project", "Filter"}
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` itself if it only selects from files, else ``keep``: a plan read by several passes runs once."""
+    return df if only_reads(df) else keep(df, name)
 
 
 def still_stored(df: DataFrame) -> bool:
